@@ -22,10 +22,14 @@ from weekloom.operators import (
     sampling,
     scale,
     split,
+    stack,
     tabular,
+    trees,
     weekly,
 )
-from weekloom.settings import SERIES_FEATURES
+from weekloom.plans.grouping import group_series
+from weekloom.plans.inference import predict_next_week
+from weekloom.settings import SERIES_FEATURES, STACK_BASE_CLUSTER, STACK_BASE_GLOBAL
 from weekloom.sources import bronze
 from weekloom.spec import DEFAULT
 
@@ -606,3 +610,113 @@ def sample_rows(spark, folder):
 @query
 def sample_large_groups(spark, folder):
     return sampling.sample_large_groups(t.clustered(spark, folder), 0.1, 5_000)
+
+
+# Models: few and small trees, as these queries show that the jobs run, not how good the models can get
+
+SMALL_BOOSTED = {"maxIter": [3, 5], "maxDepth": [3, 4], "stepSize": [0.1, 0.2], "subsamplingRate": [0.8]}
+SMALL_FOREST = {"numTrees": [5, 10], "maxDepth": [4, 5], "minInstancesPerNode": [3, 5]}
+SMALL_STACK = {"maxIter": 4, "maxDepth": 3}
+
+
+def _boosted(spark, folder):
+    table = t.model_table(spark, folder)
+    return t.once(
+        spark, folder, "boosted", lambda: trees.train_clusters(table, "boosted", SMALL_BOOSTED, trials=2, folds=2)
+    )
+
+
+@query
+def gbt_by_cluster(spark, folder):
+    return _boosted(spark, folder).predictions
+
+
+@query
+def gbt_metrics(spark, folder):
+    return _boosted(spark, folder).metrics
+
+
+@query
+def rf_by_cluster(spark, folder):
+    table = t.model_table(spark, folder)
+    return trees.train_clusters(table, "forest", SMALL_FOREST, trials=2, folds=2).metrics
+
+
+@query
+def random_search(spark, folder):
+    """Errors of the drawn parameters over all clusters together."""
+    table = split.cv_folds(t.model_table(spark, folder), 2, "chronological", DEFAULT, [])
+    table = t.once(spark, folder, "folded", lambda: t.stage(table))
+    candidates = trees.draw_params(SMALL_FOREST, 2)
+    best, error = trees.search(table, "forest", candidates, 2)
+    return spark.createDataFrame([(str(best), error)], "best_params string, cv_mae double")
+
+
+@query
+def stacking(spark, folder):
+    base = {**STACK_BASE_GLOBAL, **SMALL_STACK}
+    return stack.stack_global(t.model_table(spark, folder), folds=2, params=base)[0]
+
+
+@query
+def stacking_by_cluster(spark, folder):
+    base = {**STACK_BASE_CLUSTER, **SMALL_STACK}
+    return stack.stack_clusters(t.model_table(spark, folder), folds=2, params=base)[1]
+
+
+@query
+def routed_predictions(spark, folder):
+    train = t.model_table(spark, folder)
+    models = {
+        "LightGBM": trees.fit_model(train, "boosted", {"maxIter": 4, "maxDepth": 4}),
+        "RandomForest": trees.fit_model(train, "forest", {"numTrees": 8, "maxDepth": 5}),
+    }
+    return predict_next_week(t.gold(spark, folder), t.labels(spark, folder), models)
+
+
+@query
+def clustered_weekly(spark, folder):
+    return group_series(t.gold(spark, folder)).distribution
+
+
+@query
+def centroid_report(spark, folder):
+    return group_series(t.gold(spark, folder)).report()
+
+
+# Additive model of every series
+
+
+@query
+def additive_forecast(spark, folder):
+    return forecast.forecast(t.gold(spark, folder))
+
+
+def _additive_backtest(spark, folder):
+    return t.once(spark, folder, "additive", lambda: t.stage(forecast.backtest(t.gold(spark, folder))))
+
+
+@query
+def additive_backtest(spark, folder):
+    return _additive_backtest(spark, folder)
+
+
+@query
+def additive_series_metrics(spark, folder):
+    return metrics.series_metrics(_additive_backtest(spark, folder).filter("status = 'ok'"))
+
+
+@query
+def additive_global_metrics(spark, folder):
+    return metrics.global_metrics(_additive_backtest(spark, folder).filter("status = 'ok'"))
+
+
+@query
+def additive_grid_search(spark, folder):
+    return forecast.grid_search(t.gold(spark, folder))
+
+
+@query
+def additive_tuning_effect(spark, folder):
+    tested = forecast.tuned_against_default(t.gold(spark, folder)).filter("status = 'ok'")
+    return metrics.tuning_effect(tested)

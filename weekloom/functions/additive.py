@@ -15,7 +15,8 @@ YEAR_DAYS = 365.25
 FOURIER_ORDER = 10
 BENDS = 25
 BEND_SHARE = 0.8
-ROUNDS = 8
+ROUNDS = 10
+TOLERANCE = 1e-3
 Z95 = 1.959963984540054
 TREND_SCALE = 5.0
 EVENT_SCALE = 10.0
@@ -65,12 +66,44 @@ class Additive:
         }
 
 
+def _solve(gram: np.ndarray, right: np.ndarray, penalty: np.ndarray) -> np.ndarray:
+    weighted = gram + penalty[:, :, None] * np.eye(penalty.shape[1])
+    return np.linalg.solve(weighted, right[..., None])[..., 0]
+
+
 def _ridge(design: np.ndarray, target: np.ndarray, penalty: np.ndarray) -> np.ndarray:
-    gram = np.swapaxes(design, -1, -2) @ design
-    gram = gram + penalty[:, :, None] * np.eye(penalty.shape[1])
-    right = np.swapaxes(design, -1, -2) @ target[..., None]
-    right = np.broadcast_to(right, (*gram.shape[:-1], 1))
-    return np.linalg.solve(gram, right)[..., 0]
+    turned = np.swapaxes(design, -1, -2)
+    return _solve(turned @ design, (turned @ target[..., None])[..., 0], penalty)
+
+
+class _Products:
+    """Inner products of the trend and season columns, with the trend columns also weighted by the events.
+
+    The trend enters as lines * (1 + x b). Its products are quadratic in b, so they are formed once from the rows
+    and then only added up for each b.
+    """
+
+    def __init__(self, lines: np.ndarray, waves: np.ndarray, x: np.ndarray, z: np.ndarray):
+        weights = np.column_stack([np.ones(len(z)), x])
+        scaled = weights.T[:, :, None] * lines[None]
+        self.line_line = np.swapaxes(scaled, 1, 2)[:, None] @ scaled[None]
+        self.line_wave = np.swapaxes(scaled, 1, 2) @ waves
+        self.wave_wave = waves.T @ waves
+        self.line_z = np.swapaxes(scaled, 1, 2) @ z
+        self.wave_z = waves.T @ z
+
+    def at(self, effect: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        c = np.hstack([np.ones((len(effect), 1)), effect])
+        many, k = c.shape
+        pairs = (c[:, :, None] * c[:, None, :]).reshape(many, k * k)
+        top = (pairs @ self.line_line.reshape(k * k, -1)).reshape(many, *self.line_line.shape[2:])
+        side = (c @ self.line_wave.reshape(k, -1)).reshape(many, *self.line_wave.shape[1:])
+        corner = np.broadcast_to(self.wave_wave, (many, *self.wave_wave.shape))
+        gram = np.concatenate(
+            [np.concatenate([top, side], axis=2), np.concatenate([np.swapaxes(side, 1, 2), corner], axis=2)], axis=1
+        )
+        right = np.hstack([c @ self.line_z, np.broadcast_to(self.wave_z, (many, len(self.wave_z)))])
+        return gram, right
 
 
 def fit(
@@ -94,32 +127,26 @@ def fit(
 
     many = len(bend_scales)
     p, w, r = lines.shape[1], waves.shape[1], x.shape[1]
-    season, effect = np.zeros((many, w)), np.zeros((many, r))
+    season, effect, trend = np.zeros((many, w)), np.zeros((many, r)), np.zeros((many, p))
     bend = np.full((many, count), 0.1)
     noise = np.full(many, max(float(z.var()), 1e-8))
-    trend = np.zeros((many, p))
+    fixed = np.full((many, 2), 1 / TREND_SCALE**2)
+    smooth = np.repeat(1 / season_scales[:, None] ** 2, w, axis=1)
+    free = np.full((many, r), 1 / EVENT_SCALE**2)
+    products = None if multiplicative else _Products(lines, waves, x, z)
     for _ in range(ROUNDS):
-        fixed = np.full((many, 2), 1 / TREND_SCALE**2)
         soft = 1 / (bend_scales[:, None] * np.maximum(np.abs(bend), 1e-6))
-        smooth = np.repeat(1 / season_scales[:, None] ** 2, w, axis=1)
-        free = np.full((many, r), 1 / EVENT_SCALE**2)
-        level = 1 + effect @ x.T
+        before = noise
         if multiplicative:
-            level = level + season @ waves.T
+            level = 1 + effect @ x.T + season @ waves.T
             trend = _ridge(lines[None] * level[:, :, None], z, noise[:, None] * np.hstack([fixed, soft]))
             g = trend @ lines.T
-            both = g[:, :, None] * np.hstack([waves, x])[None]
-            found = _ridge(both, z - g, noise[:, None] * np.hstack([smooth, free]))
+            both = np.hstack([waves, x])
+            found = _ridge(g[:, :, None] * both[None], z - g, noise[:, None] * np.hstack([smooth, free]))
             season, effect = found[:, :w], found[:, w:]
-            error = z - g * (1 + found @ np.hstack([waves, x]).T)
+            error = z - g * (1 + found @ both.T)
         else:
-            if r:
-                design = np.concatenate(
-                    [lines[None] * level[:, :, None], np.broadcast_to(waves, (many, *waves.shape))], axis=2
-                )
-            else:
-                design = np.hstack([lines, waves])
-            found = _ridge(design, z, noise[:, None] * np.hstack([fixed, soft, smooth]))
+            found = _solve(*products.at(effect), noise[:, None] * np.hstack([fixed, soft, smooth]))
             trend, season = found[:, :p], found[:, p:]
             g, s = trend @ lines.T, season @ waves.T
             if r:
@@ -127,6 +154,8 @@ def fit(
             error = z - g * (1 + effect @ x.T) - s
         bend = trend[:, 2:]
         noise = np.maximum((error**2).mean(axis=1), 1e-8)
+        if np.all(np.abs(noise - before) <= TOLERANCE * before):
+            break
     events_all = np.zeros((many, events.shape[1]))
     events_all[:, varies] = effect
     return Additive(start, span, scale, bends, multiplicative, trend, season, events_all, np.sqrt(noise))

@@ -8,7 +8,8 @@ a row with the reason; the others are not affected.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -54,37 +55,42 @@ def _by_series(
         out = out.assign(**ids, data_points=points)
         return out.reindex(columns=names)
 
+    # Series are light in bytes but heavy in work: a fixed number of partitions is not merged by its bytes.
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     full = f"{head}, {schema}, {STATUS}"
     names = [*keys, *[part.split()[0].strip("`") for part in schema.split(",")], "status", "error", "data_points"]
-    return as_model_input(df, spec).groupBy(*keys).applyInPandas(run, full)
+    return as_model_input(df, spec).repartition(tasks, *keys).groupBy(*keys).applyInPandas(run, full)
 
 
-def _events(pdf: pd.DataFrame, flags: list[str]) -> np.ndarray:
-    return pdf[flags].fillna(0).to_numpy(float) if flags else np.zeros((len(pdf), 0))
+class _Rows(NamedTuple):
+    """One series as arrays in time order; days are counted from 1970-01-01."""
 
+    days: np.ndarray
+    y: np.ndarray
+    events: np.ndarray
 
-def _days(dates: pd.Series) -> np.ndarray:
-    return pd.to_datetime(dates).to_numpy().astype("datetime64[D]").astype(float)
+    def between(self, start: float, end: float) -> _Rows:
+        """Rows with ``start < day <= end``."""
+        cut = slice(*np.searchsorted(self.days, [start, end], side="right"))
+        return _Rows(self.days[cut], self.y[cut], self.events[cut])
 
 
-def _scales(params: list[Mapping]) -> tuple[np.ndarray, np.ndarray]:
-    return (
-        np.array([float(p["changepoint_prior_scale"]) for p in params]),
-        np.array([float(p["seasonality_prior_scale"]) for p in params]),
-    )
+def _rows(pdf: pd.DataFrame, flags: list[str]) -> _Rows:
+    events = pdf[flags].fillna(0).to_numpy(float) if flags else np.zeros((len(pdf), 0))
+    days = pd.to_datetime(pdf["ds"]).to_numpy().astype("datetime64[D]").astype(float)
+    return _Rows(days, pdf["y"].to_numpy(float), events)
+
 
+def _dates(days: np.ndarray) -> np.ndarray:
+    return days.astype(int).astype("datetime64[D]").astype(object)
 
-def _fit(pdf: pd.DataFrame, flags: list[str], params: list[Mapping]) -> additive.Additive:
+
+def _fit(rows: _Rows, params: Sequence[Mapping]) -> additive.Additive:
     """All given parameters must have the same mode."""
-    bends, seasons = _scales(params)
-    return additive.fit(
-        _days(pdf["ds"]),
-        pdf["y"].to_numpy(float),
-        _events(pdf, flags),
-        bends,
-        seasons,
-        params[0]["seasonality_mode"] == "multiplicative",
-    )
+    bends = np.array([float(p["changepoint_prior_scale"]) for p in params])
+    seasons = np.array([float(p["seasonality_prior_scale"]) for p in params])
+    return additive.fit(*rows, bends, seasons, params[0]["seasonality_mode"] == "multiplicative")
 
 
 def _flags(df: DataFrame, spec: SeriesSpec, use_events: bool) -> list[str]:
@@ -102,13 +108,12 @@ def forecast(
     flags = _flags(df, spec, use_events)
 
     def body(pdf: pd.DataFrame) -> pd.DataFrame:
-        model = _fit(pdf, flags, [params])
-        last = pd.to_datetime(pdf["ds"].iloc[-1])
-        after = [last + pd.Timedelta(weeks=i) for i in range(1, weeks + 1)]
-        dates = pd.concat([pd.to_datetime(pdf["ds"]), pd.Series(after)], ignore_index=True)
-        found = model.predict(_days(dates), np.zeros((len(dates), len(flags))))
-        return pd.DataFrame({"ds": dates.dt.date, **{c: v[0] for c, v in found.items()}}).assign(
-            is_future=[False] * len(pdf) + [True] * weeks,
+        rows = _rows(pdf, flags)
+        model = _fit(rows, [params])
+        days = np.concatenate([rows.days, rows.days[-1] + 7 * np.arange(1, weeks + 1)])
+        found = model.predict(days, np.zeros((len(days), len(flags))))
+        return pd.DataFrame({"ds": _dates(days), **{c: v[0] for c, v in found.items()}}).assign(
+            is_future=days > rows.days[-1],
             k=model.trend[0, 1],
             m=model.trend[0, 0],
             sigma_obs=model.sigma[0],
@@ -137,25 +142,14 @@ def model_metadata(forecasts: DataFrame, spec: SeriesSpec = DEFAULT) -> DataFram
     )
 
 
-def _cutoffs(dates: pd.Series, initial: int, period: int, horizon: int) -> list[pd.Timestamp]:
-    first, last = dates.iloc[0], dates.iloc[-1]
-    cutoff, out = last - pd.Timedelta(weeks=horizon), []
-    while cutoff >= first + pd.Timedelta(weeks=initial):
-        out.append(cutoff)
-        cutoff -= pd.Timedelta(weeks=period)
-    return out
-
-
-def _folds(pdf: pd.DataFrame, initial: int, period: int, horizon: int):
-    dates = pd.to_datetime(pdf["ds"])
-    for cutoff in _cutoffs(dates, initial, period, horizon):
-        test = pdf[(dates > cutoff) & (dates <= cutoff + pd.Timedelta(weeks=horizon))]
-        if len(test):
-            yield cutoff, pdf[dates <= cutoff], test
-
-
-def _weeks_after(test: pd.DataFrame, cutoff: pd.Timestamp) -> np.ndarray:
-    return ((pd.to_datetime(test["ds"]) - cutoff).dt.days // 7).to_numpy(int)
+def _folds(rows: _Rows, initial: int, period: int, horizon: int):
+    """(cutoff, rows up to it, rows of its horizon, weeks from the cutoff), latest cutoff first."""
+    cutoff = rows.days[-1] - 7 * horizon
+    while cutoff >= rows.days[0] + 7 * initial:
+        test = rows.between(cutoff, cutoff + 7 * horizon)
+        if len(test.y):
+            yield cutoff, rows.between(-np.inf, cutoff), test, ((test.days - cutoff) // 7).astype(int)
+        cutoff -= 7 * period
 
 
 def backtest(
@@ -172,19 +166,11 @@ def backtest(
 
     def body(pdf: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame(columns=["ds"])]
-        for cutoff, train, test in _folds(pdf, initial, period, horizon):
-            found = _fit(train, flags, [params]).predict(_days(test["ds"]), _events(test, flags))
-            out.append(
-                pd.DataFrame(
-                    {
-                        "ds": test["ds"].to_numpy(),
-                        "cutoff": cutoff.date(),
-                        "horizon_weeks": _weeks_after(test, cutoff),
-                        "y": test["y"].to_numpy(float),
-                        **{c: found[c][0] for c in ("yhat", "yhat_lower", "yhat_upper")},
-                    }
-                )
-            )
+        for cutoff, train, test, ahead in _folds(_rows(pdf, flags), initial, period, horizon):
+            found = _fit(train, [params]).predict(test.days, test.events)
+            fold = {"ds": _dates(test.days), "horizon_weeks": ahead, "y": test.y}
+            fold |= {c: found[c][0] for c in ("yhat", "yhat_lower", "yhat_upper")}
+            out.append(pd.DataFrame(fold).assign(cutoff=_dates(np.array([cutoff]))[0]))
         return pd.concat(out[1:] or out, ignore_index=True)
 
     schema = (
@@ -200,20 +186,21 @@ def _grid(grid: Mapping) -> dict[str, list[dict]]:
     return {m: [c for c in combos if c["seasonality_mode"] == m] for m in grid["seasonality_mode"]}
 
 
-def _grid_errors(pdf, flags, modes, initial, period, horizon) -> pd.DataFrame:
+def _grid_errors(rows: _Rows, modes: Mapping, initial: int, period: int, horizon: int) -> pd.DataFrame:
     """Squared errors per parameter combination and distance from the cutoff."""
-    out = []
-    for cutoff, train, test in _folds(pdf, initial, period, horizon):
-        ahead, y = _weeks_after(test, cutoff), test["y"].to_numpy(float)
-        for combos in modes.values():
-            yhat = _fit(train, flags, combos).predict(_days(test["ds"]), _events(test, flags))["yhat"]
-            for combo, row in zip(combos, (yhat - y) ** 2, strict=True):
-                out.append(pd.DataFrame({**combo, "horizon_weeks": ahead, "squared": row}))
-    if not out:
-        return pd.DataFrame(columns=["horizon_weeks", "squared_error", "n"])
-    names = [*next(iter(modes.values()))[0], "horizon_weeks"]
-    errors = pd.concat(out, ignore_index=True).groupby(names, as_index=False)["squared"].agg(["sum", "count"])
-    return errors.rename(columns={"sum": "squared_error", "count": "n"})
+    combos = [c for group in modes.values() for c in group]
+    squared, counts = np.zeros((len(combos), horizon + 1)), np.zeros(horizon + 1, dtype=int)
+    for _, train, test, ahead in _folds(rows, initial, period, horizon):
+        yhat = [_fit(train, group).predict(test.days, test.events)["yhat"] for group in modes.values()]
+        np.add.at(squared, (slice(None), ahead), (np.vstack(yhat) - test.y) ** 2)
+        np.add.at(counts, ahead, 1)
+    seen = np.flatnonzero(counts)
+    out = pd.DataFrame(combos).loc[np.repeat(np.arange(len(combos)), len(seen))]
+    return out.assign(
+        horizon_weeks=np.tile(seen, len(combos)),
+        squared_error=squared[:, seen].ravel(),
+        n=np.tile(counts[seen], len(combos)),
+    )
 
 
 GRID_SCHEMA = "seasonality_mode string, changepoint_prior_scale double, seasonality_prior_scale double"
@@ -232,7 +219,7 @@ def grid_search(
     flags, modes = _flags(df, spec, use_events), _grid(grid)
 
     def body(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _grid_errors(pdf, flags, modes, initial, period, horizon)
+        return _grid_errors(_rows(pdf, flags), modes, initial, period, horizon)
 
     schema = f"{GRID_SCHEMA}, horizon_weeks int, squared_error double, n int"
     errors = _by_series(df, body, schema, MIN_POINTS_FIT, spec)
@@ -256,22 +243,17 @@ def tuned_against_default(
     names = list(grid)
 
     def body(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = _rows(pdf, flags)
         border = int(len(pdf) * ratio)
-        train, test = pdf.iloc[:border], pdf.iloc[border:]
-        errors = _grid_errors(train, flags, modes, **BACKTEST_WEEKS)
+        train, test = (_Rows(*(a[part] for a in rows)) for part in (slice(border), slice(border, None)))
+        errors = _grid_errors(train, modes, **BACKTEST_WEEKS)
         if errors.empty:
             raise ValueError("training part too short for a backtest")
         errors["rmse"] = np.sqrt(errors["squared_error"] / errors["n"])
-        best = errors.groupby(names)["rmse"].mean().idxmin()
-        best = dict(zip(names, best, strict=True))
-        days, events = _days(test["ds"]), _events(test, flags)
+        best = dict(zip(names, errors.groupby(names)["rmse"].mean().idxmin(), strict=True))
+        default, tuned = (_fit(train, [p]).predict(test.days, test.events)["yhat"][0] for p in (params, best))
         return pd.DataFrame(
-            {
-                "ds": test["ds"].to_numpy(),
-                "y": test["y"].to_numpy(float),
-                "default_yhat": _fit(train, flags, [params]).predict(days, events)["yhat"][0],
-                "tuned_yhat": _fit(train, flags, [best]).predict(days, events)["yhat"][0],
-            }
+            {"ds": _dates(test.days), "y": test.y, "default_yhat": default, "tuned_yhat": tuned}
         ).assign(**best)
 
     schema = f"ds date, y double, default_yhat double, tuned_yhat double, {GRID_SCHEMA}"

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weekloom.functions.numeric import ratio
+from weekloom.operators.lookup import lookup_join
 from weekloom.settings import ADDITIVE_GRID
 from weekloom.spec import DEFAULT, SeriesSpec
 
@@ -28,6 +28,12 @@ def remaining(df: DataFrame, done: DataFrame, spec: SeriesSpec = DEFAULT) -> Dat
     return df.join(done.select(*spec.keys).distinct(), spec.key_list, "left_anti")
 
 
+def remaining_labels(df: DataFrame, done: DataFrame, spec: SeriesSpec = DEFAULT) -> DataFrame:
+    """Rows of the clusters that are not in the table of finished ones."""
+    finished = done.select(spec.label).distinct().withColumn("__done", F.lit(True))
+    return lookup_join(df, finished, [spec.label]).filter(F.col("__done").isNull()).drop("__done")
+
+
 def carried_over(results: DataFrame, wanted: DataFrame, spec: SeriesSpec = DEFAULT) -> DataFrame:
     """Earlier results of the wanted series."""
     return results.join(wanted.select(*spec.keys).distinct(), spec.key_list, "left_semi")
@@ -62,8 +68,6 @@ def fill_out_of_fold(
     df: DataFrame, column: str = "oof_pred", how: str = "mean", group: list[str] | None = None, spec: SeriesSpec = DEFAULT
 ) -> DataFrame:
     """Rows before the first validation fold have no prediction: give them the group's mean, or drop them."""
-    from weekloom.operators.lookup import lookup_join
-
     group = [spec.label] if group is None else group
     if how == "drop":
         return df.filter(F.col(column).isNotNull())
@@ -86,7 +90,3 @@ def future_frame(df: DataFrame, weeks: int, spec: SeriesSpec = DEFAULT) -> DataF
     ahead = F.sequence(F.col(spec.time), F.date_add(spec.time, 7 * weeks), F.expr("interval 7 days"))
     dates = F.when(F.col("__is_last"), ahead).otherwise(F.array(spec.time))
     return dated.select(*spec.keys, F.explode(dates).alias("ds"), *[F.lit(0).alias(c) for c in flags])
-
-
-def share(part, whole):
-    return ratio(part, whole)

@@ -76,12 +76,24 @@ def fill_medians(df: DataFrame, medians: dict[str, float]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(m)) for c, m in medians.items()})
 
 
+LOCAL_MEDIAN_ROWS = 1_000_000
+
+
 def median_values(df: DataFrame, columns: Iterable[str]) -> dict[str, float]:
-    """Medians of the columns that have missing values (the others need none); 0 for a column without values."""
+    """Medians of the columns that have missing values (the others need none); 0 for a column without values.
+
+    Tables counted to be small use the plain aggregate, larger ones the distributed median.
+    """
     columns = list(columns)
-    missing = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
-    needed = [c for c in columns if missing[c]]
+    facts = df.agg(
+        F.count(F.lit(1)).alias("__rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns]
+    ).first()
+    needed = [c for c in columns if facts[c]]
     if not needed:
         return {}
-    found = {r["feature"]: r["median"] for r in exact_medians(df, needed).collect()}
+    if facts["__rows"] <= LOCAL_MEDIAN_ROWS:
+        row = df.agg(*[F.median(c).cast("double").alias(c) for c in needed]).first()
+        found = {c: row[c] for c in needed if row[c] is not None}
+    else:
+        found = {r["feature"]: r["median"] for r in exact_medians(df, needed).collect()}
     return {c: found.get(c, 0.0) for c in needed}

@@ -55,6 +55,25 @@ def chronological_split(
     return joined.withColumn("split", _train_test(F.col(spec.time) <= F.col("cutoff_week")))
 
 
+def week_share_split(
+    df: DataFrame, ratio: float = TRAIN_RATIO, spec: SeriesSpec = DEFAULT, group: list[str] | None = None
+) -> DataFrame:
+    """The first share of the weeks of the group is for training, the later weeks are the test."""
+    group = _group(spec, group)
+    placed = _week_places(df, spec, group)
+    side = placed.select(*group, spec.time, _train_test(F.col("__place") < F.floor(F.col("__size") * F.lit(ratio))).alias("split"))
+    return lookup_join(df, side, [*group, spec.time], "inner").select(*df.columns, "split")
+
+
+def _week_places(df: DataFrame, spec: SeriesSpec, group: list[str]) -> DataFrame:
+    """The weeks of each group, numbered from 0, and how many there are: a table of weeks, not of rows."""
+    whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    weeks = df.select(*group, spec.time).distinct()
+    return weeks.withColumn("__place", F.row_number().over(whole.orderBy(spec.time)) - 1).withColumn(
+        "__size", F.count(F.lit(1)).over(whole)
+    )
+
+
 def per_series_split(df: DataFrame, ratio: float = TRAIN_RATIO, spec: SeriesSpec = DEFAULT) -> DataFrame:
     rank = F.row_number().over(spec.in_time())
     rows = F.count(F.lit(1)).over(spec.by_series())
@@ -101,11 +120,7 @@ def cv_folds(
         return placed.withColumn("fold", _fold(F.col("pos"), F.col("group_rows"), folds)).drop("pos", "group_rows")
     if mode != "chronological":
         raise ValueError(f"unknown mode {mode}")
-    weeks = df.select(*group, spec.time).distinct()
-    by_week = Window.partitionBy(*group).orderBy(spec.time)
-    placed = weeks.withColumn("__place", F.row_number().over(by_week) - 1).withColumn(
-        "__size", F.count(F.lit(1)).over(Window.partitionBy(*group))
-    )
+    placed = _week_places(df, spec, group)
     fold_of_week = placed.select(*group, spec.time, _fold(F.col("__place"), F.col("__size"), folds).alias("fold"))
     return lookup_join(df, fold_of_week, [*group, spec.time], "inner").select(*df.columns, "fold")
 
