@@ -127,16 +127,17 @@ def fit(
 
     many = len(bend_scales)
     p, w, r = lines.shape[1], waves.shape[1], x.shape[1]
-    season, effect, trend = np.zeros((many, w)), np.zeros((many, r)), np.zeros((many, p))
-    bend = np.full((many, count), 0.1)
+    season, effect = np.zeros((many, w)), np.zeros((many, r))
+    trend = np.full((many, p), 0.1)
     noise = np.full(many, max(float(z.var()), 1e-8))
     fixed = np.full((many, 2), 1 / TREND_SCALE**2)
     smooth = np.repeat(1 / season_scales[:, None] ** 2, w, axis=1)
     free = np.full((many, r), 1 / EVENT_SCALE**2)
     products = None if multiplicative else _Products(lines, waves, x, z)
+    settled = np.zeros(many, dtype=bool)
     for _ in range(ROUNDS):
-        soft = 1 / (bend_scales[:, None] * np.maximum(np.abs(bend), 1e-6))
-        before = noise
+        soft = 1 / (bend_scales[:, None] * np.maximum(np.abs(trend[:, 2:]), 1e-6))
+        before = (trend, season, effect, noise)
         if multiplicative:
             level = 1 + effect @ x.T + season @ waves.T
             trend = _ridge(lines[None] * level[:, :, None], z, noise[:, None] * np.hstack([fixed, soft]))
@@ -152,9 +153,14 @@ def fit(
             if r:
                 effect = _ridge(g[:, :, None] * x[None], z - g - s, noise[:, None] * free)
             error = z - g * (1 + effect @ x.T) - s
-        bend = trend[:, 2:]
         noise = np.maximum((error**2).mean(axis=1), 1e-8)
-        if np.all(np.abs(noise - before) <= TOLERANCE * before):
+        # What has settled stays as it is, so that a result does not depend on the scales solved beside it.
+        after = (trend, season, effect, noise)
+        trend, season, effect, noise = (
+            np.where(settled.reshape(-1, *[1] * (old.ndim - 1)), old, new) for old, new in zip(before, after, strict=True)
+        )
+        settled |= np.abs(noise - before[3]) <= TOLERANCE * before[3]
+        if settled.all():
             break
     events_all = np.zeros((many, events.shape[1]))
     events_all[:, varies] = effect

@@ -53,7 +53,7 @@ def _by_series(
             except Exception as failure:  # one bad series must not end the job
                 out = pd.DataFrame({"status": ["failed"], "error": [str(failure)]})
         out = out.assign(**ids, data_points=points)
-        return out.reindex(columns=names)
+        return out.assign(**{c: None for c in names if c not in out.columns})[names]
 
     # Series are light in bytes but heavy in work: a fixed number of partitions is not merged by its bytes.
     spark = df.sparkSession
@@ -87,7 +87,11 @@ def _dates(days: np.ndarray) -> np.ndarray:
 
 
 def _fit(rows: _Rows, params: Sequence[Mapping]) -> additive.Additive:
-    """All given parameters must have the same mode."""
+    """All given parameters must have the same mode. Weeks without a value are left out."""
+    known = np.isfinite(rows.y)
+    if known.sum() < 2:
+        raise ValueError("fewer than two values")
+    rows = _Rows(*(a[known] for a in rows))
     bends = np.array([float(p["changepoint_prior_scale"]) for p in params])
     seasons = np.array([float(p["seasonality_prior_scale"]) for p in params])
     return additive.fit(*rows, bends, seasons, params[0]["seasonality_mode"] == "multiplicative")

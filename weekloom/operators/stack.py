@@ -108,7 +108,11 @@ def ridge(train: DataFrame, alpha: float, vector: str, label: str) -> LinearRegr
 
 
 def fit_meta(
-    train: DataFrame, kind: str = "ridge", alpha: float = RIDGE_ALPHA, spec: SeriesSpec = DEFAULT
+    train: DataFrame,
+    kind: str = "ridge",
+    alpha: float = RIDGE_ALPHA,
+    params: Mapping = STACK_META_BOOSTED,
+    spec: SeriesSpec = DEFAULT,
 ) -> PipelineModel:
     """Meta-model on the original features and the out-of-fold prediction."""
     numeric, categorical = _inputs(train, spec)
@@ -118,9 +122,7 @@ def fit_meta(
     if kind == "ridge":
         model = ridge(points, alpha, VECTOR, spec.value).fit(points)
     elif kind == "boosted":
-        model = GBTRegressor(
-            featuresCol=VECTOR, labelCol=spec.value, maxBins=bins, seed=SEED, **STACK_META_BOOSTED
-        ).fit(points)
+        model = GBTRegressor(featuresCol=VECTOR, labelCol=spec.value, maxBins=bins, seed=SEED, **params).fit(points)
     else:
         raise ValueError(f"unknown meta-model {kind}")
     return PipelineModel([*encoder.stages, model])
@@ -156,6 +158,7 @@ def fit_stack(
     folds: int,
     params: Mapping,
     meta: str = "ridge",
+    meta_params: Mapping = STACK_META_BOOSTED,
     fill: str = "mean",
     group: list[str] | None = None,
     spec: SeriesSpec = DEFAULT,
@@ -163,7 +166,7 @@ def fit_stack(
     folded = stage(cv_folds(train, folds, "chronological", spec, group or []))
     level_one = out_of_fold(folded, folds, params, fill, spec)
     base = fit_base(folded, params, folds - 1, spec=spec)
-    return Stack(base, fit_meta(level_one, meta, spec=spec))
+    return Stack(base, fit_meta(level_one, meta, params=meta_params, spec=spec))
 
 
 def _scores(predictions: DataFrame, spec: SeriesSpec, group: list[str]) -> DataFrame:
@@ -175,6 +178,7 @@ def stack_global(
     folds: int = CV_FOLDS,
     params: Mapping = STACK_BASE_GLOBAL,
     meta: str = "ridge",
+    meta_params: Mapping = STACK_META_BOOSTED,
     fill: str = "mean",
     test_weeks: int = TEST_WEEKS,
     path: str | None = None,
@@ -182,7 +186,7 @@ def stack_global(
 ) -> tuple[DataFrame, DataFrame]:
     """One stack for all series: test predictions, and their metrics as one row."""
     rows = stage(prepare(table, test_weeks, [], spec=spec))
-    model = fit_stack(rows.filter("split = 'train'"), folds, params, meta, fill, spec=spec)
+    model = fit_stack(rows.filter("split = 'train'"), folds, params, meta, meta_params, fill, spec=spec)
     if path:
         model.save(path)
     predictions = stage(model.predict(rows.filter("split = 'test'"), spec))
@@ -194,6 +198,7 @@ def stack_clusters(
     folds: int = CV_FOLDS_CLUSTER,
     params: Mapping = STACK_BASE_CLUSTER,
     meta: str = "ridge",
+    meta_params: Mapping = STACK_META_BOOSTED,
     fill: str = "mean",
     test_weeks: int = TEST_WEEKS,
     max_rows: int | None = None,
@@ -225,14 +230,15 @@ def stack_clusters(
         part = rows.filter(F.col(spec.label) == label)
         train, test = part.filter("split = 'train'"), part.filter("split = 'test'")
         try:
-            model = fit_stack(train, adaptive_folds(n_train, folds), params, meta, fill, spec=spec)
+            model = fit_stack(train, adaptive_folds(n_train, folds), params, meta, meta_params, fill, spec=spec)
             if path:
                 model.save(f"{path}/cluster={label}")
         except Exception as failure:  # one bad cluster must not end the others
             return (label, f"failed: {failure}"), None
         return (label, "ok"), model.predict(test, spec)
 
-    found = in_parallel([lambda label=label: stack_one(label) for label in label_list(rows, spec)], clusters_at_once)
+    work = [lambda label=label: stack_one(label) for label in label_list(rows, spec)]
+    found = in_parallel(rows.sparkSession, work, clusters_at_once)
     notes, parts = [note for note, _ in found], [p for _, p in found if p is not None]
     status = table.sparkSession.createDataFrame(notes, f"{spec.label} int, status string")
     if not parts:

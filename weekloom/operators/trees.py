@@ -59,12 +59,12 @@ def model_columns(df: DataFrame, spec: SeriesSpec = DEFAULT) -> tuple[list[str],
     return [c for c in names if c not in spec.keys], [c for c in names if c in spec.keys]
 
 
-def in_parallel(work: Sequence[Callable], threads: int) -> list:
+def in_parallel(spark: SparkSession, work: Sequence[Callable], threads: int) -> list:
     """Run independent Spark jobs side by side, so that the tail of one does not idle the cluster."""
     if threads <= 1 or len(work) <= 1:
         return [w() for w in work]
     with ThreadPool(threads) as pool:
-        return pool.map(lambda w: inheritable_thread_target(w)(), work)
+        return pool.map(lambda w: inheritable_thread_target(spark)(w)(), work)
 
 
 def search(
@@ -93,7 +93,7 @@ def search(
             return math.inf if found is None else found
 
         try:
-            found = in_parallel([lambda p=p: score(p) for p in candidates], threads)
+            found = in_parallel(train.sparkSession, [lambda p=p: score(p) for p in candidates], threads)
         finally:
             past_points.unpersist()
             ahead_points.unpersist()
@@ -193,8 +193,8 @@ def train_clusters(
             return (label, None, None, f"failed: {failure}"), None, None
         return (label, str(best), error, "ok"), model, model.transform(rows.filter("split = 'test'"))
 
-    labels = label_list(stored, spec)
-    done = in_parallel([lambda label=label: train_one(label) for label in labels], clusters_at_once)
+    work = [lambda label=label: train_one(label) for label in label_list(stored, spec)]
+    done = in_parallel(stored.sparkSession, work, clusters_at_once)
     out = Trained(models={note[0]: model for note, model, _ in done if model is not None})
     scored = [as_predictions(rows, spec) for _, _, rows in done if rows is not None]
     _finish(out, scored, [note for note, _, _ in done], stored.filter("split = 'train'"), boundary, spec)
