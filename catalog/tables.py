@@ -64,8 +64,13 @@ def weekly(spark: SparkSession, folder: str) -> DataFrame:
 
 def gold_plan(spark: SparkSession, folder: str, ordered: bool = False) -> DataFrame:
     """From the given tables to the weekly gold table, nothing stored on the way."""
-    plain = layers.silver(bronze.sales(spark, folder), bronze.retailers(spark, folder))
-    return layers.weekly_gold(plain, bronze.EXCLUDED_SEGMENTS, period=bronze.PERIOD, ordered=ordered)
+    return layers.weekly_gold_from_sales(
+        bronze.sales(spark, folder),
+        bronze.retailers(spark, folder),
+        types=bronze.EXCLUDED_SEGMENTS,
+        period=bronze.PERIOD,
+        ordered=ordered,
+    )
 
 
 def gold(spark: SparkSession, folder: str) -> DataFrame:

@@ -30,6 +30,7 @@ def fit_encoder(
     mode: str = "onehot",
     missing: str = "missing",
     max_categories: int = MAX_CATEGORIES,
+    approximate: bool = False,
     vector: str = VECTOR,
 ) -> tuple[PipelineModel, int]:
     """Fitted preprocessing and the number of bins a tree needs for it.
@@ -40,7 +41,7 @@ def fit_encoder(
     """
     if mode not in ("onehot", "index"):
         raise ValueError(f"unknown mode {mode}")
-    medians = median_values(train, numeric)
+    medians = median_values(train, numeric, approximate)
     numbers = [f"COALESCE(CAST(`{c}` AS DOUBLE), {medians.get(c, 0.0)!r}D) AS `__n_{c}`" for c in numeric]
     texts = [f"COALESCE(CAST(`{c}` AS STRING), '{missing}') AS `__t_{c}`" for c in categorical]
     fill = SQLTransformer(statement=f"SELECT *, {', '.join([*numbers, *texts])} FROM __THIS__")

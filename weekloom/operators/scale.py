@@ -79,10 +79,11 @@ def fill_medians(df: DataFrame, medians: dict[str, float]) -> DataFrame:
 LOCAL_MEDIAN_ROWS = 1_000_000
 
 
-def median_values(df: DataFrame, columns: Iterable[str]) -> dict[str, float]:
+def median_values(df: DataFrame, columns: Iterable[str], approximate: bool = False) -> dict[str, float]:
     """Medians of the columns that have missing values (the others need none); 0 for a column without values.
 
-    Tables counted to be small use the plain aggregate, larger ones the distributed median.
+    Tables counted to be small use the plain aggregate, larger ones the distributed median, which shuffles their
+    distinct values. ``approximate`` uses a sketch of bounded size and no shuffle of values instead.
     """
     columns = list(columns)
     facts = df.agg(
@@ -91,7 +92,10 @@ def median_values(df: DataFrame, columns: Iterable[str]) -> dict[str, float]:
     needed = [c for c in columns if facts[c]]
     if not needed:
         return {}
-    if facts["__rows"] <= LOCAL_MEDIAN_ROWS:
+    if approximate:
+        row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, 10_000).alias(c) for c in needed]).first()
+        found = {c: row[c] for c in needed if row[c] is not None}
+    elif facts["__rows"] <= LOCAL_MEDIAN_ROWS:
         row = df.agg(*[F.median(c).cast("double").alias(c) for c in needed]).first()
         found = {c: row[c] for c in needed if row[c] is not None}
     else:

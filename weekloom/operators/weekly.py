@@ -12,15 +12,21 @@ from weekloom.settings import FLAGGED_PERIOD, MIN_WEEKS_GOLD
 from weekloom.spec import DEFAULT, SeriesSpec
 
 
-def silver_rollup(sales: DataFrame, retailers: DataFrame) -> DataFrame:
-    """Sales per site, item, day, promotion and type.
+def silver_rows(sales: DataFrame, retailers: DataFrame) -> DataFrame:
+    """Single sales with the site and type of their retailer.
 
     The join carries no hint: Spark broadcasts the retailers if their files are small enough, and else splits
-    hot retailers at run time (adaptive skew join). The sums are partly built before the only shuffle.
+    hot retailers at run time (adaptive skew join).
     """
     d = retailers.select(F.col("detallista").alias("__retailer"), "establecimiento", F.col("type").alias("tipo"))
+    joined = sales.join(d, F.col("detallista").cast("string") == F.col("__retailer"))
+    return joined.select("establecimiento", "material", "calday", "promo_id", "tipo", "volume_ap", "cantidad_umb")
+
+
+def silver_rollup(sales: DataFrame, retailers: DataFrame) -> DataFrame:
+    """Sales per site, item, day, promotion and type; the sums are partly built before the only shuffle."""
     return (
-        sales.join(d, F.col("detallista").cast("string") == F.col("__retailer"))
+        silver_rows(sales, retailers)
         .groupBy("establecimiento", "material", "calday", "promo_id", "tipo")
         .agg(F.sum("volume_ap").alias("volume_ap"), F.sum("cantidad_umb").alias("cantidad_umb"))
     )

@@ -13,7 +13,14 @@ from weekloom.operators.clean import (
     keep_items,
     run_steps,
 )
-from weekloom.operators.weekly import fill_gaps, min_weeks, silver_rollup, sort_by_volume, weekly_rollup
+from weekloom.operators.weekly import (
+    fill_gaps,
+    min_weeks,
+    silver_rollup,
+    silver_rows,
+    sort_by_volume,
+    weekly_rollup,
+)
 from weekloom.settings import (
     DROPPED_COLUMNS,
     EXCLUDED_TYPES,
@@ -42,7 +49,7 @@ def weekly_gold(
     compression: str = "snappy",
     spec: SeriesSpec = DEFAULT,
 ):
-    """Cleaned, gap-free weekly table.
+    """Cleaned, gap-free weekly table from silver rows, daily or single ones.
 
     ``ordered`` adds the final global sort, which only a reader of the result needs. With ``count_rows`` the row
     counts after each step are returned as well, to be read after an action on the result.
@@ -71,5 +78,13 @@ def weekly_gold(
     return (table, observed) if count_rows else table
 
 
+def weekly_gold_from_sales(sales: DataFrame, retailers: DataFrame, **options):
+    """``weekly_gold`` without a stored silver table.
+
+    Weekly sums of single sales equal weekly sums of daily sums, so the shuffle of the daily rollup is saved.
+    """
+    return weekly_gold(silver_rows(sales, retailers), **options)
+
+
 def training_gold(gold: DataFrame, weeks: int = MIN_WEEKS_TRAINING, spec: SeriesSpec = DEFAULT) -> DataFrame:
     return min_weeks(gold, weeks, spec)

@@ -8,6 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# For any session that builds feature tables: the JVM does not compile methods of more than 8000 bytes of bytecode,
+# and one fused stage over some fifty derived columns is larger. Below this limit Spark splits it into small methods.
+WIDE_TABLE_SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
+def apply_settings(spark: SparkSession) -> SparkSession:
+    """Put the settings for wide tables on a session that already exists, such as that of a cluster."""
+    for key, value in WIDE_TABLE_SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf) -> SparkSession:
     """A session for tests and benchmarks on one machine; a cluster brings its own."""
     builder = (
@@ -23,6 +35,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf) -
         .config("spark.driver.memory", "12g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    for key, value in WIDE_TABLE_SETTINGS.items():
+        builder = builder.config(key, value)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), str(value))
     return builder.getOrCreate()
