@@ -173,6 +173,21 @@ CTES = {
                ANY_VALUE(s.mape_pct) AS mape_pct, AVG(coverage) AS coverage, CAST(SUM(row_count) AS BIGINT) AS data_points
         FROM horizons h LEFT JOIN share s ON h.establecimiento = s.establecimiento AND h.material = s.material
         GROUP BY 1, 2""",
+    "upto": """
+        SELECT *, CAST(SUM(row_count) OVER (PARTITION BY establecimiento, material ORDER BY horizon_weeks) AS DOUBLE) AS c,
+               CAST(SUM(row_count) OVER (PARTITION BY establecimiento, material) AS DOUBLE) AS total FROM horizons""",
+    **{
+        f"smooth_{name}": f"""
+        SELECT establecimiento, material, horizon_weeks, mse, SQRT(mse) AS rmse, mae, coverage FROM (
+          SELECT a.establecimiento, a.material, a.horizon_weeks, {', '.join(
+              f'SUM(GREATEST(0, b.c - GREATEST(b.c - b.row_count, a.c - a.w)) * b.{m}) / ANY_VALUE(a.w) AS {m}'
+              for m in ('mse', 'mae', 'coverage'))}
+          FROM (SELECT *, GREATEST(1, FLOOR(total * CAST({share} AS DOUBLE))) AS w FROM upto) a
+          JOIN upto b ON a.establecimiento = b.establecimiento AND a.material = b.material
+            AND b.horizon_weeks <= a.horizon_weeks
+          WHERE a.c >= a.w GROUP BY 1, 2, 3)"""
+        for name, share in (("wide", 0.15), ("usual", 0.1))
+    },
     "predictions": """
         SELECT b.establecimiento, b.material, ds AS week, y AS actual_volume, yhat AS predicted_volume, l.cluster_label
         FROM backtest0 b JOIN labels l ON b.establecimiento = l.establecimiento AND b.material = l.material""",
@@ -493,6 +508,15 @@ ORACLES: dict[str, str] = {
                {rr('mse', 'rmse', 'mae', 'mape_pct', 'coverage')} FROM horizons"""),
     "series_metrics": sql(f"""
         SELECT establecimiento, material, {rr('mse', 'rmse', 'mae', 'mape_pct', 'coverage')}, data_points FROM per_series"""),
+    "smoothed_horizons": sql(
+        f"SELECT establecimiento, material, horizon_weeks, {rr('mse', 'rmse', 'mae', 'coverage')} FROM smooth_wide"
+    ),
+    "smoothed_series_metrics": sql(f"""
+        SELECT p.establecimiento, p.material, {', '.join(f"{r(f's.{m}')} AS {m}" for m in ('mse', 'rmse', 'mae', 'coverage'))},
+               {r('p.mape_pct')} AS mape_pct, p.data_points
+        FROM per_series p JOIN (
+          SELECT establecimiento, material, AVG(mse) AS mse, AVG(rmse) AS rmse, AVG(mae) AS mae, AVG(coverage) AS coverage
+          FROM smooth_usual GROUP BY 1, 2) s ON p.establecimiento = s.establecimiento AND p.material = s.material"""),
     "global_metrics": sql(f"""
         SELECT {r('SQRT(AVG(POW(y - yhat, 2)))')} AS global_rmse, {r('AVG(ABS(y - yhat))')} AS global_mae,
                {r('100 * AVG(ABS(y - yhat) / ABS(y)) FILTER (WHERE y <> 0)')} AS global_mape_pct,

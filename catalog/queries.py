@@ -384,6 +384,17 @@ def series_metrics(spark, folder):
     return metrics.series_metrics(t.backtest(spark, folder))
 
 
+@query
+def smoothed_horizons(spark, folder):
+    df = metrics.smooth_horizons(metrics.horizon_metrics(t.backtest(spark, folder)), 0.15)
+    return df.select(*KEYS, "horizon_weeks", "mse", "rmse", "mae", "coverage")
+
+
+@query
+def smoothed_series_metrics(spark, folder):
+    return metrics.series_metrics(t.backtest(spark, folder), smooth=0.1)
+
+
 @query
 def global_metrics(spark, folder):
     return metrics.global_metrics(t.backtest(spark, folder))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from weekloom.operators.lookup import LOOKUP_ROWS, bounded, lookup_join
 from weekloom.operators.scale import Scaler
+from weekloom.session import in_parallel
 from weekloom.settings import CLUSTER_COUNT, CLUSTER_SWEEP, SEED, SERIES_FEATURES
 from weekloom.spec import DEFAULT, SeriesSpec, feature_columns
 
@@ -27,7 +28,11 @@ def cluster_columns(df: DataFrame, spec: SeriesSpec = DEFAULT) -> list[str]:
 
 
 def sweep(
-    scaled: DataFrame, ks: Iterable[int] = CLUSTER_SWEEP, seed: int = SEED, spec: SeriesSpec = DEFAULT
+    scaled: DataFrame,
+    ks: Iterable[int] = CLUSTER_SWEEP,
+    seed: int = SEED,
+    threads: int = 3,
+    spec: SeriesSpec = DEFAULT,
 ) -> DataFrame:
     """Inertia and silhouette for several numbers of clusters; one row per number.
 
@@ -35,12 +40,14 @@ def sweep(
     over the cluster, so that no pairs of series are formed.
     """
     points = _vectors(scaled, cluster_columns(scaled, spec)).select("__point").persist()
-    try:
+
+    def one(k: int) -> tuple[int, float, float]:
+        model = KMeans(k=k, seed=seed, featuresCol="__point").fit(points)
         judge = ClusteringEvaluator(featuresCol="__point", predictionCol="prediction")
-        rows = []
-        for k in ks:
-            model = KMeans(k=k, seed=seed, featuresCol="__point").fit(points)
-            rows.append((k, float(model.summary.trainingCost), float(judge.evaluate(model.transform(points)))))
+        return k, float(model.summary.trainingCost), float(judge.evaluate(model.transform(points)))
+
+    try:
+        rows = in_parallel(scaled.sparkSession, [lambda k=k: one(k) for k in ks], threads)
     finally:
         points.unpersist()
     return scaled.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")

@@ -121,6 +121,11 @@ def table_schema(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.dtypes, "column_name string, column_type string")
 
 
+def preview(df: DataFrame, n: int = 50) -> DataFrame:
+    """Some first rows, for looking at a table."""
+    return df.limit(n)
+
+
 def label_distribution(df: DataFrame, spec: SeriesSpec = DEFAULT) -> DataFrame:
     """Rows per label, with their share; the window runs over one row per label."""
     counts = df.groupBy(spec.label).agg(F.count(F.lit(1)).alias("row_count"))

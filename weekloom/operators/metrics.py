@@ -175,12 +175,57 @@ def horizon_metrics(backtest: DataFrame, spec: SeriesSpec = DEFAULT) -> DataFram
     )
 
 
-def series_metrics(backtest: DataFrame, spec: SeriesSpec = DEFAULT) -> DataFrame:
-    """Mean over the horizons; the percentage error is that of all rows with a nonzero actual value."""
+def smooth_horizons(horizons: DataFrame, share: float = 0.1, spec: SeriesSpec = DEFAULT) -> DataFrame:
+    """Horizon metrics averaged over the nearest earlier horizons, until they hold a share of the series' rows.
+
+    Each value is the mean of the last ``share`` of all rows in the order of their horizon; of the earliest horizon
+    that is reached only the missing part counts. Horizons with too few rows before them are left out. The arrays
+    hold one entry per horizon.
+    """
+    in_order = spec.by_series().orderBy("horizon_weeks")
+    names = ["mse", "mae", "coverage"]
+    placed = horizons.withColumns(
+        {
+            "__upto": F.sum("row_count").over(in_order),
+            "__need": F.greatest(F.lit(1), F.floor(F.sum("row_count").over(spec.by_series()) * F.lit(share))),
+        }
+    )
+    placed = placed.withColumn("__bins", F.collect_list(F.struct("__upto", "row_count", *names)).over(in_order))
+    start = F.col("__upto") - F.col("__need")
+
+    def mean(name):
+        def add(total, b):
+            rows = b["__upto"] - F.greatest(b["__upto"] - b["row_count"], start)
+            return total + F.greatest(rows, F.lit(0)) * b[name]
+
+        return F.aggregate("__bins", F.lit(0.0).cast("double"), add) / F.col("__need")
+
+    return (
+        placed.filter(start >= 0)
+        .withColumns({name: mean(name) for name in names})
+        .withColumn("rmse", F.sqrt("mse"))
+        .select(*horizons.columns)
+    )
+
+
+def series_metrics(backtest: DataFrame, smooth: float | None = None, spec: SeriesSpec = DEFAULT) -> DataFrame:
+    """Mean over the horizons; the percentage error is that of all rows with a nonzero actual value.
+
+    With ``smooth`` the horizons are first smoothed over that share of the rows.
+    """
+    horizons = horizon_metrics(backtest, spec)
+    scores = _over_horizons(horizons, spec)
+    if smooth is None:
+        return scores
+    smoothed = _over_horizons(smooth_horizons(horizons, smooth, spec), spec)
+    names = ["mse", "rmse", "mae", "coverage"]
+    return scores.drop(*names).join(smoothed.select(*spec.keys, *names), spec.key_list).select(*scores.columns)
+
+
+def _over_horizons(horizons: DataFrame, spec: SeriesSpec) -> DataFrame:
     weighted = F.sum(F.col("mape_pct") * F.col("nonzero_rows"))
     return (
-        horizon_metrics(backtest, spec)
-        .groupBy(*spec.keys)
+        horizons.groupBy(*spec.keys)
         .agg(
             F.avg("mse").alias("mse"),
             F.avg("rmse").alias("rmse"),

@@ -16,9 +16,9 @@ from weekloom.operators.encode import VECTOR, fit_encoder
 from weekloom.operators.metrics import cluster_metrics
 from weekloom.operators.results import fill_out_of_fold, remaining_labels, union_all
 from weekloom.operators.split import adaptive_folds, chronological_split, cv_folds
-from weekloom.operators.trees import NOT_FEATURES, in_parallel, label_list
+from weekloom.operators.trees import NOT_FEATURES, label_list
 from weekloom.operators.weekly import recent_rows
-from weekloom.session import stage
+from weekloom.session import in_parallel, stage
 from weekloom.settings import (
     CATEGORICAL_FEATURES,
     CV_FOLDS,

@@ -7,9 +7,7 @@ import math
 import random
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +20,7 @@ from weekloom.operators.results import union_all
 from weekloom.operators.sampling import sample_large_groups
 from weekloom.operators.split import cv_folds, positional_split, week_share_split
 from weekloom.operators.weekly import distinct_labels
-from weekloom.session import stage
+from weekloom.session import in_parallel, stage
 from weekloom.settings import (
     BOOSTED_SPACE,
     BOOSTED_TRIALS,
@@ -59,14 +57,6 @@ def model_columns(df: DataFrame, spec: SeriesSpec = DEFAULT) -> tuple[list[str],
     return [c for c in names if c not in spec.keys], [c for c in names if c in spec.keys]
 
 
-def in_parallel(spark: SparkSession, work: Sequence[Callable], threads: int) -> list:
-    """Run independent Spark jobs side by side, so that the tail of one does not idle the cluster."""
-    if threads <= 1 or len(work) <= 1:
-        return [w() for w in work]
-    with ThreadPool(threads) as pool:
-        return pool.map(lambda w: inheritable_thread_target(spark)(w)(), work)
-
-
 def search(
     train: DataFrame,
     family: str,

@@ -89,7 +89,7 @@ def run_forecasts(
     fitted = carried_over(rows, forecasts.filter("status = 'ok'"), spec)
     fc.backtest(fitted, params, use_events, spec=spec).write.mode("overwrite").parquet(paths["backtests"])
     backtests = spark.read.parquet(paths["backtests"]).filter("status = 'ok'")
-    scores = series_metrics(backtests, spec).drop("data_points")
+    scores = series_metrics(backtests, spec=spec).drop("data_points")
     table = fc.model_metadata(forecasts, spec).join(scores, spec.key_list, "left")
     table.withColumn("finished_at", F.current_timestamp()).write.mode("overwrite").parquet(paths["results"])
     return read_results(spark, output, spec)

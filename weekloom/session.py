@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
+from pathlib import Path
+from zipfile import ZipFile
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -76,3 +81,28 @@ def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, which need it for pandas functions; once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="weekloom-")) / "weekloom.zip"
+    with ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
+def in_parallel(spark: SparkSession, work: Sequence[Callable], threads: int) -> list:
+    """Run independent Spark jobs side by side, so that the tail of one does not idle the cluster."""
+    if threads <= 1 or len(work) <= 1:
+        return [w() for w in work]
+    with ThreadPool(threads) as pool:
+        return pool.map(lambda w: inheritable_thread_target(spark)(w)(), work)
