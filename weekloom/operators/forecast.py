@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from weekloom.functions import additive
 from weekloom.operators.clean import as_model_input
-from weekloom.session import ship_package
+from weekloom.session import workers_find_package
 from weekloom.settings import (
     ADDITIVE_DEFAULTS,
     ADDITIVE_GRID,
@@ -58,7 +58,7 @@ def _by_series(
 
     # Series are light in bytes but heavy in work: a fixed number of partitions is not merged by its bytes.
     spark = df.sparkSession
-    ship_package(spark)
+    workers_find_package(spark)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     full = f"{head}, {schema}, {STATUS}"
     names = [*keys, *[part.split()[0].strip("`") for part in schema.split(",")], "status", "error", "data_points"]

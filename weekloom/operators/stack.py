@@ -16,7 +16,7 @@ from weekloom.operators.encode import VECTOR, fit_encoder
 from weekloom.operators.metrics import cluster_metrics
 from weekloom.operators.results import fill_out_of_fold, remaining_labels, union_all
 from weekloom.operators.split import adaptive_folds, chronological_split, cv_folds
-from weekloom.operators.trees import NOT_FEATURES, label_list
+from weekloom.operators.trees import NOT_FEATURES, label_sizes
 from weekloom.operators.weekly import recent_rows
 from weekloom.session import in_parallel, stage
 from weekloom.settings import (
@@ -214,10 +214,7 @@ def stack_clusters(
     if done is not None:
         table = remaining_labels(table, done, spec)
     rows = stage(prepare(table, test_weeks, [spec.label], max_rows, spec), partition_by=[spec.label])
-    sizes = rows.groupBy(spec.label).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("split") == "train").alias("train")
-    )
-    counts = {r[spec.label]: (r["n"], r["train"]) for r in sizes.collect()}
+    counts = label_sizes(rows, spec)
 
     def stack_one(label: int) -> tuple[tuple, DataFrame | None]:
         n, n_train = counts[label]
@@ -237,7 +234,7 @@ def stack_clusters(
             return (label, f"failed: {failure}"), None
         return (label, "ok"), model.predict(test, spec)
 
-    work = [lambda label=label: stack_one(label) for label in label_list(rows, spec)]
+    work = [lambda label=label: stack_one(label) for label in counts]
     found = in_parallel(rows.sparkSession, work, clusters_at_once)
     notes, parts = [note for note, _ in found], [p for _, p in found if p is not None]
     status = table.sparkSession.createDataFrame(notes, f"{spec.label} int, status string")

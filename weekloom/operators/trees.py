@@ -19,7 +19,6 @@ from weekloom.operators.metrics import absolute_error, attach_mase, cluster_metr
 from weekloom.operators.results import union_all
 from weekloom.operators.sampling import sample_large_groups
 from weekloom.operators.split import cv_folds, positional_split, week_share_split
-from weekloom.operators.weekly import distinct_labels
 from weekloom.session import in_parallel, stage
 from weekloom.settings import (
     BOOSTED_SPACE,
@@ -123,11 +122,13 @@ class Trained:
     metrics: DataFrame | None = None
 
 
-def label_list(df: DataFrame, spec: SeriesSpec = DEFAULT) -> list[int]:
-    labels = bounded(distinct_labels(df, spec))
-    if labels is None:
+def label_sizes(df: DataFrame, spec: SeriesSpec = DEFAULT) -> dict[int, tuple[int, int]]:
+    """Rows and training rows (column ``split``) per label."""
+    sizes = df.filter(F.col(spec.label).isNotNull()).groupBy(spec.label)
+    sizes = bounded(sizes.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("split") == "train").alias("train")))
+    if sizes is None:
         raise ValueError(f"more than {LOOKUP_ROWS} clusters; a model per cluster is not meant for that")
-    return sorted(r[0] for r in labels.collect())
+    return {r[spec.label]: (r["n"], r["train"]) for r in sorted(sizes.collect())}
 
 
 def train_clusters(
@@ -160,12 +161,7 @@ def train_clusters(
     train = cv_folds(parts.filter("split = 'train'"), folds, split, spec)
     test = parts.filter("split = 'test'").withColumn("fold", F.lit(None).cast("int"))
     stored = stage(train.unionByName(test), partition_by=[spec.label])
-    counts = {
-        r[spec.label]: (r["n"], r["train"])
-        for r in stored.groupBy(spec.label)
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("split") == "train").alias("train"))
-        .collect()
-    }
+    counts = label_sizes(stored, spec)
 
     def train_one(label: int) -> tuple[tuple, PipelineModel | None, DataFrame | None]:
         n, n_train = counts[label]
@@ -183,7 +179,7 @@ def train_clusters(
             return (label, None, None, f"failed: {failure}"), None, None
         return (label, str(best), error, "ok"), model, model.transform(rows.filter("split = 'test'"))
 
-    work = [lambda label=label: train_one(label) for label in label_list(stored, spec)]
+    work = [lambda label=label: train_one(label) for label in counts]
     done = in_parallel(stored.sparkSession, work, clusters_at_once)
     out = Trained(models={note[0]: model for note, model, _ in done if model is not None})
     scored = [as_predictions(rows, spec) for _, _, rows in done if rows is not None]

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 from multiprocessing.pool import ThreadPool
 from pathlib import Path
-from zipfile import ZipFile
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -83,21 +83,16 @@ def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
-_shipped: set[str] = set()
+def workers_find_package(spark: SparkSession) -> None:
+    """Let the Python workers of a local session import this package from where it lies.
 
-
-def ship_package(spark: SparkSession) -> None:
-    """Hand this package to the Python workers, which need it for pandas functions; once per application."""
+    On a cluster the package is installed or passed with ``--py-files``, as any other code of a job.
+    """
     context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    root = Path(__file__).parent
-    archive = Path(tempfile.mkdtemp(prefix="weekloom-")) / "weekloom.zip"
-    with ZipFile(archive, "w") as out:
-        for source in sorted(root.rglob("*.py")):
-            out.write(source, source.relative_to(root.parent))
-    context.addPyFile(str(archive))
-    _shipped.add(context.applicationId)
+    home = str(Path(__file__).parent.parent)
+    known = context.environment.get("PYTHONPATH", "")
+    if context.master.startswith("local") and home not in known.split(os.pathsep):
+        context.environment["PYTHONPATH"] = os.pathsep.join(p for p in (known, home) if p)
 
 
 def in_parallel(spark: SparkSession, work: Sequence[Callable], threads: int) -> list:
