@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weekloom.llm import substring
+from weekloom.llm import quality, substring, token_counts, toxicity
 from weekloom.session import workers_find_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,3 +29,23 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
 @query
 def op1_substring_dedup(spark, folder):
     return substring.repeated_spans(table(spark, folder, "documents", "doc_id", "text")).drop("spans")
+
+
+@query
+def op4_toxicity(spark, folder):
+    labels = table(spark, folder, "labels", "doc_id", "toxic")
+    return toxicity.toxicity(table(spark, folder, "documents", "doc_id", "text"), labels)
+
+
+@query
+def op7_token_counts(spark, folder):
+    import public_tokenizers
+
+    path = public_tokenizers.path(token_counts.TOKENIZER)
+    return token_counts.token_counts(table(spark, folder, "documents", "doc_id", "text"), path)
+
+
+@query
+def op8_quality(spark, folder):
+    labels = table(spark, folder, "labels", "doc_id", "quality")
+    return quality.quality(table(spark, folder, "documents", "doc_id", "text"), labels)
