@@ -23,3 +23,30 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n,
     sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+# Links come from the counts of shared shingles; classes of equal sets go on as one, and components follow by recursion.
+ORACLES["op5_minhash_dedup"] = rf"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {WORD}) AS ws
+    FROM documents
+),
+s AS (
+    SELECT DISTINCT doc_id, unnest(
+        CASE WHEN len(ws) = 0 THEN []
+             WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+             ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) END
+    ) AS g FROM d
+),
+sizes AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS k FROM s GROUP BY doc_id),
+classes AS (SELECT k, min(doc_id) AS rep, min(n) AS n FROM sizes GROUP BY k),
+r AS (SELECT rep, classes.n, g FROM classes JOIN s ON s.doc_id = rep),
+links AS (
+    SELECT a.rep AS a, b.rep AS b FROM r AS a JOIN r AS b ON a.g = b.g AND a.rep <> b.rep
+    GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+),
+reach AS (SELECT rep AS a, rep AS b FROM classes UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+parts AS (SELECT a AS rep, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(sizes.n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id,
+    coalesce(component_id, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN classes USING (k) LEFT JOIN parts ON parts.rep = classes.rep
+"""

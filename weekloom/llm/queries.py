@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weekloom.llm import quality, substring, token_counts, toxicity
+from weekloom.llm import minhash, quality, substring, token_counts, toxicity
 from weekloom.session import workers_find_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,3 +49,8 @@ def op7_token_counts(spark, folder):
 def op8_quality(spark, folder):
     labels = table(spark, folder, "labels", "doc_id", "quality")
     return quality.quality(table(spark, folder, "documents", "doc_id", "text"), labels)
+
+
+@query
+def op5_minhash_dedup(spark, folder):
+    return minhash.near_duplicates(table(spark, folder, "documents", "doc_id", "text"))
