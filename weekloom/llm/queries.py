@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weekloom.llm import minhash, quality, substring, token_counts, toxicity
+from weekloom.llm import minhash, quality, substring, token_counts, toxicity, vectors
 from weekloom.session import workers_find_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,3 +54,8 @@ def op8_quality(spark, folder):
 @query
 def op5_minhash_dedup(spark, folder):
     return minhash.near_duplicates(table(spark, folder, "documents", "doc_id", "text"))
+
+
+@query
+def op10_embedding_dedup(spark, folder):
+    return vectors.near_vectors(table(spark, folder, "embeddings", "vec_id", "embedding"))
