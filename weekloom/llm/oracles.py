@@ -50,3 +50,47 @@ SELECT d.doc_id, coalesce(sizes.n, 0) AS n_shingles, coalesce(component_id, d.do
     coalesce(component_id, d.doc_id) = d.doc_id AS kept
 FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN classes USING (k) LEFT JOIN parts ON parts.rep = classes.rep
 """
+
+ORACLES["op9_decontaminate"] = rf"""
+WITH texts AS (
+    SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark
+),
+w AS (
+    SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {WORD}) AS ws
+    FROM texts
+),
+items AS (SELECT id, least(len(ws), 5) AS n, ws FROM w WHERE kind = 1 AND len(ws) > 0),
+item_shingles AS (
+    SELECT DISTINCT id, n, unnest(list_transform(range(1, len(ws) - n + 2), lambda i: array_to_string(ws[i:i + n - 1], ' '))) AS g FROM items
+),
+widths AS (SELECT DISTINCT n FROM items),
+doc_shingles AS (
+    SELECT DISTINCT id AS doc_id, n, unnest(list_transform(range(1, len(ws) - n + 2), lambda i: array_to_string(ws[i:i + n - 1], ' '))) AS g
+    FROM w JOIN widths ON len(ws) >= n WHERE kind = 0
+),
+sizes AS (SELECT id, count(*) AS total FROM item_shingles GROUP BY id),
+hits AS (
+    SELECT doc_id, id FROM doc_shingles JOIN item_shingles USING (n, g) JOIN sizes USING (id)
+    GROUP BY doc_id, id, total HAVING count(*) >= 0.8 * total
+),
+found AS (SELECT doc_id, count(*) AS n_items, list(id ORDER BY id) AS item_ids FROM hits GROUP BY doc_id)
+SELECT d.doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(item_ids, []) AS item_ids
+FROM documents AS d LEFT JOIN found USING (doc_id)
+"""
+
+ORACLES["op10_embedding_dedup"] = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+parts AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, component_id = e.vec_id AS kept
+FROM embeddings AS e JOIN parts USING (vec_id) LEFT JOIN counts USING (vec_id)
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weekloom.llm import minhash, quality, substring, token_counts, toxicity, vectors
+from weekloom.llm import decontaminate, minhash, mixing, quality, substring, token_counts, toxicity, vectors
 from weekloom.session import workers_find_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,3 +59,15 @@ def op5_minhash_dedup(spark, folder):
 @query
 def op10_embedding_dedup(spark, folder):
     return vectors.near_vectors(table(spark, folder, "embeddings", "vec_id", "embedding"))
+
+
+@query
+def op9_decontaminate(spark, folder):
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return decontaminate.contamination(docs, table(spark, folder, "benchmark", "item_id", "text")).drop("most")
+
+
+@query
+def op2_source_mixing(spark, folder):
+    docs = table(spark, folder, "documents", "doc_id", "text", "source")
+    return mixing.mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
