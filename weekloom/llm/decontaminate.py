@@ -129,6 +129,18 @@ def _search(index: Index):
     return search
 
 
+def indexes(benchmark: DataFrame, contained: float, pass_bytes: int) -> list[Index]:
+    """The items in passes; only one pass's items are in one index."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    passes = max(1, -(-size // pass_bytes))
+    out = []
+    for k in range(passes):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k) if passes > 1 else items
+        out.append(Index([(r.item_id, None if r.text is None else r.text.encode()) for r in rows.collect()], contained))
+    return out
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, contained: float = CONTAINED, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """doc_id, contaminated, n_items, item_ids (ascending) and most of every row of (doc_id, text).
 
@@ -139,15 +151,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, contained: float = CONT
     (in several passes: together). Extra columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = max(1, -(-size // pass_bytes))
-    found = []
-    for k in range(passes):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k) if passes > 1 else items
-        index = Index([(r.item_id, None if r.text is None else r.text.encode()) for r in rows.collect()], contained)
-        found.append(docs.mapInArrow(_search(index), "doc_id long, n_items long, item_ids array<long>, most double"))
-    if passes == 1:
+    found = [
+        docs.mapInArrow(_search(index), "doc_id long, n_items long, item_ids array<long>, most double")
+        for index in indexes(benchmark, contained, pass_bytes)
+    ]
+    if len(found) == 1:
         done = found[0]
     else:
         hits = stage(_union([f.where("n_items > 0") for f in found]))
@@ -169,3 +177,19 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     for f in frames[1:]:
         out = out.unionAll(f)
     return out
+
+
+def cleaned(docs: DataFrame, benchmark: DataFrame, contained: float = CONTAINED, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """The rows that hold no item, with all their columns; defined as in ``contamination``."""
+
+    def kept(index: Index):
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch):
+                    yield part.filter(pa.array([not f for f in index.search(binary(part.column("text")))], pa.bool_()))
+
+        return keep
+
+    for index in indexes(benchmark, contained, pass_bytes):
+        docs = docs.mapInArrow(kept(index), docs.schema)
+    return docs

@@ -258,3 +258,17 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85) -> DataFrame
     return found.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
     )
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of (doc_id, text, ...) that stay: of each component its smallest doc_id, once; all columns unchanged.
+
+    Rows without a doc_id stay. Of rows that share a doc_id one stays.
+    """
+    found = stage(near_duplicates(docs, n, percent).where("doc_id IS NOT NULL"))
+    gone = found.where("NOT kept").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti")
+    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return left
+    named = left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    return named.unionByName(left.where("doc_id IS NULL"))

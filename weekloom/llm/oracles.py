@@ -73,8 +73,8 @@ hits AS (
     SELECT doc_id, id FROM doc_shingles JOIN item_shingles USING (n, g) JOIN sizes USING (id)
     GROUP BY doc_id, id, total HAVING count(*) >= 0.8 * total
 ),
-found AS (SELECT doc_id, count(*) AS n_items, list(id ORDER BY id) AS item_ids FROM hits GROUP BY doc_id)
-SELECT d.doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(item_ids, []) AS item_ids
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS item_ids FROM hits GROUP BY doc_id)
+SELECT d.doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(item_ids, '') AS item_ids
 FROM documents AS d LEFT JOIN found USING (doc_id)
 """
 
@@ -94,3 +94,66 @@ counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
 SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, component_id = e.vec_id AS kept
 FROM embeddings AS e JOIN parts USING (vec_id) LEFT JOIN counts USING (vec_id)
 """
+
+
+def _url_oracle(order: int = 4) -> str:
+    grams = ",\n".join(
+        f"""g{k} AS (SELECT right(run, {k}) AS g, sum(a) AS a, sum(b) AS b FROM runs GROUP BY 1),
+c{k} AS (SELECT left(g, {k - 1}) AS c, sum(a) AS na, sum(b) AS nb, count(*) FILTER (a > 0) AS ta, count(*) FILTER (b > 0) AS tb FROM g{k} GROUP BY 1)"""
+        for k in range(1, order + 1)
+    )
+    joins = "\n".join(
+        f"LEFT JOIN g{k} ON g{k}.g = right(run, {k}) LEFT JOIN c{k} ON c{k}.c = left(right(run, {k}), {k - 1})" for k in range(1, order + 1)
+    )
+    chance = {}
+    for s in "ab":
+        p = "(1.0 / 256)"
+        for k in range(1, order + 1):
+            n, t = f"coalesce(c{k}.n{s}, 0)", f"coalesce(c{k}.t{s}, 0)"
+            p = f"(CASE WHEN {n} + {t} > 0 THEN (coalesce(g{k}.{s}, 0) + {t} * {p}) / ({n} + {t})::DOUBLE ELSE {p} END)"
+        chance[s] = p
+    fits = "(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    whens = [("org", "/", "allow"), ("com", "/fr/", "allow"), ("com", "/de/", "block"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block")]
+    whens = sorted(whens, key=lambda r: -len(r[0] + r[1]))
+    rule = " ".join(f"WHEN {fits.format(h=h, p=p)} THEN '{h + p}'" for h, p, _ in whens)
+    action = " ".join(f"WHEN {fits.format(h=h, p=p)} THEN '{v}'" for h, p, v in whens)
+    return rf"""
+WITH rest AS (
+    SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages
+),
+p AS (
+    SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
+),
+j AS (SELECT *, host || path AS address, CASE {rule} END AS rule, CASE {action} END AS action FROM p),
+addresses AS (
+    SELECT address, count(*) FILTER (action = 'allow') AS allowed, count(*) FILTER (action = 'block') AS blocked FROM j GROUP BY 1
+),
+chars AS (
+    SELECT *, substr(repeat(chr(2), {order - 1}) || address || chr(3), i, {order}) AS run
+    FROM (SELECT *, unnest(range(1, length(address) + 2)) AS i FROM addresses)
+),
+runs AS (SELECT run, sum(allowed) AS a, sum(blocked) AS b FROM chars GROUP BY 1),
+{grams},
+model AS (
+    SELECT run, CAST(round((ln({chance["a"]}) - ln({chance["b"]})) * 1000000) AS BIGINT) AS micro FROM runs
+    {joins}
+),
+scores AS (
+    SELECT address, any_value(allowed) AS a, any_value(blocked) AS b, sum(micro) / count(*)::DOUBLE / 1000000 AS score
+    FROM chars JOIN model USING (run) GROUP BY 1
+),
+bins AS (
+    SELECT floor(greatest(-20.0, least(score, 20.0)) * 200) AS bin, sum(a) AS a, sum(b) AS b FROM scores WHERE a + b > 0 GROUP BY 1
+),
+cuts AS (
+    SELECT bin, coalesce(sum(a) OVER before, 0) / (sum(a) OVER ())::DOUBLE + (sum(b) OVER () - coalesce(sum(b) OVER before, 0)) / (sum(b) OVER ())::DOUBLE AS wrong
+    FROM bins WINDOW before AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+cut AS (SELECT bin / 200.0 AS least_score FROM cuts ORDER BY wrong, bin LIMIT 1)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN score >= (SELECT least_score FROM cut) THEN 'allow' ELSE 'block' END) AS verdict
+FROM j JOIN scores USING (address)
+"""
+
+
+ORACLES["op6_url_filter"] = _url_oracle()

@@ -1,10 +1,9 @@
 """Quality classifier: random Fourier features over document statistics, ridge scores, isotonic calibration.
 
-One pass over the texts turns each document into a row of statistics, stored in the shared folder; all later steps read
-that narrow table. The statistics of a labelled sample of bounded size are standardised and mapped to random Fourier
-features, whose inner products approximate a Gaussian kernel. Each partition adds up its part of the normal equations,
+The statistics of a labelled sample of bounded size are standardised and mapped to random Fourier features, whose inner products approximate a Gaussian kernel. Each partition adds up its part of the normal equations,
 Spark adds up the parts row by row, and the driver solves one system of fixed size. Ridge scores of the sample, counted
-in a fixed number of bins with their labels, are calibrated by pooling adjacent violators.
+in a fixed number of bins with their labels, are calibrated by pooling adjacent violators. The model, a few hundred
+kilobytes, goes to all tasks, which score the documents in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -78,21 +77,19 @@ def statistics(text: bytes | None) -> np.ndarray:
     return out
 
 
+def _stats(part: pa.RecordBatch) -> np.ndarray:
+    texts = binary(part.column("text"))
+    return np.array([statistics(t) for t in texts]).reshape(len(texts), N_STATS)
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
-            stats = [statistics(t).astype(np.float32) for t in binary(part.column("text"))]
             yield pa.record_batch(
-                [part.column("doc_id"), pa.array(stats, pa.list_(pa.float32()))], ["doc_id", "stats"]
+                [pa.array(list(_stats(part)), pa.list_(pa.float64())), part.column("target")], ["stats", "target"]
             )
 
 
-def stats_table(docs: DataFrame) -> DataFrame:
-    """doc_id and stats of every row, stored once."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return stage(rows.mapInArrow(_describe, "doc_id long, stats array<float>"))
-
-
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, N_STATS)
 
@@ -154,11 +151,13 @@ def calibrate(raw: np.ndarray, at: np.ndarray, level: np.ndarray) -> np.ndarray:
     return 0.99 * np.interp(raw, at, level) + 0.01 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
 
-def fit(stats: DataFrame, labels: DataFrame, rows: int = FIT_ROWS):
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS):
     """A function from statistics to scores, or None where nothing is labelled."""
-    sample = stats.join(training_labels(labels, "quality", rows), "doc_id").select("stats", "target")
-    sample = stage(sample.coalesce(FIT_PARTS))
-    columns = [f(F.col("stats")[i].cast("double")).alias(f"{n}{i}") for n, f in (("m", F.avg), ("s", F.stddev_pop)) for i in range(N_STATS)]
+    ids = F.broadcast(training_labels(labels, "quality", rows))  # at most about ``rows`` pairs of numbers
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id")
+    sample = stage(known.select("text", "target").mapInArrow(_describe, "stats array<double>, target double"))
+    sample = sample.coalesce(FIT_PARTS)
+    columns = [f(F.col("stats")[i]).alias(f"{n}{i}") for n, f in (("m", F.avg), ("s", F.stddev_pop)) for i in range(N_STATS)]
     got = sample.agg(F.count("*").alias("n"), *columns).first()
     if not got.n:
         return None
@@ -179,6 +178,12 @@ def fit(stats: DataFrame, labels: DataFrame, rows: int = FIT_ROWS):
     return lambda stats: calibrate(kernel(stats) @ w, at, level)
 
 
+def _scores(part: pa.RecordBatch, model) -> np.ndarray:
+    if model is None or not part.num_rows:
+        return np.full(part.num_rows, 0.5)
+    return np.clip(model(_stats(part)), 0, 1)
+
+
 def quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted (score >= threshold) of every row of (doc_id, text).
 
@@ -186,17 +191,28 @@ def quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, threshold:
     doc_id is not held out and never learnt from. Repeated rows get equal scores; extra columns are ignored; an empty
     table gives no rows.
     """
-    stats = stats_table(docs)
-    model = fit(stats, labels, rows)
+    model = fit(docs, labels, rows)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = np.full(batch.num_rows, 0.5)
-            if model and batch.num_rows:
-                s = np.clip(model(_matrix(batch.column("stats"))), 0, 1)
-            yield pa.record_batch(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))],
-                ["doc_id", "held_out", "score", "predicted"],
-            )
+            for part in slices(batch):
+                s = _scores(part, model)
+                yield pa.record_batch(
+                    [part.column("doc_id"), part.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))],
+                    ["doc_id", "held_out", "score", "predicted"],
+                )
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return own.withColumn("held_out", held_out()).mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that the classifier accepts, with all their columns; defined as in ``quality``."""
+    model = fit(docs, labels, rows)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield part.filter(pa.array(_scores(part, model) >= threshold))
 
-    return stats.withColumn("held_out", held_out()).mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.mapInArrow(keep, docs.schema)

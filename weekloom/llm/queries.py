@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weekloom.llm import decontaminate, minhash, mixing, quality, substring, token_counts, toxicity, vectors
+import corpus_pipeline
+from weekloom.llm import decontaminate, html_text, minhash, mixing, quality, substring, token_counts, toxicity, urls, vectors
 from weekloom.session import workers_find_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,10 +66,26 @@ def op10_embedding_dedup(spark, folder):
 @query
 def op9_decontaminate(spark, folder):
     docs = table(spark, folder, "documents", "doc_id", "text")
-    return decontaminate.contamination(docs, table(spark, folder, "benchmark", "item_id", "text")).drop("most")
+    found = decontaminate.contamination(docs, table(spark, folder, "benchmark", "item_id", "text")).drop("most")
+    return found.withColumn("item_ids", F.concat_ws(",", "item_ids"))
 
 
 @query
 def op2_source_mixing(spark, folder):
     docs = table(spark, folder, "documents", "doc_id", "text", "source")
     return mixing.mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op6_url_filter(spark, folder):
+    return urls.filtered(table(spark, folder, "pages", "page_id", "url")).drop("score")
+
+
+@query
+def op3_html_text(spark, folder):
+    return html_text.extracted(table(spark, folder, "pages", "page_id", "url", "html"))
+
+
+@query
+def pipeline(spark, folder):
+    return corpus_pipeline.run(spark, folder)

@@ -177,59 +177,102 @@ def cut(text: bytes, words: list[bytes], gone: list[tuple[int, int]]) -> bytes:
     return b"".join(kept)
 
 
-def _apply(length: int, buckets: int, texts: bool):
-    fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
-    fields += [("spans", pa.list_(pa.list_(pa.int64())))] + [("kept_text", pa.string())] * texts
-    schema = pa.schema(fields)
+def _gone(table: pa.Table, answers: pa.Table, length: int, buckets: int):
+    """text, words and the word intervals that go, of each row of a batch."""
+    h, least = _distinct(table, length)
+    at = _bucket_starts(h, buckets)
+    yes = np.zeros(len(h), bool)
+    for b, bits in zip(answers.column("bucket").to_pylist(), answers.column("yes").to_pylist(), strict=True):
+        n = at[b + 1] - at[b]
+        yes[at[b] : at[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+    for doc_id, text, words, own in _documents(table, length):
+        gone = []
+        if len(own):
+            place = np.searchsorted(h, own)
+            gone = covered(yes[place] | ((LAST if doc_id is None else doc_id) > least[place]), len(words), length)
+        yield text, words, gone
+
+
+def _report(length: int, buckets: int):
+    schema = pa.schema(
+        [
+            ("doc_id", pa.int64()),
+            ("n_words", pa.int64()),
+            ("n_removed", pa.int64()),
+            ("kept_sha256", pa.string()),
+            ("spans", pa.list_(pa.list_(pa.int64()))),
+        ]
+    )
 
-    def apply(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
-        h, least = _distinct(table, length)
-        at = _bucket_starts(h, buckets)
-        yes = np.zeros(len(h), bool)
-        for b, bits in zip(answers.column("bucket").to_pylist(), answers.column("yes").to_pylist(), strict=True):
-            n = at[b + 1] - at[b]
-            yes[at[b] : at[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+    def report(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
         rows: dict[str, list] = {name: [] for name in schema.names}
-        for doc_id, text, words, own in _documents(table, length):
-            gone = []
-            if len(own):
-                place = np.searchsorted(h, own)
-                gone = covered(yes[place] | ((LAST if doc_id is None else doc_id) > least[place]), len(words), length)
+        rows["doc_id"] = table.column("doc_id").to_pylist()
+        for _, words, gone in _gone(table, answers, length, buckets):
             kept, last = [], 0
             for a, b in gone:
                 kept += words[last:a]
                 last = b
             kept += words[last:]
-            rows["doc_id"].append(doc_id)
             rows["n_words"].append(len(words))
             rows["n_removed"].append(len(words) - len(kept))
             rows["kept_sha256"].append(hashlib.sha256(b" ".join(kept)).hexdigest())
             rows["spans"].append([list(x) for x in gone])
-            if texts:
-                rows["kept_text"].append(cut(text, words, gone).decode())
         return pa.table(rows, schema=schema)
 
-    return apply
+    return report
+
+
+def _rewrite(length: int, buckets: int, counted: str | None):
+    def rewrite(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
+        texts = table.column("text").to_pylist()
+        sizes = table.column(counted).to_pylist() if counted else []
+        for i, (text, words, gone) in enumerate(_gone(table, answers, length, buckets)):
+            if gone:
+                texts[i] = cut(text, words, gone).decode()
+                if counted:
+                    sizes[i] = len(texts[i])
+        new = {"text": texts} | ({counted: sizes} if counted else {})
+        for name, values in new.items():
+            at = table.schema.get_field_index(name)
+            table = table.set_column(at, name, pa.array(values, table.schema.field(name).type))
+        return table.drop_columns([BATCH])
+
+    return rewrite
+
+
+BATCH = "__batch"
+
+
+def _answered(docs: DataFrame, length: int, batch_docs: int):
+    """The documents by batch, the answers by batch, and the number of buckets."""
+    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    batches = max(1, -(-docs.count() // batch_docs))
+    dealt = docs.withColumn(BATCH, F.pmod(F.xxhash64("doc_id"), F.lit(batches)))
+    sent = dealt.groupBy(BATCH).applyInArrow(_send(length, buckets), SENT)
+    answers = sent.groupBy("bucket").applyInArrow(_judge, ANSWER)
+    return dealt.groupBy(BATCH), answers.groupBy("batch"), buckets
 
 
-def repeated_spans(docs: DataFrame, length: int = WINDOW, texts: bool = False, batch_docs: int = BATCH_DOCS) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = WINDOW, batch_docs: int = BATCH_DOCS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and spans (word intervals that go) of every row of (doc_id, text).
 
-    With ``texts`` also kept_text: the text without those words, all other characters unchanged.
-    Null or empty text: no words, nothing removed, the hash of nothing. A null doc_id counts as the largest one, so its
-    words give way to any other document, but not to another null. Rows that share a doc_id never remove each other's
-    words. A text of fewer than ``length`` words keeps all. Extra columns are ignored; an empty table gives no rows.
+    kept_sha256 is that of the kept words joined by one space. Null or empty text: no words, nothing removed, the hash of
+    nothing. A null doc_id counts as the largest one, so its words give way to any other document, but not to another
+    null. Rows that share a doc_id never remove each other's words. A text of fewer than ``length`` words keeps all.
+    Extra columns are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    batches = max(1, -(-docs.count() // batch_docs))
-    dealt = docs.select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch"), F.col("doc_id").cast("long"), F.col("text").cast("string")
-    )
-    answers = dealt.groupBy("batch").applyInArrow(_send(length, buckets), SENT).groupBy("bucket").applyInArrow(_judge, ANSWER)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    dealt, answers, buckets = _answered(own, length, batch_docs)
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<array<long>>"
-    return (
-        dealt.groupBy("batch")
-        .cogroup(answers.groupBy("batch"))
-        .applyInArrow(_apply(length, buckets, texts), out + ", kept_text string" * texts)
-    )
+    return dealt.cogroup(answers).applyInArrow(_report(length, buckets), out)
+
+
+def without_repeats(docs: DataFrame, length: int = WINDOW, batch_docs: int = BATCH_DOCS) -> DataFrame:
+    """All rows of (doc_id, text, ...) without the words that ``repeated_spans`` finds; all other characters stay.
+
+    A removed interval goes with the white space after it. n_chars, where it is a column, follows the new text. Other
+    columns, and rows that lose nothing, are unchanged.
+    """
+    dealt, answers, buckets = _answered(docs, length, batch_docs)
+    counted = "n_chars" if "n_chars" in docs.columns else None
+    return dealt.cogroup(answers).applyInArrow(_rewrite(length, buckets, counted), docs.schema)
