@@ -5,7 +5,8 @@
    full one. Documents with equal sets are one class, found by their key, and go on as one representative.
 2. Band keys are buckets. The smallest representative of a bucket is its centre; only centre-member edges are made, so
    the number of candidates is at most bands times classes.
-3. Candidates are confirmed on full sets of shingles: each document's text is sent to the blocks of its centres.
+3. The texts of all members of buckets are gathered once. Candidates are confirmed on full sets of shingles: each member's
+   text is sent to the blocks of its centres.
 4. Confirmed edges give components. A bucket that still holds several components may hide links between members whose
    centre they don't match. Only such buckets go on: their members' sets, hashed to 32 bits and sampled by hash where
    they are large, meet in blocks of bounded size; every pair of blocks is one group, compared by matrix products. Pairs
@@ -112,13 +113,12 @@ def _confirm(n: int, percent: int):
     return confirm
 
 
-def confirmed(docs: DataFrame, candidates: DataFrame, n: int, percent: int) -> DataFrame:
-    """The candidates (centre, node) whose full shingle sets are similar enough."""
+def confirmed(texts: DataFrame, candidates: DataFrame, n: int, percent: int) -> DataFrame:
+    """The candidates (centre, node) whose full shingle sets, from (node, text), are similar enough."""
     block = F.pmod(F.xxhash64("node"), F.lit(BLOCKS))
     members = candidates.select("centre", "node", block.alias("block"))
     centres = members.select("centre", F.col("centre").alias("node"), "block").distinct()
     wanted = members.unionAll(centres)
-    texts = docs.select(F.col("doc_id").alias("node"), "text")
     sent = wanted.join(texts, "node").repartition("centre", "block")
     sent = sent.sortWithinPartitions("centre", "block", (F.col("node") != F.col("centre")), "node")
     return sent.select("centre", "node", "text").mapInArrow(_confirm(n, percent), "a long, b long").distinct()
@@ -145,15 +145,15 @@ def _small_sets(n: int):
     return small
 
 
-def _shared(sets: list[np.ndarray], levels: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each level: the sizes of the sets at that level, and of their intersections."""
+def _shared(sets: list[np.ndarray], levels: np.ndarray, left: np.ndarray, right: np.ndarray):
+    """For each level: the sizes of the sets at that level, and of the intersections of left with right ones."""
     size = np.array([len(x) for x in sets])
     owner = np.repeat(np.arange(len(sets)), size)
     values, column = np.unique(np.concatenate(sets), return_inverse=True)
     for level in np.unique(levels):
         inside = values >> np.uint32(32 - level) == 0 if level else np.ones(len(values), bool)
         sizes = np.bincount(owner[inside[column]], minlength=len(sets))
-        both = np.zeros((len(sets), len(sets)), np.float32)
+        both = np.zeros((len(left), len(right)), np.float32)
         common = inside & (np.bincount(column) > 1)
         place = np.cumsum(common) - 1
         use = common[column]
@@ -164,7 +164,7 @@ def _shared(sets: list[np.ndarray], levels: np.ndarray) -> Iterator[tuple[int, n
             lo, hi = np.searchsorted(at, [start, start + COLUMNS])
             dense = np.zeros((len(sets), COLUMNS), np.float32)
             dense[who[lo:hi], at[lo:hi] - start] = 1
-            both += dense @ dense.T
+            both += dense[left] @ dense[right].T
         yield int(level), sizes, both
 
 
@@ -176,25 +176,26 @@ def _compare(percent: int):
         nodes, parts = table.column("node").to_numpy(), table.column("component_id").to_numpy()
         block, levels = table.column("block").to_numpy(), table.column("level").to_numpy()
         sets = [np.frombuffer(x, np.uint32) for x in table.column("hashes").to_pylist()]
-        crossing = key[1].as_py() != key[2].as_py()
+        left, right = (np.nonzero(block == k.as_py())[0] for k in key[1:])
         out, parent = [], {p: p for p in parts.tolist()}
 
         def root(p):
             while parent[p] != p:
+                parent[p] = parent[parent[p]]
                 p = parent[p]
             return p
 
-        for level, sizes, both in _shared(sets, levels):
-            union = sizes[:, None] + sizes[None, :] - both
-            close = (100 * both >= (percent - (MARGIN if level else 0)) * union) & (parts[:, None] < parts[None, :])
-            close &= np.maximum(levels[:, None], levels[None, :]) == level
-            if crossing:
-                close &= block[:, None] != block[None, :]
+        for level, sizes, both in _shared(sets, levels, left, right):
+            union = sizes[left][:, None] + sizes[right][None, :] - both
+            close = 100 * both >= (percent - (MARGIN if level else 0)) * union
+            close &= parts[left][:, None] != parts[right][None, :]
+            close &= np.maximum(levels[left][:, None], levels[right][None, :]) == level
             for i, j in zip(*np.nonzero(close), strict=True):
-                a, b = root(int(parts[i])), root(int(parts[j]))
+                x, y = int(nodes[left[i]]), int(nodes[right[j]])
+                a, b = root(int(parts[left[i]])), root(int(parts[right[j]]))
                 # Whole sets: a pair whose components are tied by an earlier pair of this group adds nothing.
                 if a != b or level:
-                    out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+                    out.append((min(x, y), max(x, y)))
                 if not level:
                     parent[a] = b
         return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], schema=schema)
@@ -202,7 +203,7 @@ def _compare(percent: int):
     return compare
 
 
-def hidden_candidates(docs: DataFrame, buckets: DataFrame, labels: DataFrame, n: int, percent: int) -> DataFrame | None:
+def hidden_candidates(texts: DataFrame, buckets: DataFrame, labels: DataFrame, n: int, percent: int) -> DataFrame | None:
     """Candidates (centre, node) between different components of one bucket (key, node), None if no bucket has several."""
     named = buckets.join(labels, "node", "left").withColumn("component_id", F.coalesce("component_id", "node"))
     mixed = named.groupBy("key").agg(
@@ -212,8 +213,8 @@ def hidden_candidates(docs: DataFrame, buckets: DataFrame, labels: DataFrame, n:
     left = stage(named.join(mixed, "key").select("key", "node", "component_id", "blocks"))
     if left.isEmpty():
         return None
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(left.select("node").distinct(), "node", "left_semi")
-    sets = texts.mapInArrow(_small_sets(n), "node long, level int, hashes binary")
+    wanted = texts.join(left.select("node").distinct(), "node", "left_semi")
+    sets = wanted.mapInArrow(_small_sets(n), "node long, level int, hashes binary")
     rows = left.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.join(sets, "node").select(
@@ -241,13 +242,15 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85) -> DataFrame
     shared = all_buckets.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last")
     buckets = stage(all_buckets.join(shared.select("key", "centre"), "key"))
     tried = stage(buckets.where("node > centre").select("centre", "node").distinct())
-    own = docs.where("doc_id IS NOT NULL")
-    links = stage(confirmed(own, tried, n, percent))
+    # Sorted and merged whatever the size: the members are a share of the documents and grow with them.
+    nodes = buckets.select("node").distinct()
+    texts = stage(docs.select(F.col("doc_id").alias("node"), "text").join(nodes.hint("merge"), "node", "left_semi"))
+    links = stage(confirmed(texts, tried, n, percent))
     labels = components(links)
 
-    hidden = hidden_candidates(own, buckets.select("key", "node"), labels, n, percent)
+    hidden = hidden_candidates(texts, buckets.select("key", "node"), labels, n, percent)
     if hidden is not None:
-        more = stage(confirmed(own, stage(hidden.join(tried, ["centre", "node"], "left_anti")), n, percent))
+        more = stage(confirmed(texts, stage(hidden.join(tried, ["centre", "node"], "left_anti")), n, percent))
         if not more.isEmpty():
             labels = components(links.unionAll(more))
 
