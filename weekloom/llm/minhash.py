@@ -30,7 +30,7 @@ from weekloom.session import stage
 BANDS, ROWS = 25, 5  # a pair at similarity 0.85 meets in no bucket with a chance of (1 - 0.85**5)**25 = 4e-7
 BINS = BANDS * ROWS
 BLOCKS = 64  # blocks that a centre's members are spread over
-BLOCK = 256  # members of a block in the comparison of mixed buckets
+BLOCK = 1024  # members of a block in the comparison of mixed buckets
 SMALL_SET = 512  # larger sets are sampled by hash in that comparison, to between a half of this and all
 MARGIN = 18  # per cent that a sampled estimate may lie below the similarity asked for: over 5 standard deviations
 COLUMNS = 4096
