@@ -23,6 +23,8 @@ MOST = 3
 BINS = 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
 UNITS = float(1 << 52)
+SENT_ROWS, SENT_BYTES = 50_000, 8 << 20  # a table with a row per source is broadcast up to this size
+SALTS = 64
 
 
 def n_words(text: str = "text") -> Column:
@@ -49,10 +51,23 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     return ranked.withColumn("target", F.least(F.lit(level) * F.col("weight"), cap.cast("double")))
 
 
+def _by_source(rows: DataFrame, small: DataFrame, how: str = "inner") -> DataFrame:
+    """Joins a stored table with a row per source, in column ``of``, to rows with source and key.
+
+    Its size is counted first; beyond the bound it is repeated per salt, so that a hot source is spread over many tasks.
+    """
+    n, size = small.agg(F.count("*"), F.sum(F.octet_length("of"))).first()
+    match = F.col("source").eqNullSafe(F.col("of"))
+    if n <= SENT_ROWS and (size or 0) <= SENT_BYTES:
+        return rows.join(F.broadcast(small), match, how).drop("of")
+    rows = rows.withColumn("salt", F.pmod(F.col("key"), F.lit(SALTS)))
+    small = small.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(small, match & (F.col("salt") == F.col("of_salt")), how).drop("of", "salt", "of_salt")
+
+
 def _ranked(docs: DataFrame, sources: DataFrame) -> DataFrame:
     """The documents with base (whole copies) and rank (0 to 1, null where nothing is to be sampled)."""
-    s = sources.withColumnRenamed("source", "of")
-    rows = docs.join(s, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    rows = _by_source(docs, sources.withColumnRenamed("source", "of"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = rows.withColumn("base", F.floor(ratio + 1e-12))
     share = F.greatest(ratio - F.col("base"), F.lit(0.0))
@@ -82,23 +97,23 @@ def plan(thin: DataFrame) -> DataFrame:
     crossing = stage(
         crossing.select(F.col("source").alias("of"), F.col("bin").alias("at"), (F.col("upto") - F.col("words")).alias("before"))
     )
-    here = rows.join(crossing, F.col("source").eqNullSafe(F.col("of")) & (F.col("bin") == F.col("at")))
+    here = _by_source(rows, crossing).where("bin = at")
     here = here.withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("rank")))
-    cuts = here.where("upto <= wanted").groupBy("of").agg(F.max("rank").alias("inside"), F.max("upto").alias("sampled"))
-    cuts = crossing.join(cuts.withColumnRenamed("of", "of2"), F.col("of").eqNullSafe(F.col("of2")), "left").select(
+    cuts = here.where("upto <= wanted").groupBy("source").agg(F.max("rank").alias("inside"), F.max("upto").alias("sampled"))
+    cuts = crossing.join(cuts.withColumnRenamed("source", "of2"), F.col("of").eqNullSafe(F.col("of2")), "left").select(
         "of",
         F.coalesce("inside", F.col("at") / BINS).alias("cut"),
         F.coalesce("sampled", "before").alias("sampled"),
         F.col("inside").isNull().alias("open"),
     )
     cuts = stage(cuts)
-    left = rows.join(cuts, F.col("source").eqNullSafe(F.col("of"))).where(~_within())
+    left = _by_source(rows, cuts).where(~_within())
     gap = F.col("wanted") - F.col("sampled")
     left = left.where(F.abs(F.col("size") - gap) < gap)
-    filler = left.groupBy("of").agg(F.min(F.struct(F.abs(F.col("size") - gap), F.col("rank"), F.col("key"))).alias("f"))
-    filler = filler.select(F.col("of").alias("of3"), F.col("f.key").alias("filler"))
+    filler = left.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - gap), F.col("rank"), F.col("key"))).alias("f"))
+    filler = filler.select(F.col("source").alias("of3"), F.col("f.key").alias("filler"))
     both = cuts.join(filler, F.col("of").eqNullSafe(F.col("of3")), "left").drop("of3", "sampled")
-    return sources.join(both, F.col("source").eqNullSafe(F.col("of")), "left").drop("of", "weight")
+    return stage(sources.join(both, F.col("source").eqNullSafe(F.col("of")), "left").drop("of", "weight"))
 
 
 def _within() -> Column:
@@ -118,7 +133,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     columns with the names of the results are replaced. An empty table gives no rows.
     """
     made = ["size", "source_size", "target", "copies", "taken"]
-    clash = [c for c in docs.columns if c.lower() in {*made, "key", "base", "rank", "wanted", "roots", "cut", "open", "filler", "of"}]
+    clash = [c for c in docs.columns if c.lower() in {*made, "key", "base", "rank", "wanted", "roots", "cut", "open", "filler", "of", "salt", "of_salt"}]
     docs = docs.drop(*clash)
     columns = docs.columns
     own = sized(docs)
