@@ -21,7 +21,7 @@ from weekloom.session import stage
 
 FIT_ROWS = 20_000  # vectors that the centroids are fitted on, expected
 MOST_CELLS = 512
-VISIT = 0.30  # a vector visits cells whose centroid's cosine is at most this much below the best one
+VISIT = 0.12  # a vector visits cells whose centroid's cosine is at most this much below the best one
 BLOCK = 2048
 SIMILAR = 0.9
 ROUNDS = 12
