@@ -270,7 +270,7 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """
     found = stage(near_duplicates(docs, n, percent).where("doc_id IS NOT NULL"))
     gone = found.where("NOT kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
+    left = docs.join(gone.hint("merge"), "doc_id", "left_anti")  # grows with the documents: never broadcast
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():
         return left
     named = left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
