@@ -139,7 +139,7 @@ def train_clusters(
     folds: int = CV_FOLDS,
     ratio: float = TRAIN_RATIO,
     split: str = "chronological",
-    sample: bool | None = None,
+    sample: bool = False,
     threads: int = 2,
     clusters_at_once: int = 4,
     mode: str = "index",
@@ -150,11 +150,12 @@ def train_clusters(
     """Search, fit and test one model per cluster.
 
     The table is split once for all clusters and stored by label, so that each cluster reads only its own files.
-    A few clusters, and a few trials of each, are fitted at the same time to keep the executors busy. The forest takes a sample of large clusters unless ``sample`` says otherwise.
+    A few clusters, and a few trials of each, are fitted at the same time to keep the executors busy. All rows are used unless
+    ``sample`` asks for a sample of the large clusters.
     """
     _, default_space, default_trials = FAMILIES[family]
     candidates = draw_params(space or default_space, trials or default_trials)
-    if sample if sample is not None else family == "forest":
+    if sample:
         table = sample_large_groups(table, spec=spec)
     splitter = {"chronological": week_share_split, "positional": positional_split}[split]
     parts = splitter(table, ratio, spec).drop("pos", "group_rows")
