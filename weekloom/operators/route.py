@@ -31,7 +31,8 @@ def predict_routed(
 ) -> DataFrame:
     """Predict all rows, each with the model of its cluster; ``models`` is keyed by the first word of the type.
 
-    The table is scanned once per model, with the filter on the cluster in front.
+    The table is scanned once per model, with the filter on the cluster in front. Rows without a model keep their type and
+    get no prediction; ``status`` tells them apart.
     """
     routed = with_route(rows, routes, default, spec)
     family = F.split("model_type", " ").getItem(0)
@@ -45,6 +46,18 @@ def predict_routed(
                 spec.label,
                 "model_type",
                 clamp(F.col("prediction")).alias("predicted_volume"),
+                F.lit("ok").alias("status"),
             )
         )
+    rest = routed.filter(~F.coalesce(family.isin(list(models)), F.lit(False)))
+    parts.append(
+        rest.select(
+            *spec.keys,
+            spec.time,
+            spec.label,
+            "model_type",
+            F.lit(None).cast("double").alias("predicted_volume"),
+            F.lit("no model").alias("status"),
+        )
+    )
     return union_all(parts)
