@@ -286,7 +286,7 @@ def _hash() -> str:
     return "md5(establecimiento || '|' || material || '|' || CAST(week AS VARCHAR) || '|42')"
 
 
-BUCKET = f"CAST('0x' || substr({_hash()}, 1, 4) AS INTEGER)"
+TENTH = f"substr({_hash()}, 1, 15) < '{int(0.1 * 16**15):015x}'"
 SERIES_ROUNDED = [c for c in FEATURES if c != "nonzero_weeks_count"]
 
 
@@ -620,12 +620,12 @@ ORACLES: dict[str, str] = {
     "normalize_columns": f"""
         SELECT o_orderkey, {r('(o_totalprice - AVG(o_totalprice) OVER ()) / STDDEV_POP(o_totalprice) OVER ()')} AS o_totalprice
         FROM orders""",
-    "hash_sample": sql(f"SELECT * FROM gold WHERE {BUCKET} < 6554"),
+    "hash_sample": sql(f"SELECT * FROM gold WHERE {TENTH}"),
     "sample_rows": sql(f"""
         SELECT {WEEKLY_COLUMNS}, cluster_label FROM (
           SELECT *, ROW_NUMBER() OVER (PARTITION BY cluster_label ORDER BY {_hash()}) AS i FROM clustered) WHERE i <= 5000"""),
     "sample_large_groups": sql(f"""
         SELECT {WEEKLY_COLUMNS}, cluster_label FROM (
           SELECT *, COUNT(*) OVER (PARTITION BY cluster_label) AS n FROM clustered)
-        WHERE n * CAST(0.1 AS DOUBLE) <= 5000 OR {BUCKET} < 6554"""),
+        WHERE n * CAST(0.1 AS DOUBLE) <= 5000 OR {TENTH}"""),
 }

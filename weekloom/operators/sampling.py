@@ -17,9 +17,16 @@ def _bucket(digest):
     return F.conv(F.substring(digest, 1, 4), 16, 10).cast("int")
 
 
+def _below(digest, fraction: float):
+    """True for a share of the digests, told apart by their first 60 bits."""
+    if fraction >= 1:
+        return F.lit(True)
+    return F.substring(digest, 1, 15) < F.lit(f"{int(max(fraction, 0.0) * 16**15):015x}")
+
+
 def sample_fraction(df: DataFrame, fraction: float, seed: int = SEED, spec: SeriesSpec = DEFAULT) -> DataFrame:
     digest = portable_hash([*spec.keys, spec.time], seed)
-    return df.filter(_bucket(digest) < F.lit(int(round(fraction * HASH_BUCKETS))))
+    return df.filter(_below(digest, fraction))
 
 
 def sample_large_groups(
@@ -32,7 +39,7 @@ def sample_large_groups(
     """Sample only the groups whose sample would have more than ``floor`` rows; keep the others whole."""
     sizes = df.groupBy(spec.label).agg(F.count(F.lit(1)).alias("__rows"))
     digest = portable_hash([*spec.keys, spec.time], seed)
-    chosen = _bucket(digest) < F.lit(int(round(fraction * HASH_BUCKETS)))
+    chosen = _below(digest, fraction)
     small = F.col("__rows") * F.lit(fraction) <= floor
     return lookup_join(df, sizes, [spec.label]).filter(small | chosen).select(*df.columns)
 
