@@ -126,6 +126,31 @@ def test_stacking(spark, table, tmp_path):
     assert [r["cluster_label"] for r in rest.collect()] == [2]
 
 
+def test_best_prefix_has_patience():
+    assert stack.best_prefix([5, 4, 4.5, 4.4, 3, 3.5, 3.6, 3.7, 1], 3) == 5
+    assert stack.best_prefix([5, 4, 4.5, 4.4, 3, 3.5, 3.6, 3.7, 1], 5) == 9
+    assert stack.best_prefix([2.0], 50) == 1
+
+
+def test_base_model_keeps_the_trees_that_help(weekly):
+    """The second tree of the absolute loss may be worse than the first; the signal needs far more than one."""
+    rng = np.random.default_rng(4)
+    series = {(f"s{s}", "m"): [(i, 20.0 * s + 10 * (i % 4) + rng.normal(0, 1)) for i in range(60)] for s in range(6)}
+    df = weekly(series).withColumn("slot", F.weekofyear("week") % 4 + F.rand(7) / 10)
+    train = stage(split.cv_folds(df, 2, "chronological", group=[]))
+    params = {**stack.STACK_BASE_CLUSTER, "maxIter": 80, "maxDepth": 3, "minInstancesPerNode": 5, "stepSize": 0.1}
+    past, ahead = train.filter("fold < 1"), train.filter("fold = 1")
+    model = stack.fit_base(past, params, F.col("fold") == 0, patience=20)
+    assert model.stages[-1].getNumTrees > 20
+    seen = stack._predict(model, ahead, "p").select("weekly_volume", "p").toPandas()
+    mean = past.agg(F.avg("weekly_volume")).first()[0]
+    assert (seen["weekly_volume"] - seen["p"]).abs().mean() < 0.5 * (seen["weekly_volume"] - mean).abs().mean()
+    first = train.filter("fold < 0")
+    held = first.filter(stack.latest_weeks(first)).count()
+    assert 0 < held <= first.count() / 4
+    assert stack.latest_weeks(first.limit(1)) is None and stack.latest_weeks(first.limit(0)) is None
+
+
 def test_out_of_fold_rows(table):
     train = split.cv_folds(stack.prepare(table, 6, []).filter("split = 'train'"), 2, group=[])
     base = {"maxIter": 2, "maxDepth": 2}
@@ -220,11 +245,12 @@ def test_backtest_and_grid(weekly):
     assert rows.filter("material = 's'").first()["status"] == "skipped"
     grid = {"seasonality_mode": ["additive"], "changepoint_prior_scale": [0.05, 0.5], "seasonality_prior_scale": [10.0]}
     tried = fc.grid_search(df, grid)
-    assert tried.count() == 2
+    assert tried.filter("status = 'ok'").count() == 2
+    assert [r["rmse"] for r in tried.filter("material = 's' and status = 'skipped'").collect()] == [None]
     plain = good.groupBy("horizon_weeks").agg(F.sqrt(F.avg((F.col("y") - F.col("yhat")) ** 2)).alias("e"))
     want = plain.agg(F.avg("e")).first()[0]
     assert tried.filter("changepoint_prior_scale = 0.05").first()["rmse"] == pytest.approx(want, rel=1e-6)
-    best = results.best_params(tried, "rmse", ["establecimiento", "material"], list(grid)).first()
+    best = results.best_params(tried.filter("status = 'ok'"), "rmse", ["establecimiento", "material"], list(grid)).first()
     assert best["rmse"] == tried.agg(F.min("rmse")).first()[0]
 
 

@@ -46,6 +46,13 @@ def test_lookup_join_beyond_the_limit(spark):
     assert left.count() == 3000 and left.filter("g = 9 and n is null").count() > 0
 
 
+def test_medians_leave_out_nan_as_null(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),), (float("nan"),), (None,)], "x double")
+    assert scale.median_values(df, ["x"]) == {"x": 1.5}
+    assert scale.median_values(df, ["x"], approximate=True) == {"x": 1.0}
+    assert scale.median_values(df.filter("x is null"), ["x"]) == {"x": 0.0}
+
+
 def test_exact_medians(spark):
     df = hot_rows(spark).select(F.col("x").cast("double").alias("a"), F.when(F.col("id") % 2 == 0, F.col("x") + 0.5).alias("b"))
     got = {r["feature"]: r["median"] for r in scale.exact_medians(df, ["a", "b"]).collect()}

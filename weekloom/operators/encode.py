@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from weekloom.operators.scale import median_values
 
-MAX_CATEGORIES = 1_000
 HASH_DIMENSIONS = 1 << 12
 VECTOR = "__features"
 
@@ -29,27 +28,29 @@ def fit_encoder(
     categorical: Sequence[str],
     mode: str = "onehot",
     missing: str = "missing",
-    max_categories: int = MAX_CATEGORIES,
+    max_categories: int | None = None,
     approximate: bool = False,
     vector: str = VECTOR,
 ) -> tuple[PipelineModel, int]:
     """Fitted preprocessing and the number of bins a tree needs for it.
 
-    Missing numbers become the median of the training rows, missing categories a value of their own. Categories
+    Missing numbers (null or NaN) become the median of the training rows, missing categories a value of their own. Categories
     are one-hot encoded (``mode="onehot"``, unseen ones are all zeros) or numbered (``mode="index"``, for trees).
-    The values of a column with more than ``max_categories`` of them would not fit the driver: they are hashed.
+    All columns are encoded alike whatever the number of their values. Only where ``max_categories`` is given are columns
+    with more values than that hashed instead.
     """
     if mode not in ("onehot", "index"):
         raise ValueError(f"unknown mode {mode}")
     medians = median_values(train, numeric, approximate)
-    numbers = [f"COALESCE(CAST(`{c}` AS DOUBLE), {medians.get(c, 0.0)!r}D) AS `__n_{c}`" for c in numeric]
+    numbers = [f"COALESCE(NANVL(CAST(`{c}` AS DOUBLE), NULL), {medians.get(c, 0.0)!r}D) AS `__n_{c}`" for c in numeric]
     texts = [f"COALESCE(CAST(`{c}` AS STRING), '{missing}') AS `__t_{c}`" for c in categorical]
     fill = SQLTransformer(statement=f"SELECT *, {', '.join([*numbers, *texts])} FROM __THIS__")
     df, stages = fill.transform(train), [fill]
 
-    counts = category_counts(df, [f"__t_{c}" for c in categorical])
-    known = [c for c, n in counts.items() if n <= max_categories]
-    many = [c for c in counts if c not in known]
+    texts = [f"__t_{c}" for c in categorical]
+    counts = {} if max_categories is None else category_counts(df, texts)
+    many = [c for c, n in counts.items() if n > max_categories]
+    known = [c for c in texts if c not in many]
     inputs, bins = [f"__n_{c}" for c in numeric], 32
     if known:
         numbered = [f"__i_{c}" for c in known]

@@ -221,7 +221,10 @@ def grid_search(
     horizon: int = BACKTEST_WEEKS["horizon"],
     spec: SeriesSpec = DEFAULT,
 ) -> DataFrame:
-    """Backtest error of every parameter combination: the mean over the horizons of their RMSE."""
+    """Backtest error of every parameter combination: the mean over the horizons of their RMSE.
+
+    A series that was skipped or failed has one row with its status, without parameters and error.
+    """
     flags, modes = _flags(df, spec, use_events), _grid(grid)
 
     def body(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -229,11 +232,8 @@ def grid_search(
 
     schema = f"{GRID_SCHEMA}, horizon_weeks int, squared_error double, n int"
     errors = _by_series(df, body, schema, MIN_POINTS_FIT, spec)
-    return (
-        errors.filter(F.col("status") == "ok")
-        .groupBy(*spec.keys, *ADDITIVE_GRID)
-        .agg(F.avg(F.sqrt(F.col("squared_error") / F.col("n"))).alias("rmse"))
-    )
+    rmse = F.avg(F.sqrt(F.col("squared_error") / F.col("n"))).alias("rmse")
+    return errors.groupBy(*spec.keys, *ADDITIVE_GRID, "status").agg(rmse)
 
 
 def tuned_against_default(

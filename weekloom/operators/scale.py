@@ -72,31 +72,21 @@ def exact_medians(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     )
 
 
-def fill_medians(df: DataFrame, medians: dict[str, float]) -> DataFrame:
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(m)) for c, m in medians.items()})
-
-
-LOCAL_MEDIAN_ROWS = 1_000_000
-
-
 def median_values(df: DataFrame, columns: Iterable[str], approximate: bool = False) -> dict[str, float]:
-    """Medians of the columns that have missing values (the others need none); 0 for a column without values.
+    """Medians of the columns with missing values, null or NaN (the others need none); 0 for a column without values.
 
-    Tables counted to be small use the plain aggregate, larger ones the distributed median, which shuffles their
-    distinct values. ``approximate`` uses a sketch of bounded size and no shuffle of values instead.
+    Exact medians at every size shuffle the distinct values; ``approximate`` uses a sketch of bounded size and no shuffle of
+    values instead. Both leave out missing values.
     """
-    columns = list(columns)
-    facts = df.agg(
-        F.count(F.lit(1)).alias("__rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns]
-    ).first()
-    needed = [c for c in columns if facts[c]]
+    values = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
+    if not values:
+        return {}
+    facts = df.agg(*[F.count_if(v.isNull()).alias(c) for c, v in values.items()]).first()
+    needed = [c for c in values if facts[c]]
     if not needed:
         return {}
     if approximate:
-        row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, 10_000).alias(c) for c in needed]).first()
-        found = {c: row[c] for c in needed if row[c] is not None}
-    elif facts["__rows"] <= LOCAL_MEDIAN_ROWS:
-        row = df.agg(*[F.median(c).cast("double").alias(c) for c in needed]).first()
+        row = df.agg(*[F.percentile_approx(values[c], 0.5, 10_000).alias(c) for c in needed]).first()
         found = {c: row[c] for c in needed if row[c] is not None}
     else:
         found = {r["feature"]: r["median"] for r in exact_medians(df, needed).collect()}

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weekloom.functions.numeric import clamp
@@ -28,6 +28,7 @@ from weekloom.settings import (
     STACK_BASE_CLUSTER,
     STACK_BASE_GLOBAL,
     STACK_META_BOOSTED,
+    STACK_PATIENCE,
     TEST_WEEKS,
 )
 from weekloom.spec import DEFAULT, SeriesSpec, feature_columns
@@ -56,27 +57,66 @@ def _inputs(df: DataFrame, spec: SeriesSpec) -> tuple[list[str], list[str]]:
     return [c for c in names if c not in categorical], categorical
 
 
+def best_prefix(losses: Sequence[float], patience: int) -> int:
+    """Number of trees of least loss before the first run of ``patience`` trees without a lower one."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def _tree_count(points: DataFrame, params: Mapping, patience: int) -> int:
+    """Trees that predict the held rows best, fitted without them.
+
+    Spark's own validation ends at the first tree that does not help. Here a model is fitted in full, the loss of all its
+    prefixes is read at once, and the model is doubled while its best prefix lies less than ``patience`` trees before its end.
+    The same seed gives the same first trees, so a longer model only adds to the prefixes.
+    """
+    past, held = points.filter("NOT __held"), points.filter("__held")
+    limit = params["maxIter"]
+    rounds = min(limit, 2 * patience)
+    while True:
+        model = GBTRegressor(**{**params, "maxIter": rounds}).fit(past)
+        kept = best_prefix(model.evaluateEachIteration(held, "absolute"), patience)
+        if kept + patience <= rounds or rounds == limit:
+            return kept
+        rounds = min(2 * rounds, limit)
+
+
+def latest_weeks(train: DataFrame, weeks: int = TEST_WEEKS, spec: SeriesSpec = DEFAULT) -> Column | None:
+    """Condition for the last weeks of a table, at most a fifth of its time; None if it spans less than five weeks."""
+    ends = train.agg(F.min(spec.time).alias("first"), F.max(spec.time).alias("last")).first()
+    if ends["last"] is None:
+        return None
+    span = (ends["last"] - ends["first"]).days // 7 + 1
+    if span < 5:
+        return None
+    return F.col(spec.time) > F.lit(ends["last"]) - F.expr(f"INTERVAL {7 * min(weeks, span // 5)} DAYS")
+
+
 def fit_base(
     train: DataFrame,
     params: Mapping,
-    stop_fold: int | None = None,
-    tolerance: float = 0.01,
+    held: Column | None = None,
+    patience: int = STACK_PATIENCE,
     spec: SeriesSpec = DEFAULT,
 ) -> PipelineModel:
     """Boosted trees on the numbered categories.
 
-    With ``stop_fold`` the number of trees is found on that fold, the latest one of the training rows, and the
+    With ``held``, a condition for the latest of the training rows, the number of trees is found on those rows, and the
     model is then fitted again with that many trees on all rows. The test rows play no part in it.
     """
     numeric, categorical = _inputs(train, spec)
     encoder, bins = fit_encoder(train, numeric, categorical, "index")
-    keep = [spec.value, VECTOR]
     params = {**params, "featuresCol": VECTOR, "labelCol": spec.value, "maxBins": bins, "seed": SEED}
-    points = encoder.transform(train).select(*keep, (F.col("fold") == F.lit(stop_fold)).alias("__held")).persist()
+    marked = train.withColumn("__held", F.lit(False) if held is None else F.coalesce(held, F.lit(False)))
+    points = encoder.transform(marked).select(spec.value, VECTOR, "__held").persist()
     try:
-        if stop_fold is not None:
-            probe = GBTRegressor(**params, validationIndicatorCol="__held", validationTol=tolerance).fit(points)
-            params["maxIter"] = max(1, probe.getNumTrees)
+        if held is not None:
+            params["maxIter"] = _tree_count(points, params, patience)
         model = GBTRegressor(**params).fit(points)
     finally:
         points.unpersist()
@@ -88,12 +128,22 @@ def _predict(model: PipelineModel, rows: DataFrame, name: str) -> DataFrame:
 
 
 def out_of_fold(
-    train: DataFrame, folds: int, params: Mapping, fill: str = "mean", spec: SeriesSpec = DEFAULT
+    train: DataFrame,
+    folds: int,
+    params: Mapping,
+    fill: str = "mean",
+    patience: int = STACK_PATIENCE,
+    spec: SeriesSpec = DEFAULT,
 ) -> DataFrame:
-    """Each row of a validation fold predicted by a model of earlier rows; the first rows get the mean or go."""
+    """Each row of a validation fold predicted by a model of earlier rows; the first rows get the mean or go.
+
+    The fold before the predicted one stops the trees; before the first fold the last weeks of its training rows do.
+    """
     parts = [train.filter("fold < 0").withColumn(OOF, F.lit(None).cast("double"))]
     for f in range(folds):
-        model = fit_base(train.filter(F.col("fold") < f), params, f - 1 if f else None, spec=spec)
+        past = train.filter(F.col("fold") < f)
+        held = F.col("fold") == f - 1 if f else latest_weeks(past, spec=spec)
+        model = fit_base(past, params, held, patience, spec)
         parts.append(_predict(model, train.filter(F.col("fold") == f), OOF))
     return fill_out_of_fold(stage(union_all(parts)), OOF, fill, [], spec)
 
@@ -164,8 +214,8 @@ def fit_stack(
     spec: SeriesSpec = DEFAULT,
 ) -> Stack:
     folded = stage(cv_folds(train, folds, "chronological", spec, group or []))
-    level_one = out_of_fold(folded, folds, params, fill, spec)
-    base = fit_base(folded, params, folds - 1, spec=spec)
+    level_one = out_of_fold(folded, folds, params, fill, spec=spec)
+    base = fit_base(folded, params, F.col("fold") == folds - 1, spec=spec)
     return Stack(base, fit_meta(level_one, meta, params=meta_params, spec=spec))
 
 

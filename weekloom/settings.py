@@ -114,6 +114,7 @@ STACK_BASE_CLUSTER = {
     "subsamplingRate": 0.7,
     "maxIter": 1000,
 }
+STACK_PATIENCE = 50
 STACK_META_BOOSTED = {"maxIter": 200, "stepSize": 0.1, "maxDepth": 5}
 RIDGE_ALPHA = 1.0
 
