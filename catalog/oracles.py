@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from catalog.tables import CENTRES, NUDGE
+from weekloom.operators.clean import HISTORY_COLUMNS
 from weekloom.settings import LAGS, ROLLING_WINDOWS, SERIES_FEATURES
 from weekloom.sources import bronze
 
@@ -145,14 +146,16 @@ CTES = {
                AVG(weekly_volume) OVER ({IN_TIME} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS level,
                STDDEV_SAMP(weekly_volume) OVER ({IN_TIME} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS spread
         FROM gold""",
+    "ahead": """
+        SELECT establecimiento, material, cutoff, CAST(h AS INTEGER) AS horizon_weeks,
+               CAST(cutoff + h * INTERVAL 7 DAY AS DATE) AS ds
+        FROM cutoffs, range(1, 13) AS s(h)""",
     "backtest0": """
-        SELECT a.establecimiento, a.material, a.week AS ds, c.cutoff,
-               CAST(date_diff('day', c.cutoff, a.week) // 7 AS INTEGER) AS horizon_weeks, a.weekly_volume AS y,
+        SELECT a.establecimiento, a.material, c.ds, c.cutoff, c.horizon_weeks, a.weekly_volume AS y,
                COALESCE(a.season, o.level) AS yhat, 1.96 * COALESCE(o.spread, 0) AS margin
-        FROM cutoffs c
+        FROM ahead c
         JOIN state o ON o.establecimiento = c.establecimiento AND o.material = c.material AND o.week = c.cutoff
-        JOIN state a ON a.establecimiento = c.establecimiento AND a.material = c.material
-          AND a.week > c.cutoff AND a.week <= c.cutoff + INTERVAL 84 DAY""",
+        JOIN state a ON a.establecimiento = c.establecimiento AND a.material = c.material AND a.week = c.ds""",
     "backtest": f"""
         SELECT establecimiento, material, ds, cutoff, horizon_weeks, y, {r('yhat')} AS yhat,
                {r('yhat - margin')} AS yhat_lower, {r('yhat + margin')} AS yhat_upper
@@ -360,6 +363,16 @@ def _errors() -> str:
 
 SILVER_COLUMNS = "establecimiento, material, calday, promo_id, tipo, volume_ap, cantidad_umb"
 
+# Rows of the later fifth of the weeks of each cluster.
+HOLDOUT = f"""
+    SELECT establecimiento, material, c.week, {r('weekly_volume')} AS actual_volume, c.cluster_label, TRUE AS finite
+    FROM clustered c JOIN (
+      SELECT *, ROW_NUMBER() OVER (PARTITION BY cluster_label ORDER BY week) - 1 AS i,
+             COUNT(*) OVER (PARTITION BY cluster_label) AS n
+      FROM (SELECT DISTINCT cluster_label, week FROM clustered)) w
+    ON c.cluster_label = w.cluster_label AND c.week = w.week
+    WHERE i >= FLOOR(n * CAST(0.8 AS DOUBLE))"""
+
 ORACLES: dict[str, str] = {
     "silver_rollup": sql(f"SELECT {SILVER_COLUMNS} FROM silver"),
     "exclude_types": sql("SELECT * FROM silver WHERE tipo NOT IN ('HOUSEHOLD')"),
@@ -594,6 +607,30 @@ ORACLES: dict[str, str] = {
         UNION ALL
         SELECT establecimiento, material, CAST(last_week + i * INTERVAL 7 DAY AS DATE), 0, 0
         FROM origin, range(1, 13) AS s(i)"""),
+    "gbt_holdout_rows": sql(HOLDOUT),
+    "rf_holdout_rows": sql(HOLDOUT),
+    "stacking_holdout_rows": sql(f"""
+        SELECT establecimiento, material, week, {r('weekly_volume')} AS actual_volume, cluster_label,
+               TRUE AS finite, TRUE AS not_negative
+        FROM (SELECT *, MAX(week) OVER () AS last_week FROM ({ROW_FEATURES} FROM clustered)
+              WHERE COLUMNS('.*({'|'.join(HISTORY_COLUMNS)}).*') IS NOT NULL)
+        WHERE week > last_week - INTERVAL 84 DAY"""),
+    "additive_forecast_rows": sql("""
+        SELECT establecimiento, material, week AS ds, FALSE AS is_future, TRUE AS finite, TRUE AS ordered, 'ok' AS status
+        FROM gold
+        UNION ALL
+        SELECT establecimiento, material, CAST(last_week + i * INTERVAL 7 DAY AS DATE), TRUE, TRUE, TRUE, 'ok'
+        FROM origin, range(1, 13) AS s(i)"""),
+    "additive_backtest_rows": sql(f"""
+        SELECT establecimiento, material, ds, cutoff, horizon_weeks, {r('y')} AS y, TRUE AS finite, TRUE AS ordered,
+               'ok' AS status FROM backtest0
+        UNION ALL
+        SELECT establecimiento, material, NULL, NULL, NULL, NULL, FALSE, FALSE, 'skipped'
+        FROM origin ANTI JOIN cutoffs USING (establecimiento, material)"""),
+    "additive_grid_rows": sql("""
+        SELECT establecimiento, material, 32 * COUNT(cutoff) // GREATEST(COUNT(cutoff), 1) AS combinations,
+               CASE WHEN COUNT(cutoff) > 0 THEN 'ok' ELSE 'skipped' END AS status
+        FROM origin LEFT JOIN cutoffs USING (establecimiento, material) GROUP BY 1, 2"""),
     "resume_anti_join": sql(
         f"SELECT DISTINCT establecimiento, material FROM gold EXCEPT SELECT establecimiento, material FROM ({_top(100)})"
     ),

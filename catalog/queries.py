@@ -647,10 +647,36 @@ def gbt_metrics(spark, folder):
     return _boosted(spark, folder).metrics
 
 
+def _holdout_rows(predictions):
+    """Every predicted row, and whether its prediction is a number."""
+    return predictions.select(
+        *KEYS, "week", "actual_volume", "cluster_label", _finite("predicted_volume").alias("finite")
+    )
+
+
+def _finite(name):
+    value = F.col(name)
+    return F.coalesce(F.abs(F.nanvl(value, F.lit(float("inf")))) < F.lit(float("inf")), F.lit(False))
+
+
 @query
-def rf_by_cluster(spark, folder):
+def gbt_holdout_rows(spark, folder):
+    return _holdout_rows(_boosted(spark, folder).predictions)
+
+
+def _forest(spark, folder):
     table = t.model_table(spark, folder)
-    return trees.train_clusters(table, "forest", SMALL_FOREST, trials=2, folds=2).metrics
+    return t.once(spark, folder, "forest", lambda: trees.train_clusters(table, "forest", SMALL_FOREST, trials=2, folds=2))
+
+
+@query
+def rf_by_cluster(spark, folder):
+    return _forest(spark, folder).metrics
+
+
+@query
+def rf_holdout_rows(spark, folder):
+    return _holdout_rows(_forest(spark, folder).predictions)
 
 
 @query
@@ -663,10 +689,28 @@ def random_search(spark, folder):
     return spark.createDataFrame([(str(best), error)], "best_params string, cv_mae double")
 
 
+def _stacked(spark, folder):
+    base = {**STACK_BASE_GLOBAL, **SMALL_STACK}
+    table = t.model_table(spark, folder)
+    return t.once(spark, folder, "stacked", lambda: stack.stack_global(table, folds=2, params=base)[0])
+
+
 @query
 def stacking(spark, folder):
-    base = {**STACK_BASE_GLOBAL, **SMALL_STACK}
-    return stack.stack_global(t.model_table(spark, folder), folds=2, params=base)[0]
+    return _stacked(spark, folder)
+
+
+@query
+def stacking_holdout_rows(spark, folder):
+    value = "stacking_predicted_volume"
+    return _stacked(spark, folder).select(
+        *KEYS,
+        "week",
+        "actual_volume",
+        "cluster_label",
+        _finite(value).alias("finite"),
+        (F.col(value) >= 0).alias("not_negative"),
+    )
 
 
 @query
@@ -698,9 +742,30 @@ def centroid_report(spark, folder):
 # Additive model of every series
 
 
+def _additive_forecast(spark, folder):
+    return t.once(spark, folder, "forecast", lambda: t.stage(forecast.forecast(t.gold(spark, folder))))
+
+
 @query
 def additive_forecast(spark, folder):
-    return forecast.forecast(t.gold(spark, folder))
+    return _additive_forecast(spark, folder)
+
+
+def _flags():
+    inside = (F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))
+    return _finite("yhat").alias("finite"), F.coalesce(inside, F.lit(False)).alias("ordered"), "status"
+
+
+@query
+def additive_forecast_rows(spark, folder):
+    """Every series and week forecast, and whether the numbers are sound."""
+    return _additive_forecast(spark, folder).select(*KEYS, "ds", "is_future", *_flags())
+
+
+@query
+def additive_backtest_rows(spark, folder):
+    """Every series, cutoff and week; one row for a series without cutoffs."""
+    return _additive_backtest(spark, folder).select(*KEYS, "ds", "cutoff", "horizon_weeks", "y", *_flags())
 
 
 def _additive_backtest(spark, folder):
@@ -722,9 +787,19 @@ def additive_global_metrics(spark, folder):
     return metrics.global_metrics(_additive_backtest(spark, folder).filter("status = 'ok'"))
 
 
+def _grid_search(spark, folder):
+    return t.once(spark, folder, "grid", lambda: t.stage(forecast.grid_search(t.gold(spark, folder))))
+
+
 @query
 def additive_grid_search(spark, folder):
-    return forecast.grid_search(t.gold(spark, folder))
+    return _grid_search(spark, folder)
+
+
+@query
+def additive_grid_rows(spark, folder):
+    """Combinations tried per series, with its status."""
+    return _grid_search(spark, folder).groupBy(*KEYS, "status").agg(F.count("rmse").alias("combinations"))
 
 
 @query
