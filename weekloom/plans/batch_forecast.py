@@ -42,11 +42,18 @@ class BatchResult:
         return global_metrics(self.backtests, self.spec)
 
 
+# Spark's names for a missing folder and for one without data files.
+NOTHING_WRITTEN = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def _folder(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored table, None if nothing has been written; a damaged folder raises."""
     try:
         return spark.read.option("basePath", path).parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as error:
+        if error.getCondition() in NOTHING_WRITTEN:
+            return None
+        raise
 
 
 def read_results(spark: SparkSession, output: str, spec: SeriesSpec = DEFAULT) -> BatchResult | None:
