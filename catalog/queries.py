@@ -779,7 +779,10 @@ def additive_backtest(spark, folder):
 
 @query
 def additive_series_metrics(spark, folder):
-    return metrics.series_metrics(_additive_backtest(spark, folder).filter("status = 'ok'"))
+    """Every series with its status; skipped and failed ones without numbers."""
+    rows = _additive_backtest(spark, folder)
+    found = metrics.series_metrics(rows.filter("status = 'ok'"))
+    return rows.select(*KEYS, "status").distinct().join(found, KEYS, "left")
 
 
 @query
@@ -804,5 +807,7 @@ def additive_grid_rows(spark, folder):
 
 @query
 def additive_tuning_effect(spark, folder):
-    tested = forecast.tuned_against_default(t.gold(spark, folder)).filter("status = 'ok'")
-    return metrics.tuning_effect(tested)
+    """Every series with its status; skipped and failed ones without numbers."""
+    tested = t.stage(forecast.tuned_against_default(t.gold(spark, folder)))
+    found = metrics.tuning_effect(tested.filter("status = 'ok'"))
+    return tested.select(*KEYS, "status").distinct().join(found, KEYS, "left")

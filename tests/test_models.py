@@ -215,6 +215,27 @@ def test_batched_scales_equal_single_fits():
         assert np.abs(one - both[i]).max() < 1e-6
 
 
+@pytest.mark.parametrize("multiplicative", [False, True])
+def test_histories_solved_together_equal_single_fits(multiplicative):
+    days, y, events = planted(150)
+    events[120:, 1] = 1  # varies in some of the histories only
+    histories = [(days[:n], y[:n], events[:n]) for n in (150, 138, 100, 60, 12, 3)]
+    bends, seasons = np.array([0.01, 0.5]), np.array([0.1, 10.0])
+    many = additive.fit_many(histories, bends, seasons, multiplicative)
+    for history, model in zip(histories, many, strict=True):
+        one = additive.fit(*history, bends, seasons, multiplicative)
+        assert model.predict(days, events)["yhat"] == pytest.approx(one.predict(days, events)["yhat"], rel=1e-6, abs=1e-6)
+        assert list(model.converged) == list(one.converged)
+
+
+def test_a_fit_without_enough_rounds_says_so(monkeypatch):
+    days, y, events = planted(150)
+    monkeypatch.setattr(additive, "ROUNDS", 1)
+    assert not additive.fit(days, y, events, np.array([0.05]), np.array([10.0])).converged.any()
+    monkeypatch.setattr(additive, "ROUNDS", 300)
+    assert additive.fit(days, y, events, np.array([0.05]), np.array([10.0])).converged.all()
+
+
 def test_forecast_statuses(weekly):
     days, y, events = planted(60)
     series = {
@@ -226,6 +247,7 @@ def test_forecast_statuses(weekly):
     out = fc.forecast(weekly(series), 12).cache()
     status = {r["material"]: r["status"] for r in out.select("material", "status").distinct().collect()}
     assert status["good"] == status["zero"] == "ok" and status["short"] == "skipped" and status["bad"] == "failed"
+    assert out.filter("status = 'ok'").filter("converged is null").isEmpty()
     ahead = out.filter("material = 'good' and is_future").orderBy("ds").collect()
     assert [r["ds"] for r in ahead] == [week(60 + i) for i in range(12)]
     meta = {r["material"]: r for r in fc.model_metadata(out).collect()}

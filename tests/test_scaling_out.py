@@ -141,6 +141,13 @@ def test_mase_boundaries(random_weekly):
         assert got == pytest.approx(want.to_dict())
 
 
+def test_a_null_group_keeps_its_border_steps(weekly):
+    df = weekly({("a", "x"): [(0, 2.0)], ("a", "y"): [(0, 5.0)]})
+    whole = df.withColumn("cluster_label", F.lit(None).cast("int"))
+    scale = metrics.naive_scale(whole, "continuous").first()
+    assert scale["naive_mae"] == 3.0 and scale["train_rows"] == 2
+
+
 def test_mase_of_flat_and_short_training(weekly):
     flat = weekly({("a", "x"): [(i, 2.0) for i in range(5)]})
     right = flat.select("cluster_label", F.col("weekly_volume").alias("actual_volume"), F.lit(2.0).alias("predicted_volume"))

@@ -17,6 +17,8 @@ from weekloom.session import in_parallel
 from weekloom.settings import CLUSTER_COUNT, CLUSTER_SWEEP, SEED, SERIES_FEATURES
 from weekloom.spec import DEFAULT, SeriesSpec, feature_columns
 
+POINTS_A_TASK = 20_000
+
 
 def _vectors(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol="__point", handleInvalid="error").transform(df)
@@ -31,7 +33,7 @@ def sweep(
     scaled: DataFrame,
     ks: Iterable[int] = CLUSTER_SWEEP,
     seed: int = SEED,
-    threads: int = 3,
+    threads: int = 9,
     spec: SeriesSpec = DEFAULT,
 ) -> DataFrame:
     """Inertia and silhouette for several numbers of clusters; one row per number.
@@ -39,7 +41,9 @@ def sweep(
     The silhouette uses squared Euclidean distance: with it the mean distance to a cluster follows from sums
     over the cluster, so that no pairs of series are formed.
     """
-    points = _vectors(scaled, cluster_columns(scaled, spec)).select("__point").persist()
+    points = _vectors(scaled, cluster_columns(scaled, spec)).select("__point")
+    parts = -(-points.count() // POINTS_A_TASK) or 1  # few points in many partitions cost only task starts
+    points = points.coalesce(parts).persist()
 
     def one(k: int) -> tuple[int, float, float]:
         model = KMeans(k=k, seed=seed, featuresCol="__point").fit(points)

@@ -88,15 +88,18 @@ def _dates(days: np.ndarray) -> np.ndarray:
     return days.astype(int).astype("datetime64[D]").astype(object)
 
 
-def _fit(rows: _Rows, params: Sequence[Mapping]) -> additive.Additive:
+def _fit_many(histories: Sequence[_Rows], params: Sequence[Mapping]) -> list[additive.Additive]:
     """All given parameters must have the same mode. Weeks without a value are left out."""
-    known = np.isfinite(rows.y)
-    if known.sum() < 2:
+    known = [_Rows(*(a[np.isfinite(rows.y)] for a in rows)) for rows in histories]
+    if any(len(rows.y) < 2 for rows in known):
         raise ValueError("fewer than two values")
-    rows = _Rows(*(a[known] for a in rows))
     bends = np.array([float(p["changepoint_prior_scale"]) for p in params])
     seasons = np.array([float(p["seasonality_prior_scale"]) for p in params])
-    return additive.fit(*rows, bends, seasons, params[0]["seasonality_mode"] == "multiplicative")
+    return additive.fit_many(known, bends, seasons, params[0]["seasonality_mode"] == "multiplicative")
+
+
+def _fit(rows: _Rows, params: Sequence[Mapping]) -> additive.Additive:
+    return _fit_many([rows], params)[0]
 
 
 def _flags(df: DataFrame, spec: SeriesSpec, use_events: bool) -> list[str]:
@@ -110,7 +113,10 @@ def forecast(
     use_events: bool = True,
     spec: SeriesSpec = DEFAULT,
 ) -> DataFrame:
-    """Fitted history and the weeks after it, without promotions and flagged period, with the model's parameters."""
+    """Fitted history and the weeks after it, without promotions and flagged period, with the model's parameters.
+
+    ``converged`` says whether the fit settled within its rounds.
+    """
     flags = _flags(df, spec, use_events)
 
     def body(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -123,13 +129,14 @@ def forecast(
             k=model.trend[0, 1],
             m=model.trend[0, 0],
             sigma_obs=model.sigma[0],
+            converged=model.converged[0],
             start_date=pdf["ds"].iloc[0],
             end_date=pdf["ds"].iloc[-1],
         )
 
     schema = (
         "ds date, yhat double, yhat_lower double, yhat_upper double, trend double, yearly double, "
-        "is_future boolean, k double, m double, sigma_obs double, start_date date, end_date date"
+        "is_future boolean, k double, m double, sigma_obs double, converged boolean, start_date date, end_date date"
     )
     return _by_series(df, body, schema, MIN_POINTS_FIT, spec)
 
@@ -167,20 +174,29 @@ def backtest(
     horizon: int = BACKTEST_WEEKS["horizon"],
     spec: SeriesSpec = DEFAULT,
 ) -> DataFrame:
-    """Rolling-origin forecasts: at each cutoff the model sees only the weeks up to it."""
+    """Rolling-origin forecasts: at each cutoff the model sees only the weeks up to it; ``converged`` as in ``forecast``."""
     flags = _flags(df, spec, use_events)
 
     def body(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame(columns=["ds"])]
-        for cutoff, train, test, ahead in _folds(_rows(pdf, flags), initial, period, horizon):
-            found = _fit(train, [params]).predict(test.days, test.events)
-            fold = {"ds": _dates(test.days), "horizon_weeks": ahead, "y": test.y}
-            fold |= {c: found[c][0] for c in ("yhat", "yhat_lower", "yhat_upper")}
-            out.append(pd.DataFrame(fold).assign(cutoff=_dates(np.array([cutoff]))[0]))
-        return pd.concat(out[1:] or out, ignore_index=True)
+        folds = list(_folds(_rows(pdf, flags), initial, period, horizon))
+        if not folds:
+            return pd.DataFrame(columns=["ds"])
+        models = _fit_many([train for _, train, _, _ in folds], [params])
+        found = [model.predict(test.days, test.events) for model, (_, _, test, _) in zip(models, folds, strict=True)]
+        sizes = [len(test.y) for _, _, test, _ in folds]
+        out = {
+            "ds": _dates(np.concatenate([test.days for _, _, test, _ in folds])),
+            "cutoff": _dates(np.repeat([cutoff for cutoff, _, _, _ in folds], sizes)),
+            "horizon_weeks": np.concatenate([ahead for _, _, _, ahead in folds]),
+            "y": np.concatenate([test.y for _, _, test, _ in folds]),
+        }
+        out |= {c: np.concatenate([f[c][0] for f in found]) for c in ("yhat", "yhat_lower", "yhat_upper")}
+        out["converged"] = np.repeat([bool(model.converged[0]) for model in models], sizes)
+        return pd.DataFrame(out)
 
     schema = (
-        "ds date, cutoff date, horizon_weeks int, y double, yhat double, yhat_lower double, yhat_upper double"
+        "ds date, cutoff date, horizon_weeks int, y double, yhat double, yhat_lower double, yhat_upper double, "
+        "converged boolean"
     )
     return _by_series(df, body, schema, MIN_POINTS_FIT, spec)
 
@@ -196,8 +212,10 @@ def _grid_errors(rows: _Rows, modes: Mapping, initial: int, period: int, horizon
     """Squared errors per parameter combination and distance from the cutoff."""
     combos = [c for group in modes.values() for c in group]
     squared, counts = np.zeros((len(combos), horizon + 1)), np.zeros(horizon + 1, dtype=int)
-    for _, train, test, ahead in _folds(rows, initial, period, horizon):
-        yhat = [_fit(train, group).predict(test.days, test.events)["yhat"] for group in modes.values()]
+    folds = list(_folds(rows, initial, period, horizon))
+    models = [_fit_many([train for _, train, _, _ in folds], group) for group in modes.values()]
+    for i, (_, _, test, ahead) in enumerate(folds):
+        yhat = [of_mode[i].predict(test.days, test.events)["yhat"] for of_mode in models]
         np.add.at(squared, (slice(None), ahead), (np.vstack(yhat) - test.y) ** 2)
         np.add.at(counts, ahead, 1)
     seen = np.flatnonzero(counts)

@@ -95,7 +95,9 @@ def naive_scale(
     )
     if boundary == "continuous":
         borders = _border_steps(train, spec, group)
-        per_group = per_group.join(borders, group, "left").select(
+        borders = borders.select(*[F.col(c).alias(f"__b_{c}") for c in group], "__border_sum", "__border_steps")
+        same = [F.col(c).eqNullSafe(F.col(f"__b_{c}")) for c in group]  # a NULL group meets its own borders
+        per_group = per_group.join(borders, same, "left").select(
             *group,
             (F.col("__sum") + F.coalesce("__border_sum", F.lit(0.0))).alias("__sum"),
             (F.col("__steps") + F.coalesce("__border_steps", F.lit(0))).alias("__steps"),
