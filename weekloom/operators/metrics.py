@@ -99,12 +99,11 @@ def naive_scale(
         same = [F.col(c).eqNullSafe(F.col(f"__b_{c}")) for c in group]  # a NULL group meets its own borders
         per_group = per_group.join(borders, same, "left").select(
             *group,
-            (F.col("__sum") + F.coalesce("__border_sum", F.lit(0.0))).alias("__sum"),
+            # Without a step inside a series the sum is NULL although border steps may exist.
+            (F.coalesce("__sum", F.lit(0.0)) + F.coalesce("__border_sum", F.lit(0.0))).alias("__sum"),
             (F.col("__steps") + F.coalesce("__border_steps", F.lit(0))).alias("__steps"),
             "train_rows",
         )
-        # Without a step inside a series the sum is NULL although border steps may exist.
-        per_group = per_group.withColumn("__sum", F.coalesce("__sum", F.lit(0.0)))
     elif boundary != "per_series":
         raise ValueError(f"unknown boundary {boundary}")
     return per_group.select(*group, ratio(F.col("__sum"), F.col("__steps")).alias("naive_mae"), "train_rows")
