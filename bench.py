@@ -17,7 +17,7 @@ from weekloom.session import local_session
 from weekloom.sources import bronze
 
 ROUNDS = 4
-ONCE = {"additive_backtest", "kmeans_sweep"}
+ONCE = {"additive_backtest", "additive_grid_search", "kmeans_sweep"}
 
 
 def main() -> None:
@@ -53,6 +53,7 @@ def main() -> None:
         ),
         "additive_forecast": lambda: forecast.forecast(gold),
         "additive_backtest": lambda: forecast.backtest(gold),
+        "additive_grid_search": lambda: forecast.grid_search(gold),
         "kmeans_sweep": lambda: cluster.sweep(t.scaled(spark, folder)),
     }
     seconds = {}
@@ -70,6 +71,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
+                "cores": spark.sparkContext.defaultParallelism,
                 "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
             }
         )
