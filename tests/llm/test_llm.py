@@ -192,6 +192,38 @@ def test_vector_recall(spark):
     assert (got <= links).all() and got.sum() >= 0.9 * links.sum()
 
 
+def border_pairs(rng, n, width):
+    """Unclustered unit vectors and a partner of each at a cosine just over 0.9."""
+    x = rng.normal(size=(n, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=(n, width))
+    y -= (y * x).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    c = rng.uniform(0.9001, 0.95, (n, 1))
+    return x, c * x + np.sqrt(1 - c * c) * y
+
+
+@pytest.mark.parametrize("width", [4, 16, 64])
+def test_border_pairs_meet_among_hundreds_of_cells(width):
+    rng = np.random.default_rng(7)
+    x, y = border_pairs(rng, 4000, width)
+    centres = vectors.spherical_kmeans(border_pairs(rng, 10_000, width)[0], vectors.MOST_CELLS)
+    margin = vectors.margins(centres, vectors.SIMILAR)
+    (a, go_x), (b, go_y) = (vectors.places(v, centres, margin) for v in (x, y))
+    at = np.arange(len(x))
+    assert (a != b).sum() > 1000 and go_x[at, b].all() and go_y[at, a].all()
+
+
+def test_vectors_across_borders(spark):
+    x, y = border_pairs(np.random.default_rng(8), 600, 16)
+    u = np.concatenate([x, y])
+    frame = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(u)], "vec_id long, embedding array<double>")
+    links = ((u @ u.T >= 0.9).sum(1) - 1).tolist()
+    for size in ({}, {"block": 24}):
+        got = {r.vec_id: r.n_links for r in vectors.near_vectors(frame, **size).collect()}
+        assert [got[i] for i in range(len(u))] == links
+
+
 def test_token_counts(spark, docs, none):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -1,10 +1,11 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products within cells, one representative per group.
 
 Equal vectors are one class first and go on once, with their number. Centroids are fitted on a sample of bounded size and
-sent to all tasks (at most ``MOST_CELLS`` vectors). Every class lives in the cell of its nearest centroid and also visits
-each higher-numbered cell whose centroid is nearly as near, so that a pair across a border meets in exactly one cell. A
-cell's vectors meet in blocks of bounded size; every pair of blocks is one group: a matrix product in double precision.
-A group returns counts of links per vector and a spanning forest of its links, never the pairs themselves.
+sent to all tasks (at most ``MOST_CELLS`` vectors). Every class lives in the cell of its nearest centroid, in a block of
+bounded size, and also visits the blocks of each cell that may hold a vector similar enough: one whose border, the plane
+midway between the two centroids, is at most the angle asked for away. Beyond it no link is possible, so none is missed.
+Every pair of blocks is one group: a matrix product in double precision. A group returns counts of links per vector and a
+spanning forest of its links, never the pairs themselves.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from weekloom.session import stage
 
 FIT_ROWS = 20_000  # vectors that the centroids are fitted on, expected
 MOST_CELLS = 512
-VISIT = 0.12  # a vector visits cells whose centroid's cosine is at most this much below the best one
-BLOCK = 2048
+BLOCK = 4096
+ROWS = 512  # rows of a matrix product held at one time
+ROUNDING = 1e-6  # added to the margin of a border
 SIMILAR = 0.9
 ROUNDS = 12
 
@@ -57,32 +59,49 @@ def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("vec_id"), pa.array(keys, pa.binary())], ["vec_id", "vector"])
 
 
-def _cells(centroids: dict[int, np.ndarray], visit: float):
-    """One row for the home cell and one for each cell visited; vectors of different length never share a cell."""
+def margins(centres: np.ndarray, similar: float) -> np.ndarray:
+    """How much nearer than each other centroid a vector's own may be, if a vector of that cell can be ``similar``.
+
+    The plane midway between unit centroids c and d passes the origin. A vector x on c's side is at the angle
+    arcsin(x (c - d) / |c - d|) from it, and every vector of d's cell is on or beyond it.
+    """
+    if similar <= 0:
+        return np.full((len(centres), len(centres)), np.inf)
+    apart = np.sqrt(np.maximum(0.0, 2 - 2 * (centres @ centres.T)))
+    return np.sqrt(max(0.0, 1 - similar * similar)) * apart + ROUNDING
+
+
+def places(units: np.ndarray, centres: np.ndarray, margin: np.ndarray, visit: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """The home cell of each vector, and whether it goes to each cell."""
+    near = units @ centres.T
+    home = near.argmax(axis=1)
+    return home, near.max(axis=1, keepdims=True) - near <= np.maximum(margin[home], visit)
+
+
+def _cells(centroids: dict[int, np.ndarray], similar: float, visit: float):
+    """The home cell and all cells to go to; vectors of different length never share a cell."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        margin = {d: margins(c, similar) for d, c in centroids.items()}
         for batch in batches:
             raw = batch.column("vector").to_pylist()
             width = np.array([len(x) // 8 for x in raw])
             for d in np.unique(width):
                 rows = np.nonzero(width == d)[0]
                 units = unit_rows(np.frombuffer(b"".join(raw[i] for i in rows), np.float64).reshape(-1, d))
-                centres = centroids.get(int(d))
-                near = units @ centres.T if centres is not None else np.ones((len(rows), 1))
-                home = near.argmax(axis=1)
-                cell = np.arange(near.shape[1])
-                go = (near >= near.max(axis=1, keepdims=True) - visit) & (cell > home[:, None])
-                go[np.arange(len(rows)), home] = True
-                who, to = np.nonzero(go)
-                picked = batch.take(pa.array(rows[who]))
+                if int(d) in centroids:
+                    home, go = places(units, centroids[int(d)], margin[int(d)], visit)
+                else:
+                    home, go = np.zeros(len(rows), np.int64), np.ones((len(rows), 1), bool)
+                picked = batch.take(pa.array(rows))
                 yield pa.record_batch(
                     [
-                        pa.array(np.full(len(who), d), pa.int32()),
-                        pa.array(to, pa.int32()),
-                        pa.array(home[who] == to),
+                        pa.array(np.full(len(rows), d), pa.int32()),
+                        pa.array(home, pa.int32()),
+                        pa.array([np.nonzero(x)[0] for x in go], pa.list_(pa.int32())),
                         *(picked.column(c) for c in ("rep", "copies", "vector")),
                     ],
-                    ["width", "cell", "resident", "rep", "copies", "vector"],
+                    ["width", "home", "cells", "rep", "copies", "vector"],
                 )
 
     return assign
@@ -92,50 +111,46 @@ def _link(similar: float):
     schema = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("tied", pa.int64())])
 
     def link(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        lo, hi = key[2].as_py(), key[3].as_py()
+        lo, hi = ((k["cell"].as_py(), k["block"].as_py()) for k in key[1:])
         table = table.sort_by("rep")
         ids, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
-        block, resident = table.column("block").to_numpy(), table.column("resident").to_numpy(zero_copy_only=False)
+        home, block = table.column("home").to_numpy(), table.column("block").to_numpy()
+        left, right = (np.nonzero((home == c) & (block == b))[0] for c, b in (lo, hi))
+        if not len(left) or not len(right):
+            return schema.empty_table()
         units = unit_rows(np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float64).reshape(len(ids), -1))
-        left = np.nonzero(block == lo)[0]
-        right = np.nonzero(block == hi)[0]
-        close = units[left] @ units[right].T >= similar
-        # A pair of residents or a resident with a visitor; two visitors meet elsewhere.
-        close &= resident[left][:, None] | resident[right][None, :]
-        if lo == hi:
-            close = np.triu(close, 1)
         count = np.zeros(len(ids), np.int64)
-        count[left] += close @ copies[right]
-        count[right] += close.T @ copies[left]
-        parent = list(range(len(ids)))
-
-        def root(i):
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        for i in range(len(left)):
-            for j in np.nonzero(close[i])[0]:
-                a, b = root(left[i]), root(right[j])
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
+        tied = np.arange(len(ids))  # the smallest row reachable by links of this group
+        others = np.ascontiguousarray(units[right].T)
+        for start in range(0, len(left), ROWS):
+            own = left[start : start + ROWS]
+            close = units[own] @ others >= similar
+            if lo == hi:
+                close = np.triu(close, start + 1)
+            for i in np.nonzero(close.any(axis=1))[0]:
+                met = right[close[i]]
+                count[own[i]] += copies[met].sum()
+                count[met] += copies[own[i]]
+                parts = np.unique(np.append(tied[met], tied[own[i]]))
+                if len(parts) > 1:
+                    tied[np.isin(tied, parts)] = parts[0]
         use = np.nonzero(count)[0]
-        tied = [int(ids[root(i)]) for i in use]
-        return pa.table([pa.array(ids[use]), pa.array(count[use]), pa.array(tied, pa.int64())], schema=schema)
+        return pa.table([pa.array(ids[use]), pa.array(count[use]), pa.array(ids[tied[use]])], schema=schema)
 
     return link
 
 
-def near_vectors(vectors: DataFrame, similar: float = SIMILAR, visit: float = VISIT, most_cells: int = MOST_CELLS) -> DataFrame:
+def near_vectors(
+    vectors: DataFrame, similar: float = SIMILAR, visit: float = 0.0, most_cells: int = MOST_CELLS, block: int = BLOCK
+) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of (vec_id, embedding).
 
     Linked are vectors of equal length with a cosine of ``similar`` or more in double precision. Null, empty and zero
     vectors, and those with null or non-finite components, link with nothing: 0 links, their own component. Equal vectors
     link with each other; rows that repeat a vec_id count like any others. component_id is the smallest vec_id reachable,
     kept is vec_id = component_id. A null vec_id links with nothing, has no component and is kept. Extra columns are
-    ignored; an empty table gives no rows. Only links across cells whose centroids differ by more than ``visit`` in
-    cosine can be missed; there are none below ``similar``.
+    ignored; an empty table gives no rows. All links are found: the cells only spare comparisons that cannot link. ``visit`` widens
+    the borders beyond that, without changing the result.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     valid = stage(rows.mapInArrow(_valid, "vec_id long, vector binary"))
@@ -149,18 +164,22 @@ def near_vectors(vectors: DataFrame, similar: float = SIMILAR, visit: float = VI
     for r in sample.collect():  # about FIT_ROWS vectors at most
         v = np.frombuffer(bytes(r.vector), np.float64)
         by_width.setdefault(len(v), []).append(v)
-    cells = max(1, min(most_cells, int(np.sqrt(total))))
+    cells = max(1, min(most_cells, -(-total // block)))
     centroids = {d: spherical_kmeans(unit_rows(np.array(v)), cells) for d, v in by_width.items()}
 
     placed = classes.mapInArrow(
-        _cells(centroids, visit), "width int, cell int, resident boolean, rep long, copies long, vector binary"
+        _cells(centroids, similar, visit), "width int, home int, cells array<int>, rep long, copies long, vector binary"
     )
     placed = stage(placed)
-    sizes = placed.groupBy("width", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = placed.join(sizes, ["width", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    sizes = placed.groupBy("width", "home").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    dealt = placed.join(sizes, ["width", "home"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).drop("blocks")
+    sizes = sizes.withColumnRenamed("home", "cell")
+    dealt = dealt.withColumn("cell", F.explode("cells")).drop("cells").join(sizes, ["width", "cell"])
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    linked = dealt.groupBy("width", "cell", "lo", "hi").applyInArrow(_link(similar), "rep long, links long, tied long")
+    own = F.struct(F.col("home").alias("cell"), "block")
+    met = F.struct("cell", F.col("other").alias("block"))
+    dealt = dealt.select("width", F.least(own, met).alias("lo"), F.greatest(own, met).alias("hi"), "home", "block", "rep", "copies", "vector")
+    linked = dealt.groupBy("width", "lo", "hi").applyInArrow(_link(similar), "rep long, links long, tied long")
     linked = stage(linked)
     links = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = components(linked.select(F.col("rep").alias("a"), F.col("tied").alias("b")).where("a <> b"))
