@@ -139,6 +139,21 @@ def test_decontamination(spark, docs, none):
     assert not decontaminate.contamination(docs, items.limit(0)).where("contaminated").count()
 
 
+def test_decontamination_in_passes_judges_every_row_by_its_text(spark):
+    items = spark.createDataFrame(
+        [(1, PASSAGE), (2, "two words"), (None, PASSAGE), (1, PASSAGE), (3, "unseen words stand here now")], "item_id long, text string"
+    )
+    rows = [(None, PASSAGE), (None, "clean"), (None, None), (1, PASSAGE), (1, "two words"), (1, "clean"), (2, PASSAGE), (2, PASSAGE)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {PASSAGE: (True, 3, (1, 1), 1.0), "two words": (True, 1, (2,), 1.0)}
+    want = Counter((i, *found.get(text, (False, 0, (), 0.0))) for i, text in rows)
+    for size in (1 << 20, 200):
+        got = decontaminate.contamination(frame, items, pass_bytes=size).collect()
+        assert Counter((r.doc_id, r.contaminated, r.n_items, tuple(r.item_ids), r.most) for r in got) == want
+        left = decontaminate.cleaned(frame, items, pass_bytes=size).collect()
+        assert Counter(map(tuple, left)) == Counter(r for r in rows if r[1] not in found)
+
+
 def test_partial_items(spark):
     rng = np.random.default_rng(5)
     items = [[f"a{i}b{rng.integers(50)}" for _ in range(int(rng.integers(6, 90)))] for i in range(40)]

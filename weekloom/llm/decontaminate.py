@@ -27,6 +27,8 @@ PASS_BYTES = 16 << 20  # item text of one pass, expected; a larger benchmark tak
 GROWTH = 1.5  # largest item of a size partition over its smallest
 BIN_BITS = 8
 FILTER_BITS = 22
+ROW = "__row"
+FOUND = "n_items long, item_ids array<long>, most double"
 CACHE = WordHashes()
 
 
@@ -141,29 +143,38 @@ def indexes(benchmark: DataFrame, contained: float, pass_bytes: int) -> list[Ind
     return out
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a key of their own, written once, so that every pass sees the same keys."""
+    return stage(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def _hits(rows: DataFrame, found: list[Index]) -> DataFrame:
+    """The items of all passes, for the rows that hold any, by key."""
+    texts = rows.select(ROW, F.col("text").cast("string").alias("text"))
+    hits = None
+    for index in found:
+        one = stage(texts.mapInArrow(_search(index), f"{ROW} long, {FOUND}").where("n_items > 0"))
+        hits = one if hits is None else hits.unionAll(one)
+    ids = F.array_sort(F.flatten(F.collect_list("item_ids")))
+    return hits.groupBy(ROW).agg(F.sum("n_items").alias("n_items"), ids.alias("item_ids"), F.max("most").alias("most"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, contained: float = CONTAINED, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """doc_id, contaminated, n_items, item_ids (ascending) and most of every row of (doc_id, text).
 
     An item of (item_id, text) is in a document if the document's set of 5-word shingles (A-Z lower-cased) has at least
     the share ``contained`` of the item's; an item of fewer words is one shingle, looked for as a run of words. most is
     the largest such share. Null and empty items are in no document, null and empty documents hold none. Repeated items
-    count each; an item without an item_id counts but isn't named. Rows that share a doc_id are judged each by its text
-    (in several passes: together). Extra columns are ignored; an empty table gives no rows.
+    count each; an item without an item_id counts but isn't named. Every row is judged by its own text, whatever the number
+    of passes and also where rows share a doc_id or have none. Extra columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = [
-        docs.mapInArrow(_search(index), "doc_id long, n_items long, item_ids array<long>, most double")
-        for index in indexes(benchmark, contained, pass_bytes)
-    ]
+    found = indexes(benchmark, contained, pass_bytes)
     if len(found) == 1:
-        done = found[0]
+        done = docs.mapInArrow(_search(found[0]), f"doc_id long, {FOUND}")
     else:
-        hits = stage(_union([f.where("n_items > 0") for f in found]))
-        hits = hits.groupBy("doc_id").agg(
-            F.sum("n_items").alias("n_items"), F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.max("most").alias("most")
-        )
-        hits = hits.withColumnRenamed("doc_id", "hit")
-        done = docs.select("doc_id").join(hits, F.col("doc_id").eqNullSafe(F.col("hit")) & F.col("n_items").isNotNull(), "left").select(
+        rows = _keyed(docs)
+        done = rows.select("doc_id", ROW).join(_hits(rows, found), ROW, "left").select(
             "doc_id",
             F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
             F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"),
@@ -172,13 +183,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, contained: float = CONT
     return done.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "n_items", "item_ids", "most")
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionAll(f)
-    return out
-
-
 def cleaned(docs: DataFrame, benchmark: DataFrame, contained: float = CONTAINED, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """The rows that hold no item, with all their columns; defined as in ``contamination``."""
 
