@@ -125,6 +125,18 @@ def test_near_duplicates_of_edge_cases(docs, none):
     assert sorted(kept, key=str) == sorted([1, 3, 4, 5, 6, 8, None], key=str)
 
 
+def test_near_duplicates_of_one_id_with_two_texts(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(100)) for c in "pqrs"]
+    rows = [(i, t) for i in (1, 20) for t in texts]  # the first id links the copies of all its texts
+    rows += [(2 + k, f"{t} changed") for k, t in enumerate(texts)] + [(21, f"{texts[0]} other"), (30, "alone here now")]
+    rows += [(40, "one text here"), (41, "one text here"), (41, "another text here"), (42, "another text here")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(frame).collect()}
+    part = {i: 1 for i in (1, 20, 2, 3, 4, 5, 21)} | {30: 30} | {i: 40 for i in (40, 41, 42)}
+    assert got == {(i, c, i == c) for i, c in part.items()}
+    assert sorted(r.doc_id for r in minhash.one_of_each(frame, 3, 85).collect()) == [1, 30, 40]
+
+
 def test_decontamination(spark, docs, none):
     items = spark.createDataFrame(
         [(1, PASSAGE), (2, "TWO words"), (3, None), (4, ""), (None, PASSAGE), (5, "unseen words stand here now"), (1, PASSAGE)],

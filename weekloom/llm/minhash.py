@@ -2,7 +2,8 @@
 
 1. One pass over the texts gives each document its set size, a key of its set of word shingles and its band keys. Sets are
    hashed once (one permutation); a bin without a shingle borrows from bins drawn by a fixed sequence until it meets a
-   full one. Documents with equal sets are one class, found by their key, and go on as one representative.
+   full one. Documents with equal sets are one class, found by their key, and go on as one node with the text of one
+   representative. Classes that share a doc_id are tied like linked ones.
 2. Band keys are buckets. The smallest representative of a bucket is its centre; only centre-member edges are made, so
    the number of candidates is at most bands times classes.
 3. The texts of all members of buckets are gathered once. Candidates are confirmed on full sets of shingles: each member's
@@ -80,11 +81,12 @@ def _sketch(n: int):
                 yield pa.record_batch(
                     [
                         part.column("doc_id"),
+                        part.column("text_key"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.array([band_keys(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n_shingles", "set_key", "bands"],
+                    ["doc_id", "text_key", "n_shingles", "set_key", "bands"],
                 )
 
     return sketch
@@ -223,6 +225,18 @@ def hidden_candidates(texts: DataFrame, buckets: DataFrame, labels: DataFrame, n
     return rows.groupBy("key", "lo", "hi").applyInArrow(_compare(percent), "centre long, node long").distinct()
 
 
+def shared_ids(known: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Edges (a, b) between the classes of one doc_id, None if no doc_id has several."""
+    several = known.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo < hi")
+    several = stage(several.select("doc_id"))
+    if several.isEmpty():
+        return None
+    named = known.join(several, "doc_id").select("doc_id", "set_key").distinct().join(classes.select("set_key", "node"), "set_key")
+    named = stage(named.select("doc_id", "node"))
+    first = named.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return named.join(first, "doc_id").where("a < node").select("a", F.col("node").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of (doc_id, text).
 
@@ -234,18 +248,25 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85) -> DataFrame
     gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = stage(docs.mapInArrow(_sketch(n), "doc_id long, n_shingles long, set_key binary, bands array<long>"))
+    docs = docs.withColumn("text_key", F.xxhash64("text"))
+    schema = "doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>"
+    sketches = stage(docs.mapInArrow(_sketch(n), schema))
     known = sketches.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
-    classes = stage(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
+    classes = known.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("bands").alias("bands"))
+    classes = classes.select("set_key", F.col("rep.doc_id").alias("rep"), F.col("rep.text_key").alias("text_key"), "bands")
+    classes = stage(classes.withColumn("node", F.monotonically_increasing_id()))
 
-    all_buckets = classes.select(F.explode("bands").alias("key"), F.col("rep").alias("node"))
+    all_buckets = classes.select(F.explode("bands").alias("key"), "node")
     shared = all_buckets.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last")
     buckets = stage(all_buckets.join(shared.select("key", "centre"), "key"))
     tried = stage(buckets.where("node > centre").select("centre", "node").distinct())
     # Sorted and merged whatever the size: the members are a share of the documents and grow with them.
-    nodes = buckets.select("node").distinct()
-    texts = stage(docs.select(F.col("doc_id").alias("node"), "text").join(nodes.hint("merge"), "node", "left_semi"))
+    nodes = classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("rep").alias("doc_id"), "text_key")
+    texts = stage(docs.join(nodes.hint("merge"), ["doc_id", "text_key"]).select("node", "text"))
     links = stage(confirmed(texts, tried, n, percent))
+    ties = shared_ids(known, classes)
+    if ties is not None:
+        links = links.unionAll(ties)
     labels = components(links)
 
     hidden = hidden_candidates(texts, buckets.select("key", "node"), labels, n, percent)
@@ -254,8 +275,10 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85) -> DataFrame
         if not more.isEmpty():
             labels = components(links.unionAll(more))
 
-    named = classes.select("set_key", F.col("rep").alias("node")).join(labels, "node", "left")
-    named = named.select("set_key", F.coalesce("component_id", "node").alias("component_id"))
+    least = labels.join(classes.select("node", "rep"), "node").groupBy("component_id").agg(F.min("rep").alias("least"))
+    labels = labels.join(least, "component_id").select("node", "least")
+    named = classes.select("set_key", "node", "rep").join(labels, "node", "left")
+    named = named.select("set_key", F.coalesce("least", "rep").alias("component_id"))
     found = sketches.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return found.select(
