@@ -157,3 +157,46 @@ FROM j JOIN scores USING (address)
 
 
 ORACLES["op6_url_filter"] = _url_oracle()
+
+# Nodes are named by their depth and the hashes of their turns; each node's ancestors are found along its smallest member.
+ORACLES["op13_prefix_trie"] = rf"""
+WITH own AS (
+    SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL
+),
+h AS (
+    SELECT DISTINCT c, c - c % 20 AS base,
+        list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(8 * length(c::VARCHAR)),
+            lambda i: ((ord(substr(c::VARCHAR, 1 + i // 8, 1)) >> (i % 8)) & 1)::UBIGINT)),
+            lambda r, b: xor(r // 2, CASE WHEN (r % 2) <> b THEN 3988292384::UBIGINT ELSE 0::UBIGINT END)) AS crc
+    FROM own
+),
+k AS (SELECT c, base, 3 - (crc % 4)::BIGINT AS h FROM h),
+told AS (
+    SELECT k.c, 0 AS part, pos, role, text FROM k JOIN own ON own.c = base WHERE pos <= h
+    UNION ALL SELECT k.c, 1, pos, role, text FROM k JOIN own USING (c) WHERE pos > h
+),
+turns AS (
+    SELECT c, row_number() OVER w AS d, len(regexp_extract_all(text, {WORD})) AS words, c AS conv,
+        string_agg(md5(length(role) || ':' || role || text), '') OVER w AS path
+    FROM told WINDOW w AS (PARTITION BY c ORDER BY part, pos)
+),
+members AS (SELECT c, 0 AS d, 0 AS words, '' AS path FROM k UNION ALL SELECT c, d, words, path FROM turns),
+ends AS (SELECT c, max(d) AS last FROM members GROUP BY c),
+n AS (
+    SELECT d, path, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+        string_agg(CASE WHEN d = last THEN c::VARCHAR END, ',' ORDER BY c) AS ended
+    FROM members JOIN ends USING (c) GROUP BY d, path
+),
+child AS (SELECT d - 1 AS d, left(path, length(path) - 32) AS path, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+full_nodes AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN child USING (d, path)),
+below AS (
+    SELECT m.d, m.path, sum((x.n_children = 0)::BIGINT) AS n_leaves, sum((x.n_convs - 1) * x.words) AS saved
+    FROM full_nodes AS x JOIN members AS m ON m.c = x.conv_id AND m.d <= x.d GROUP BY m.d, m.path
+)
+SELECT f.conv_id, f.d::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children,
+    n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(f.ended, '')) AS ends_sha256
+FROM full_nodes AS f JOIN below USING (d, path)
+LEFT JOIN n AS p ON p.d = f.d - 1 AND p.path = left(f.path, greatest(0, length(f.path) - 32)) AND f.d > 0
+"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weekloom.llm import decontaminate, html_text, minhash, mixing, quality, substring, token_counts, toxicity, urls, vectors
+from weekloom.llm import decontaminate, html_text, minhash, mixing, prefix_trie, quality, substring, token_counts, toxicity, urls, vectors
 from weekloom.session import workers_find_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,12 @@ def op3_html_text(spark, folder):
     return html_text.extracted(table(spark, folder, "pages", "page_id", "url", "html"))
 
 
+@query
+def op13_prefix_trie(spark, folder):
+    turns = table(spark, folder, "conversations", "conv_id", "turn", "role", "text")
+    return prefix_trie.prefix_trie(turns, prefix_trie.forked)
+
+
 @query
 def pipeline(spark, folder):
     return corpus_pipeline.run(spark, folder)
