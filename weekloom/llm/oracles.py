@@ -200,3 +200,36 @@ SELECT f.conv_id, f.d::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n_convs,
 FROM full_nodes AS f JOIN below USING (d, path)
 LEFT JOIN n AS p ON p.d = f.d - 1 AND p.path = left(f.path, greatest(0, length(f.path) - 32)) AND f.d > 0
 """
+
+ORACLES["op12_collocations"] = rf"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+runs AS (
+    SELECT lang, size, array_to_string(ws[i:i + size - 1], ' ') AS phrase
+    FROM (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS size))
+),
+f AS (SELECT lang, size, phrase, count(*) AS n FROM runs GROUP BY lang, size, phrase HAVING count(*) >= 100),
+totals AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+cand AS (SELECT lang, size, phrase, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE size >= 2),
+cuts AS (SELECT *, unnest(range(1, size)) AS k FROM cand),
+scores AS (
+    SELECT c.lang, c.phrase, c.a, l.n AS l, r.n AS r, t.n AS n, k,
+        (1000::HUGEINT * c.a * t.n) // (l.n::HUGEINT * r.n) AS score
+    FROM cuts AS c JOIN totals AS t USING (lang)
+    JOIN f AS l ON l.lang = c.lang AND l.phrase = array_to_string(ws[1:k], ' ')
+    JOIN f AS r ON r.lang = c.lang AND r.phrase = array_to_string(ws[k + 1:], ' ')
+),
+lowest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+    SELECT DISTINCT s.lang, s.phrase FROM cand AS s JOIN cand AS b
+    ON s.lang = b.lang AND b.size > s.size AND 100 * b.a >= 100 * s.a AND contains(' ' || b.phrase || ' ', ' ' || s.phrase || ' ')
+),
+kept AS (SELECT * FROM lowest ANTI JOIN inside USING (lang, phrase))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+    a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000
+"""
