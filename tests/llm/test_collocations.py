@@ -76,7 +76,6 @@ def test_slices_do_not_matter(spark, monkeypatch):
     frame = spark.createDataFrame(rows, SCHEMA).repartition(2)
     want = brute(rows, least=10, top=7)
     monkeypatch.setattr(collocations, "SLICE", 500)
-    monkeypatch.setattr(collocations, "HELD_WORDS", 3)
     got = sorted(tuple(r) for r in collocations.collocations(frame, least=10, top=7).drop("size").collect())
     assert got == want
 

@@ -2,19 +2,21 @@
 
 Texts are lower-cased (A-Z), cut at punctuation into pieces, and pieces into words. Everything is counted per language.
 
-1. One pass counts words. A word below the least frequency is in no candidate, so it ends every suffix that reaches it;
-   the frequent ones are marked in a bitmap of fixed size (a word marked by chance only costs work).
-2. A second pass takes the suffix at each word, at most ``MOST`` words of one piece. Each slice of text sends its distinct
-   suffixes with their counts, packed as numbers over a small word list, to the group of their leading words. Leading
-   pairs that are too common for one group, found in a sample of positions, are routed by three words, then by four, then
-   by five; counts of phrases shorter than the words routed by are parts, and are added up afterwards.
+1. One pass over the texts counts words and pairs of neighbours by hash: each slice of text sends its distinct ones with
+   their counts, as packed numbers, to the group of their hash. No candidate holds a word or a pair below the least
+   frequency, so the others are marked in two bitmaps of fixed size. A mark by chance only costs work.
+2. A second pass takes the suffix at each word, at most ``MOST`` words of one piece, ended by the first unmarked pair. Each
+   slice sends its distinct suffixes with their counts, packed as numbers over a small word list, to the group of their
+   leading words. Leading pairs that are too common for one group, found in a sample of positions, are routed by three
+   words, then by four, then by five; counts of phrases shorter than the words routed by are parts, and are added up
+   afterwards.
 3. A group sorts pointers to its suffixes by multikey three-way quicksort: a partition around a word has an equal part,
    whose weight is the count of the phrase so far and which goes on one word deeper. Partitions whose weight is below the
    least frequency are abandoned.
 4. Cuts, scores and contained phrases are joins over the table of frequent phrases.
 
-Memory of a task: a slice of text, or one group. The driver sees the bitmap (1 MiB) and the hashes of the common leading
-words: at most one for every ``HOT`` sampled positions.
+Memory of a task: a slice of text, or one group. The driver sees the bitmaps (9 MiB) and the hashes of the common leading
+words: at most one for every ``GROUP_WORDS`` words of text.
 """
 
 from __future__ import annotations
@@ -35,11 +37,11 @@ MOST = 5  # words of a phrase
 LEAST = 100  # occurrences of a candidate
 TOP = 2000  # phrases of a language
 COVERED = 100  # per cent of a phrase's occurrences inside a longer one that drop it
-GROUP_WORDS = 2_000_000  # suffixes of a group, expected
+GROUP_WORDS = 2_000_000  # words of text to a group, expected
+WORD_BYTES = 5  # of text to a word, for the number of groups
 SAMPLED = 1024  # one position in so many is sampled, to find common leading words
 SLICE = 8 << 20  # bytes of text whose suffixes are combined at one time
-HELD_WORDS = 200_000  # distinct words that a task counts before it sends them
-BITS = 23
+BITS = (23, 26)  # bitmaps of words and of pairs
 BREAK, BLANK = b"\n", b""
 UNKNOWN = "und"
 PLAIN = bytes(
@@ -79,23 +81,30 @@ def _by_language(part: pa.RecordBatch) -> Iterator[tuple[str, list[bytes], np.nd
         yield lang, *numbered(own)
 
 
-def suffixes(ids: np.ndarray, most: int) -> np.ndarray:
-    """The first ``most`` words at each word that has a successor in its piece; 0 from the end of the piece on."""
-    n = len(ids)
+def suffixes(ids: np.ndarray, going: np.ndarray, most: int) -> np.ndarray:
+    """The first ``most`` words at each word that goes on; 0 from the first one on whose word before doesn't go on."""
     padded = np.concatenate([ids, np.zeros(most, ids.dtype)])
-    at = np.nonzero((ids > 0) & (padded[1 : n + 1] > 0))[0]
+    on = np.concatenate([going, np.zeros(most, bool)])
+    at = np.nonzero(going)[0]
     out = np.empty((len(at), most), ids.dtype)
     out[:, 0] = ids[at]
+    live = np.ones(len(at), bool)
     for k in range(1, most):
-        out[:, k] = np.where(out[:, k - 1] > 0, padded[at + k], 0)
+        live &= on[at + k - 1]
+        out[:, k] = np.where(live, padded[at + k], 0)
     return out
 
 
-def leading(lang: str, words: list[bytes], rows: np.ndarray) -> np.ndarray:
-    """(n, k) hashes of the first 1..k words of each row, alike in every task."""
+def hashed(lang: str, words: list[bytes]) -> np.ndarray:
+    """Hashes of the words of a language, 0 for the two numbers that are none; alike in every task."""
     seed = xxhash.xxh3_64_intdigest(lang.encode())
-    own = np.array([0, 0, *(xxhash.xxh3_64_intdigest(w, seed) for w in words[2:])], np.uint64)[: len(words)]
-    h = np.full(len(rows), np.uint64(seed))
+    one = xxhash.xxh3_64_intdigest
+    return np.array([0, 0, *(one(w, seed) for w in words[2:])], np.uint64)[: len(words)]
+
+
+def leading(own: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """(n, k) hashes of the first 1..k words of each row, from the hashes of the words."""
+    h = np.zeros(len(rows), np.uint64)
     out = np.empty(rows.shape, np.uint64)
     for k in range(rows.shape[1]):
         h = mix(h * GOLDEN + own[rows[:, k]])
@@ -103,90 +112,132 @@ def leading(lang: str, words: list[bytes], rows: np.ndarray) -> np.ndarray:
     return out
 
 
-COUNTED = "lang string, word string, n long, lead array<long>"
+def _pairs(words: list[bytes], ids: np.ndarray):
+    """Where a pair of neighbours starts, the distinct pairs, the number of each, and their counts."""
+    at = np.nonzero((ids[:-1] > 0) & (ids[1:] > 0))[0]
+    found, which, n = np.unique(ids[at] * len(words) + ids[at + 1], return_inverse=True, return_counts=True)
+    return at, np.stack([found // len(words), found % len(words)], axis=1), which, n
 
 
-def _count(most: int):
-    """Words with their counts, and at sampled positions the hashes of the leading words."""
-    schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("lead", pa.list_(pa.int64()))])
+def _group(h: np.ndarray, groups: int) -> np.ndarray:
+    return (h % np.uint64(groups)).astype(np.int64)
 
-    def rows(totals: dict[tuple[str, bytes], int]) -> pa.RecordBatch:
-        langs, words = [k[0] for k in totals], [k[1].decode() for k in totals]
-        return pa.record_batch([langs, words, list(totals.values()), pa.nulls(len(langs), schema.field("lead").type)], schema=schema)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[tuple[str, bytes], int] = {}
-        for batch in batches:
-            for part in slices(batch):
-                for lang, words, ids in _by_language(part):
-                    n = np.bincount(ids, minlength=len(words))
-                    for w in np.nonzero(n[2:])[0] + 2:
-                        key = (lang, words[w])
-                        totals[key] = totals.get(key, 0) + int(n[w])
-                    rng = np.random.default_rng(len(ids))
-                    at = np.unique(rng.integers(0, len(ids), -(-len(ids) // SAMPLED)))
-                    near = np.concatenate([ids, np.zeros(most, ids.dtype)])[at[:, None] + np.arange(most)]
-                    near = near[(near[:, 0] > 0) & (near[:, 1] > 0)]
-                    near *= np.logical_and.accumulate(near > 0, axis=1)
-                    if len(near):
-                        lead = pa.array(leading(lang, words, near)[:, 1:].view(np.int64).tolist(), schema.field("lead").type)
-                        yield pa.record_batch(
-                            [pa.array([lang] * len(near)), pa.nulls(len(near), pa.string()), pa.nulls(len(near), pa.int64()), lead],
-                            schema=schema,
-                        )
-                if len(totals) > HELD_WORDS:
-                    yield rows(totals)
-                    totals = {}
-        yield rows(totals)
+def _slots(h: np.ndarray, group: np.ndarray, bits: int) -> np.ndarray:
+    """The bit of a hash in a bitmap: from its group and its upper half, which is all that is sent."""
+    return (mix((group.astype(np.uint64) << np.uint64(32)) + h) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _smallest(values: np.ndarray) -> np.ndarray:
+    """The same numbers in the smallest unsigned type that holds them."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
 
-    return count
 
+SENT = [("grp", pa.int64()), ("kind", pa.int32()), ("lang", pa.string()), ("n", pa.int64()), ("type", pa.string()), ("keys", pa.binary()), ("weights", pa.binary())]
+WORD, PAIR, LANG, LEAD = range(4)  # kinds of rows; LEAD + k: leading runs of 2 + k words
 
-def _slot(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, 42) & ((1 << BITS) - 1)  # Spark's xxhash64 has the seed 42
 
+def _tell(most: int, groups: int):
+    """Counts of words and pairs by hash, words of each language, and at sampled positions the hashes of leading words."""
+    schema = pa.schema(SENT)
 
-def _bitmap(frequent: DataFrame) -> np.ndarray:
-    slot = F.pmod(F.xxhash64("word"), F.lit(1 << BITS)) + 1
-    rows = frequent.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
-    out = np.zeros(1 << (BITS - 3), np.uint8)
-    for r in rows.collect():  # at most 2**BITS / 8 bytes
+    def packed(kind: int, h: np.ndarray, n: np.ndarray) -> Iterator[dict]:
+        group = _group(h, groups)
+        order = np.argsort(group, kind="stable")
+        group, h, n = group[order], h[order], n[order]
+        keys = h if kind >= LEAD else (h >> np.uint64(32)).astype(np.uint32)
+        starts = np.searchsorted(group, np.arange(groups + 1)) if groups < len(h) else np.append(np.nonzero(np.diff(group, prepend=-1))[0], len(h))
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            if a < b:
+                own = _smallest(n[a:b])
+                yield dict(grp=int(group[a]), kind=kind, type=own.dtype.str, keys=keys[a:b].tobytes(), weights=own.tobytes())
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[str, int] = {}
+        for batch in batches:
+            for part in slices(batch, most=SLICE):
+                found: dict[int, list] = {}
+                for lang, words, ids in _by_language(part):
+                    n = np.bincount(ids, minlength=len(words))[2:]
+                    totals[lang] = totals.get(lang, 0) + int(n.sum())
+                    own = hashed(lang, words)
+                    every = np.arange(2, len(words))[:, None]
+                    found.setdefault(WORD, []).append((leading(own, every)[:, 0], n))
+                    at, pairs, _, n = _pairs(words, ids)
+                    found.setdefault(PAIR, []).append((leading(own, pairs)[:, 1], n))
+                    rng = np.random.default_rng(len(ids))
+                    some = at[np.unique(rng.integers(0, len(at), -(-len(at) // SAMPLED)))] if len(at) else at
+                    near = np.concatenate([ids, np.zeros(most, ids.dtype)])[some[:, None] + np.arange(most)]
+                    near *= np.logical_and.accumulate(near > 0, axis=1)
+                    lead = leading(own, near)
+                    for k in range(most - 2):
+                        found.setdefault(LEAD + k, []).append((lead[:, k + 1], np.ones(len(lead), np.int64)))
+                rows = [r for kind, x in found.items() for r in packed(kind, *map(np.concatenate, zip(*x, strict=True)))]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        rows = [dict(grp=xxhash.xxh3_64_intdigest(lang.encode()) % groups, kind=LANG, lang=lang, n=n) for lang, n in totals.items()]
+        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return tell
+
+
+def _tally(least: int, hot: int):
+    schema = pa.schema([("kind", pa.int32()), ("lang", pa.string()), ("key", pa.int64()), ("n", pa.int64())])
+
+    def tally(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        group = np.int64(key[0].as_py())
+        out = []
+        totals: dict[str, int] = {}
+        kinds = table.column("kind").to_numpy()
+        for kind in np.unique(kinds).tolist():
+            own = table.filter(pa.array(kinds == kind))
+            if kind == LANG:
+                for lang, n in zip(own.column("lang").to_pylist(), own.column("n").to_pylist(), strict=True):
+                    totals[lang] = totals.get(lang, 0) + n
+                continue
+            wide = np.uint64 if kind >= LEAD else np.uint32
+            h = np.concatenate([np.frombuffer(x, wide) for x in own.column("keys").to_pylist()])
+            n = [np.frombuffer(x, t) for x, t in zip(own.column("weights").to_pylist(), own.column("type").to_pylist(), strict=True)]
+            n = np.concatenate(n).astype(np.int64)
+            order = np.argsort(h, kind="stable")
+            h, n = h[order], n[order]
+            starts = np.nonzero(np.append(True, h[1:] != h[:-1]))[0]
+            n, h = np.add.reduceat(n, starts), h[starts].astype(np.uint64)
+            often = n >= (hot if kind >= LEAD else least)
+            n, h = n[often], h[often]
+            keys = h.view(np.int64) if kind >= LEAD else np.unique(_slots(h, np.full(len(h), group), BITS[kind]))
+            out += [dict(kind=kind, key=k) for k in keys.tolist()]
+        out += [dict(kind=LANG, lang=lang, n=n) for lang, n in totals.items()]
+        return pa.Table.from_pylist(out, schema=schema)
+
+    return tally
+
+
+def _bitmap(slots: DataFrame, bits: int) -> np.ndarray:
+    slot = F.col("key") + 1
+    rows = slots.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in rows.collect():  # at most 2**bits / 8 bytes
         own = np.frombuffer(bytes(r.bits), np.uint8)
         out[(r.b - 1) * 4096 : (r.b - 1) * 4096 + len(own)] = own
     return out
 
 
-def _smallest(values: np.ndarray) -> np.ndarray:
-    """The same numbers in the smallest unsigned type that holds them."""
-    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+def _marked(bitmap: np.ndarray, h: np.ndarray, groups: int, bits: int) -> np.ndarray:
+    slot = _slots(h >> np.uint64(32), _group(h, groups), bits)
+    return (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
 
 
 PACKED = "grp long, lang string, route int, words array<binary>, kind string, ids binary, weights binary"
 
 
-def _send(most: int, groups: int, bitmap: np.ndarray, hot: list[np.ndarray]):
+def _send(most: int, groups: int, bitmaps: list[np.ndarray], hot: list[np.ndarray]):
     schema = pa.schema(
         [("grp", pa.int64()), ("lang", pa.string()), ("route", pa.int32()), ("words", pa.list_(pa.binary())), ("kind", pa.string()), ("ids", pa.binary()), ("weights", pa.binary())]
     )
 
-    def packed(lang: str, words: list[bytes], ids: np.ndarray) -> Iterator[dict]:
-        slot = np.array([_slot(w) for w in words], np.int64)
-        likely = (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
-        likely[0] = False
-        rows = suffixes(np.where(likely[ids], ids, 0), most)
-        if not len(rows):
-            return
-        order = np.lexsort(rows.T[::-1])
-        rows = rows[order]
-        new = np.ones(len(rows), bool)
-        new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
-        at = np.nonzero(new)[0]
-        weights, rows = np.diff(np.append(at, len(rows))), rows[at]
-        lead = leading(lang, words, rows)
-        route = np.full(len(rows), 2)
-        for k, known in enumerate(hot, 2):  # known: hashes of common leading runs of k words
-            route += (route == k) & np.isin(lead[:, k - 1], known)
-        group = (lead[np.arange(len(rows)), route - 1] >> np.uint64(1)).astype(np.int64) % groups
+    def packed(lang: str, words: list[bytes], rows: np.ndarray, weights: np.ndarray, route: np.ndarray, h: np.ndarray) -> Iterator[dict]:
+        group = _group(h, groups)
         order = np.lexsort((route, group))
         rows, weights, route, group = rows[order], weights[order], route[order], group[order]
         new = np.ones(len(rows) + 1, bool)
@@ -195,18 +246,45 @@ def _send(most: int, groups: int, bitmap: np.ndarray, hot: list[np.ndarray]):
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             used, local = np.unique(rows[a:b], return_inverse=True)
             shift = int(used[0] != 0)  # 0 stays the end of a piece
-            own, count = _smallest(local.reshape(-1, most) + shift), _smallest(weights[a:b])
+            own, count = _smallest(local.reshape(b - a, -1) + shift), _smallest(weights[a:b])
             names = [words[w] for w in used[1 - shift :]]
             kind = f"{own.dtype.str} {count.dtype.str}"
             yield dict(
                 grp=int(group[a]), lang=lang, route=int(route[a]), words=names, kind=kind, ids=own.tobytes(), weights=count.tobytes()
             )
 
+    def marked(lang: str, words: list[bytes], ids: np.ndarray) -> Iterator[dict]:
+        own = hashed(lang, words)
+        every = np.arange(2, len(words))[:, None]
+        h = leading(own, every)[:, 0]
+        often = _marked(bitmaps[WORD], h, groups, BITS[WORD])
+        n = np.bincount(ids, minlength=len(words))[2:]
+        if often.any():
+            yield from packed(lang, words, every[often], n[often], np.ones(int(often.sum()), int), h[often])
+        at, pairs, which, _ = _pairs(words, ids)
+        going = np.zeros(len(ids), bool)
+        if len(at):
+            going[at] = _marked(bitmaps[PAIR], leading(own, pairs)[:, 1], groups, BITS[PAIR])[which]
+        rows = suffixes(ids, going, most)
+        if not len(rows):
+            return
+        order = np.lexsort(rows.T[::-1])
+        rows = rows[order]
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+        at = np.nonzero(new)[0]
+        weights, rows = np.diff(np.append(at, len(rows))), rows[at]
+        lead = leading(own, rows)
+        route = np.full(len(rows), 2)
+        for k, known in enumerate(hot, 2):  # known: hashes of common leading runs of k words
+            route += (route == k) & np.isin(lead[:, k - 1], known)
+        yield from packed(lang, words, rows, weights, route, lead[np.arange(len(rows)), route - 1])
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, most=SLICE):
                 for lang, words, ids in _by_language(part):
-                    found = list(packed(lang, words, ids))
+                    found = list(marked(lang, words, ids))
                     for k in range(0, len(found), 256):
                         yield pa.RecordBatch.from_pylist(found[k : k + 256], schema=schema)
 
@@ -260,9 +338,15 @@ def _mine(most: int, least: int):
             for r in own:
                 to = np.array([0, *(known.setdefault(w, len(known) + 1) for w in r["words"])], np.int32)
                 kinds = r["kind"].split(" ")
-                rows.append(to[np.frombuffer(r["ids"], kinds[0]).reshape(-1, most)])
                 weights.append(np.frombuffer(r["weights"], kinds[1]).astype(np.int64))
+                rows.append(to[np.frombuffer(r["ids"], kinds[0]).reshape(len(weights[-1]), -1)])
             names = [b"", *known]
+            if route == 1:
+                n = np.bincount(np.concatenate(rows)[:, 0], np.concatenate(weights), len(names)).astype(np.int64)
+                often = np.nonzero(n >= least)[0]
+                for name, values in zip(schema.names, ([lang] * len(often), [names[w].decode() for w in often], [1] * len(often), n[often].tolist(), [False] * len(often)), strict=True):
+                    out[name] += values
+                continue
             for found, n in frequent_prefixes(np.concatenate(rows), np.concatenate(weights), least, route):
                 out["lang"].append(lang)
                 out["phrase"].append(b" ".join(names[w] for w in found).decode())
@@ -280,21 +364,18 @@ def frequent_phrases(docs: DataFrame, most: int = MOST, least: int = LEAST, hot:
     ``hot`` is the number of sampled positions from which a run of leading words gets more than one group.
     """
     hot = max(1, GROUP_WORDS // SAMPLED) if hot is None else hot
-    counted = stage(docs.mapInArrow(_count(most), COUNTED))
-    words = stage(counted.where("word IS NOT NULL").groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    totals = stage(words.groupBy("lang").agg(F.sum("n").alias("words")))
-    frequent = words.where(F.col("n") >= least)
-    lead = counted.where("lead IS NOT NULL").select(F.posexplode("lead").alias("k", "h"))
-    common = lead.where(F.col("k") < most - 2).groupBy("k", "h").count().where(F.col("count") >= hot).select("k", "h").collect()
-    known = [np.array([r.h for r in common if r.k == k], np.int64).view(np.uint64) for k in range(most - 2)]
-    n = totals.agg(F.sum("words")).first()[0] or 0
-    groups = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // GROUP_WORDS))
-    sent = docs.mapInArrow(_send(most, groups, _bitmap(frequent), known), PACKED)
-    mined = stage(sent.groupBy("grp").applyInArrow(_mine(most, least), PHRASE))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (GROUP_WORDS * WORD_BYTES)))
+    sent = docs.mapInArrow(_tell(most, groups), "grp long, kind int, lang string, n long, type string, keys binary, weights binary")
+    told = stage(sent.groupBy("grp").applyInArrow(_tally(least, hot), "kind int, lang string, key long, n long"))
+    totals = stage(told.where(F.col("kind") == LANG).groupBy("lang").agg(F.sum("n").alias("words")))
+    bitmaps = [_bitmap(told.where(F.col("kind") == kind), BITS[kind]) for kind in (WORD, PAIR)]
+    common = told.where(F.col("kind") >= LEAD).select("kind", "key").collect()
+    known = [np.array([r.key for r in common if r.kind == LEAD + k], np.int64).view(np.uint64) for k in range(most - 2)]
+    routed = docs.mapInArrow(_send(most, groups, bitmaps, known), PACKED)
+    mined = stage(routed.groupBy("grp").applyInArrow(_mine(most, least), PHRASE))
     parts = mined.where("part").groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    whole = mined.where("NOT part").drop("part").unionAll(parts)
-    single = frequent.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "n")
-    return stage(single.unionAll(whole)), totals
+    return stage(mined.where("NOT part").drop("part").unionAll(parts)), totals
 
 
 def scored(phrases: DataFrame, totals: DataFrame) -> DataFrame:
