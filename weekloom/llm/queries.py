@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weekloom.llm import collocations, decontaminate, html_text, minhash, mixing, prefix_trie, quality, substring, token_counts, toxicity, urls, vectors
+from weekloom.llm import collocations, decontaminate, html_text, minhash, mixing, prefix_trie, quality, sanitise, substring, token_counts, toxicity, urls, vectors
 from weekloom.session import workers_find_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,11 @@ def op3_html_text(spark, folder):
     return html_text.extracted(table(spark, folder, "pages", "page_id", "url", "html"))
 
 
+@query
+def op11_sanitise(spark, folder):
+    return sanitise.sanitised(table(spark, folder, "documents", "doc_id", "text"), texts=False)
+
+
 @query
 def op12_collocations(spark, folder):
     return collocations.collocations(table(spark, folder, "documents", "text", "lang")).drop("size")
