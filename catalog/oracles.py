@@ -373,6 +373,35 @@ HOLDOUT = f"""
     ON c.cluster_label = w.cluster_label AND c.week = w.week
     WHERE i >= FLOOR(n * CAST(0.8 AS DOUBLE))"""
 
+PRIOR_ROWS = 10
+FROZEN = """week < (SELECT MIN(week) FROM chrono x WHERE x.cluster_label = clustered.cluster_label AND split = 'test')"""
+
+
+def _earlier(keys: list[str], known: str = "TRUE") -> str:
+    """Sum and number of the volumes of earlier weeks, for each group and week."""
+    names = ", ".join(keys)
+    over = f"OVER (PARTITION BY {names} ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""
+        SELECT {names}, week, COALESCE(SUM(s) {over}, 0) AS s, COALESCE(SUM(n) {over}, 0) AS n
+        FROM (SELECT {names}, week, SUM(CASE WHEN {known} THEN weekly_volume END) AS s,
+                     COUNT(CASE WHEN {known} THEN weekly_volume END) AS n FROM clustered GROUP BY ALL)"""
+
+
+def _shrunk(total: str, rows: str) -> str:
+    prior = "CASE WHEN p.n > 0 THEN p.s / p.n ELSE 0 END"
+    return r(f"({total} + {PRIOR_ROWS} * {prior}) / ({rows} + {PRIOR_ROWS})")
+
+
+FRAME = f"""
+    SELECT g.establecimiento, g.material, g.week AS ds, c.cutoff,
+           CAST(date_diff('day', c.cutoff, g.week) // 7 AS INTEGER) AS horizon_weeks, {r('g.weekly_volume')} AS y
+    FROM gold g JOIN (
+      SELECT establecimiento, material, CAST(last_week - INTERVAL 84 DAY - i * INTERVAL 182 DAY AS DATE) AS cutoff
+      FROM origin, range(0, 400) AS s(i)
+      WHERE last_week - INTERVAL 84 DAY - i * INTERVAL 182 DAY >= first_week + INTERVAL 728 DAY) c
+    ON g.establecimiento = c.establecimiento AND g.material = c.material AND g.week > c.cutoff AND g.week <= c.cutoff + INTERVAL 84 DAY"""
+
+
 ORACLES: dict[str, str] = {
     "silver_rollup": sql(f"SELECT {SILVER_COLUMNS} FROM silver"),
     "exclude_types": sql("SELECT * FROM silver WHERE tipo NOT IN ('HOUSEHOLD')"),
@@ -665,4 +694,69 @@ ORACLES: dict[str, str] = {
         SELECT {WEEKLY_COLUMNS}, cluster_label FROM (
           SELECT *, COUNT(*) OVER (PARTITION BY cluster_label) AS n FROM clustered)
         WHERE n * CAST(0.1 AS DOUBLE) <= 5000 OR {TENTH}"""),
+    "sample_rows_ungrouped": sql(f"""
+        SELECT {WEEKLY_COLUMNS} FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY {_hash()}) AS i FROM gold) WHERE i <= 5000"""),
+    "ordered_target_statistics": sql(f"""
+        SELECT c.establecimiento, c.material, c.week, c.cluster_label,
+               {_shrunk('e.s', 'e.n')} AS ts_establecimiento, {_shrunk('m.s', 'm.n')} AS ts_material
+        FROM clustered c
+        JOIN ({_earlier(['cluster_label'])}) p USING (cluster_label, week)
+        JOIN ({_earlier(['cluster_label', 'establecimiento'])}) e USING (cluster_label, establecimiento, week)
+        JOIN ({_earlier(['cluster_label', 'material'])}) m USING (cluster_label, material, week)"""),
+    "frozen_target_statistics": sql(f"""
+        SELECT c.establecimiento, c.material, c.week, c.cluster_label, {_shrunk('m.s', 'm.n')} AS ts_material
+        FROM clustered c
+        JOIN ({_earlier(['cluster_label'], FROZEN)}) p USING (cluster_label, week)
+        JOIN ({_earlier(['cluster_label', 'material'], FROZEN)}) m USING (cluster_label, material, week)"""),
+    "category_codes": """
+        SELECT CAST(l_partkey AS VARCHAR) AS category, COUNT(*) AS rows,
+               ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, CAST(l_partkey AS VARCHAR)) - 1 AS code
+        FROM lineitem GROUP BY l_partkey""",
+    "coded_lines": """
+        SELECT l_orderkey, l_linenumber, l_partkey, COALESCE(code, -1) AS code
+        FROM lineitem LEFT JOIN (
+          SELECT l_partkey, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, CAST(l_partkey AS VARCHAR)) - 1 AS code
+          FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey) USING (l_partkey)""",
+    "fold_medians": sql(f"""
+        SELECT cluster_label, feature, f AS fold, {r('MEDIAN(v)')} AS median
+        FROM (
+          SELECT cluster_label, fold, UNNEST(['weekly_volume', 'volume_lag_4', 'volume_lag_52']) AS feature,
+                 UNNEST([weekly_volume, l4, l52]) AS v
+          FROM (SELECT *, LAG(weekly_volume, 4) OVER ({IN_TIME}) AS l4, LAG(weekly_volume, 52) OVER ({IN_TIME}) AS l52
+                FROM clustered) c
+          JOIN (SELECT cluster_label, week, {_fold('i', 'n', 5)} AS fold FROM (
+                  SELECT *, ROW_NUMBER() OVER (PARTITION BY cluster_label ORDER BY week) - 1 AS i,
+                         COUNT(*) OVER (PARTITION BY cluster_label) AS n
+                  FROM (SELECT DISTINCT cluster_label, week FROM clustered))) w USING (cluster_label, week)),
+          (SELECT UNNEST(range(6))::INTEGER AS f)
+        WHERE fold < f AND v IS NOT NULL GROUP BY 1, 2, 3"""),
+    "planned_regressors": sql(f"""
+        SELECT f.establecimiento, f.material, ds, cutoff, COALESCE(g.has_promo, 0) AS has_promo,
+               COALESCE(g.is_covid_period, 0) AS is_covid_period, g.week IS NOT NULL AS is_known
+        FROM ({FRAME}) f LEFT JOIN gold g
+          ON g.establecimiento = f.establecimiento AND g.material = f.material AND g.week = f.ds
+             AND g.week - 28 <= f.cutoff"""),
+    "last_known_actuals": sql(f"""
+        SELECT f.*, {r('g.weekly_volume')} AS last_weekly_volume, g.has_promo AS last_has_promo, g.week AS last_date
+        FROM ({FRAME}) f ASOF LEFT JOIN gold g
+          ON g.establecimiento = f.establecimiento AND g.material = f.material AND least(f.ds, f.cutoff) >= g.week"""),
+    "rolled_forward": f"""{WITH},
+        g AS (SELECT *, ROW_NUMBER() OVER ({IN_TIME}) AS i, COUNT(*) OVER ({BY}) AS n FROM gold),
+        v AS (
+          SELECT establecimiento, material, MAX(week) AS last, MAX(CASE WHEN i = n THEN weekly_volume END) AS y0,
+                 {', '.join(f'COALESCE(MAX(CASE WHEN i = n + {k} - 52 THEN weekly_volume END), 0) AS a{k}' for k in range(1, 5))}
+          FROM g GROUP BY 1, 2),
+        p AS (SELECT *, 0.5 * y0 + 0.5 * a1 AS p1, 0.5 * p1 + 0.5 * a2 AS p2, 0.5 * p2 + 0.5 * a3 AS p3, 0.5 * p3 + 0.5 * a4 AS p4 FROM v),
+        s AS (SELECT establecimiento, material, last, UNNEST([1, 2, 3, 4]) AS step, UNNEST([p1, p2, p3, p4]) AS y FROM p)
+        SELECT establecimiento, material, CAST(last + step * 7 AS DATE) AS week, step, cluster_label,
+               {r('y')} AS predicted_volume, 'ok' AS status
+        FROM s JOIN labels USING (establecimiento, material)""",
+    "batch_manifest": f"""{WITH},
+        sizes AS (
+          SELECT establecimiento, material, COUNT(*) + 12 AS weeks, one IS NOT NULL AS largest
+          FROM gold LEFT JOIN (SELECT establecimiento, material, 1 AS one FROM ({_top(20)})) t USING (establecimiento, material)
+          GROUP BY ALL)
+        SELECT 'complete' AS state, COUNT(*) AS series, CAST(SUM(weeks) AS BIGINT) AS forecasts, COUNT(*) AS results
+        FROM sizes GROUP BY largest
+        UNION ALL SELECT 'unfinished', NULL, NULL, NULL""",
 }

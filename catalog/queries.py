@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from catalog import tables as t
 from weekloom.functions import holidays as hol
 from weekloom.functions.numeric import clamp
 from weekloom.operators import (
+    asof,
     clean,
     cluster,
     describe,
@@ -24,11 +27,14 @@ from weekloom.operators import (
     split,
     stack,
     tabular,
+    target_stats,
     trees,
     weekly,
 )
+from weekloom.plans import batch_forecast
 from weekloom.plans.grouping import group_series
-from weekloom.plans.inference import predict_next_week
+from weekloom.plans.inference import predict_next_week, roll_forward
+from weekloom.session import shared_folder
 from weekloom.settings import SERIES_FEATURES, STACK_BASE_CLUSTER, STACK_BASE_GLOBAL
 from weekloom.sources import bronze
 from weekloom.spec import DEFAULT
@@ -623,6 +629,94 @@ def sample_large_groups(spark, folder):
     return sampling.sample_large_groups(t.clustered(spark, folder), 0.1, 5_000)
 
 
+@query
+def sample_rows_ungrouped(spark, folder):
+    return sampling.sample_rows(t.gold(spark, folder), 5_000, group=[])
+
+
+# Encodings and imputation values without a list of categories or values on the driver
+
+
+@query
+def ordered_target_statistics(spark, folder):
+    df = target_stats.ordered_target_statistics(t.clustered(spark, folder))
+    return df.select(*KEYS, "week", "cluster_label", "ts_establecimiento", "ts_material")
+
+
+@query
+def frozen_target_statistics(spark, folder):
+    """The last weeks of a cluster add nothing, as targets of a test do not."""
+    df = split.chronological_split(t.clustered(spark, folder)).withColumn("known", F.col("split") == "train")
+    df = target_stats.ordered_target_statistics(df, ["material"], until="known")
+    return df.select(*KEYS, "week", "cluster_label", "ts_material")
+
+
+@query
+def category_codes(spark, folder):
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_partkey")
+    return target_stats.category_codes(lines, "l_partkey")
+
+
+@query
+def coded_lines(spark, folder):
+    """Every order line with the code of its part among the parts of all lines that were returned; -1 for other parts."""
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    codes = target_stats.category_codes(lines.filter("l_returnflag = 'R'"), "l_partkey")
+    return target_stats.with_codes(lines, codes, "l_partkey", "code").drop("l_returnflag")
+
+
+@query
+def fold_medians(spark, folder):
+    """Medians of the training rows of all folds and clusters at once."""
+    lagged = features.lag_features(t.clustered(spark, folder), [4, 52])
+    return scale.fold_medians(split.cv_folds(lagged), ["weekly_volume", "volume_lag_4", "volume_lag_52"], 5, ["cluster_label"])
+
+
+# What a forecast may know
+
+
+def _forecast_frame(spark, folder):
+    rows = split.backtest_rows(t.gold(spark, folder), initial=104, period=26, horizon=12)
+    return rows.select(*KEYS, F.col("week").alias("ds"), "cutoff", "horizon_weeks", F.col("weekly_volume").alias("y"))
+
+
+@query
+def planned_regressors(spark, folder):
+    """Promotions are planned four weeks ahead: a cutoff sees those of its next four weeks only."""
+    facts = t.gold(spark, folder).withColumn("planned", F.date_sub("week", 28))
+    frame = _forecast_frame(spark, folder).drop("horizon_weeks", "y")
+    return asof.planned_regressors(frame, facts, ["has_promo", "is_covid_period"], "planned")
+
+
+@query
+def last_known_actuals(spark, folder):
+    """Every backtest row with the last actual before its cutoff."""
+    found = asof.last_known(_forecast_frame(spark, folder), t.gold(spark, folder), ["weekly_volume", "has_promo"])
+    return asof.without_leaks(found, "last_date")
+
+
+@query
+def rolled_forward(spark, folder):
+    """Four weeks ahead of every series, by a fixed formula in place of fitted models."""
+    formula = "0.5 * coalesce(volume_lag_1, 0) + 0.5 * coalesce(volume_lag_52, 0) AS prediction"
+    model = SQLTransformer(statement=f"SELECT *, {formula} FROM __THIS__")
+    models = {"LightGBM": model, "RandomForest": model}
+    out = roll_forward(t.gold(spark, folder), t.labels(spark, folder), models, weeks=4)
+    return out.select(*KEYS, "week", "step", "cluster_label", "predicted_volume", "status")
+
+
+@query
+def batch_manifest(spark, folder):
+    """The largest series first, a run that breaks off, and a run that goes on with all others."""
+    gold = t.gold(spark, folder)
+    output = f"{shared_folder(spark).rstrip('/')}/weekloom-batch-{uuid.uuid4().hex}"
+    first = batch_forecast.run_forecasts(gold, output, top_n=20)
+    first.forecasts.write.parquet(f"{output}/forecasts/run=broken")
+    batch_forecast.run_forecasts(gold, output)
+    states = batch_forecast.run_states(spark, output).join(batch_forecast.manifest(spark, output), "run", "left")
+    return states.select("state", "series", "forecasts", "results")
+
+
 # Models: few and small trees, as these queries show that the jobs run, not how good the models can get
 
 SMALL_BOOSTED = {"maxIter": [3, 5], "maxDepth": [3, 4], "stepSize": [0.1, 0.2], "subsamplingRate": [0.8]}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import FeatureHasher, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
@@ -31,17 +31,22 @@ def fit_encoder(
     max_categories: int | None = None,
     approximate: bool = False,
     vector: str = VECTOR,
+    medians: Mapping[str, float] | None = None,
 ) -> tuple[PipelineModel, int]:
     """Fitted preprocessing and the number of bins a tree needs for it.
 
     Missing numbers (null or NaN) become the median of the training rows, missing categories a value of their own. Categories
     are one-hot encoded (``mode="onehot"``, unseen ones are all zeros) or numbered (``mode="index"``, for trees).
     All columns are encoded alike whatever the number of their values. Only where ``max_categories`` is given are columns
-    with more values than that hashed instead.
+    with more values than that hashed instead. ``mode="target"`` leaves the categorical columns out: their target statistics
+    (``target_stats``) are numeric columns already, so nothing is learnt about categories here and the bins stay as they are.
+    ``medians`` are taken as they are instead of being found in ``train``.
     """
-    if mode not in ("onehot", "index"):
+    if mode not in ("onehot", "index", "target"):
         raise ValueError(f"unknown mode {mode}")
-    medians = median_values(train, numeric, approximate)
+    if mode == "target":
+        categorical = []
+    medians = median_values(train, numeric, approximate) if medians is None else dict(medians)
     numbers = [f"COALESCE(NANVL(CAST(`{c}` AS DOUBLE), NULL), {medians.get(c, 0.0)!r}D) AS `__n_{c}`" for c in numeric]
     texts = [f"COALESCE(CAST(`{c}` AS STRING), '{missing}') AS `__t_{c}`" for c in categorical]
     fill = SQLTransformer(statement=f"SELECT *, {', '.join([*numbers, *texts])} FROM __THIS__")

@@ -167,7 +167,7 @@ def row_features(
 def next_week_features(
     df: DataFrame,
     weeks_ahead: int = 1,
-    promo: int = 0,
+    promo: int | Column = 0,
     period: int = 0,
     holidays: DataFrame | None = None,
     country: str = "ES",
@@ -193,7 +193,7 @@ def next_week_features(
     future = {
         spec.time: F.date_add(spec.time, 7 * weeks_ahead),
         spec.value: F.lit(None).cast(dict(df.dtypes)[spec.value]),
-        spec.promo: F.lit(promo).cast(dict(df.dtypes)[spec.promo]),
+        spec.promo: (promo if isinstance(promo, Column) else F.lit(promo)).cast(dict(df.dtypes)[spec.promo]),
         spec.period: F.lit(period).cast(dict(df.dtypes)[spec.period]),
     }
     # One row becomes two at the end of a series; an explode keeps the partitioning, a union would not.

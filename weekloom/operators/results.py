@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weekloom.operators.lookup import lookup_join
+from weekloom.operators.lookup import lookup_join, spread_join
 from weekloom.settings import ADDITIVE_GRID
 from weekloom.spec import DEFAULT, SeriesSpec
 
@@ -71,11 +71,8 @@ def fill_out_of_fold(
     group = [spec.label] if group is None else group
     if how == "drop":
         return df.filter(F.col(column).isNotNull())
-    if not group:
-        mean = df.agg(F.avg(column)).first()[0]
-        return df.withColumn(column, F.coalesce(F.col(column), F.lit(mean)))
     means = df.groupBy(*group).agg(F.avg(column).alias("__mean"))
-    return lookup_join(df, means, group).withColumn(column, F.coalesce(column, "__mean")).select(*df.columns)
+    return spread_join(df, means, group).withColumn(column, F.coalesce(column, "__mean")).select(*df.columns)
 
 
 def union_all(tables: Iterable[DataFrame]) -> DataFrame:

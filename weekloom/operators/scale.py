@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.operators.lookup import running_total
+from weekloom.operators.lookup import number_levels, prefix_totals
 
 
 @dataclass(frozen=True)
@@ -59,11 +59,11 @@ def exact_medians(df: DataFrame, columns: Iterable[str]) -> DataFrame:
         .groupBy("feature", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    placed = running_total(counts, ["feature"], ["value"], F.col("n"))
-    low, high = F.floor((F.col("__total") - 1) / 2), F.floor(F.col("__total") / 2)
+    placed = prefix_totals(counts, ["feature"], ["value"], {"n": F.col("n")}, number_levels("value"))
+    low, high = F.floor((F.col("n_total") - 1) / 2), F.floor(F.col("n_total") / 2)
 
     def holds(place):
-        return (F.col("__before") <= place) & (place < F.col("__before") + F.col("n"))
+        return (F.col("n_before") <= place) & (place < F.col("n_before") + F.col("n"))
 
     return (
         placed.filter(holds(low) | holds(high))
@@ -91,3 +91,37 @@ def median_values(df: DataFrame, columns: Iterable[str], approximate: bool = Fal
     else:
         found = {r["feature"]: r["median"] for r in exact_medians(df, needed).collect()}
     return {c: found.get(c, 0.0) for c in needed}
+
+
+def fold_medians(
+    df: DataFrame, columns: Iterable[str], folds: int, group: list[str], fold: str = "fold"
+) -> DataFrame:
+    """(group, feature, fold, median): the median of each column over the rows before each expanding fold.
+
+    The training rows of fold f are those with ``fold`` < f, and f = ``folds`` takes all of them, so they are prefixes: one
+    table counts every distinct value per prefix, one ordering of it finds the middle values of all prefixes, all groups
+    and all columns. Null and NaN are left out; a prefix without values has no row. Building the plan starts no job.
+    """
+    columns = list(columns)
+    pairs = F.explode(
+        F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
+    )
+    values = df.select(*group, F.col(fold).alias("__fold"), pairs.alias("p")).select(*group, "__fold", "p.*")
+    values = values.filter(F.col("value").isNotNull() & ~F.isnan("value") & F.col("__fold").isNotNull())
+    # 0.0 and -0.0 are one value.
+    values = values.withColumn("value", F.col("value") + F.lit(0.0))
+    prefixes = [f"n{f}" for f in range(folds + 1)]
+    counts = values.groupBy(*group, "feature", "value").agg(
+        *[F.count_if(F.col("__fold") < f).alias(n) for f, n in enumerate(prefixes)]
+    )
+    placed = prefix_totals(counts, [*group, "feature"], ["value"], {n: F.col(n) for n in prefixes}, number_levels("value"))
+
+    def middle(n: str) -> Column:
+        before, total, rows = F.col(f"{n}_before"), F.col(f"{n}_total"), F.col(n)
+        low, high = F.floor((total - 1) / 2), F.floor(total / 2)
+        held = ((before <= low) & (low < before + rows)) | ((before <= high) & (high < before + rows))
+        value = F.when((rows > 0) & held, F.col("value"))
+        return (F.min(value) + F.max(value)) / 2
+
+    found = placed.groupBy(*group, "feature").agg(F.array(*[middle(n) for n in prefixes]).alias("medians"))
+    return found.select(*group, "feature", F.posexplode("medians").alias("fold", "median")).filter("median IS NOT NULL")

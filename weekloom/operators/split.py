@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekloom.operators.lookup import lookup_join, running_total
+from weekloom.operators.lookup import prefix_totals, spread_join
 from weekloom.settings import BACKTEST_WEEKS, CV_FOLDS, TEST_WEEKS, TRAIN_RATIO
 from weekloom.spec import DEFAULT, SeriesSpec
 
@@ -17,11 +17,16 @@ def _group(spec: SeriesSpec, group: list[str] | None) -> list[str]:
 def positions(df: DataFrame, spec: SeriesSpec = DEFAULT, group: list[str] | None = None) -> DataFrame:
     """Position of each row in its group, sorted by (series, time), from 0, and the size of the group.
 
-    Only series are ordered across the group; rows are numbered inside their series.
+    Only series are ordered across the group: inside buckets of the first key, its first characters before the whole. Rows
+    are numbered inside their series. Building the plan starts no job.
     """
     group = _group(spec, group)
     counts = df.groupBy(*group, *spec.keys).agg(F.count(F.lit(1)).alias("__n"))
-    starts = running_total(counts, group, spec.key_list, F.col("__n"), "__start", "group_rows").drop("__n")
+    first = spec.key_list[0]
+    text = dict(df.dtypes)[first] == "string"
+    levels = [*([F.substring(first, 1, 2)] if text else []), F.col(first)]
+    starts = prefix_totals(counts, group, spec.key_list, {"__p": F.col("__n")}, levels).drop("__n")
+    starts = starts.withColumnsRenamed({"__p_before": "__start", "__p_total": "group_rows"})
     numbered = df.join(starts, [*group, *spec.keys])
     within = F.row_number().over(Window.partitionBy(*group, *spec.keys).orderBy(spec.time))
     return numbered.withColumn("pos", F.col("__start") + within - 1).select(*df.columns, "pos", "group_rows")
@@ -51,7 +56,7 @@ def chronological_split(
     cutoffs = bounds.select(
         *group, F.greatest(F.date_sub("__last", 7 * weeks), F.col("__first")).alias("cutoff_week")
     )
-    joined = lookup_join(df, cutoffs, group, "inner")
+    joined = spread_join(df, cutoffs, group, "inner")
     return joined.withColumn("split", _train_test(F.col(spec.time) <= F.col("cutoff_week")))
 
 
@@ -62,7 +67,7 @@ def week_share_split(
     group = _group(spec, group)
     placed = _week_places(df, spec, group)
     side = placed.select(*group, spec.time, _train_test(F.col("__place") < F.floor(F.col("__size") * F.lit(ratio))).alias("split"))
-    return lookup_join(df, side, [*group, spec.time], "inner").select(*df.columns, "split")
+    return spread_join(df, side, [*group, spec.time], "inner").select(*df.columns, "split")
 
 
 def _week_places(df: DataFrame, spec: SeriesSpec, group: list[str]) -> DataFrame:
@@ -122,7 +127,7 @@ def cv_folds(
         raise ValueError(f"unknown mode {mode}")
     placed = _week_places(df, spec, group)
     fold_of_week = placed.select(*group, spec.time, _fold(F.col("__place"), F.col("__size"), folds).alias("fold"))
-    return lookup_join(df, fold_of_week, [*group, spec.time], "inner").select(*df.columns, "fold")
+    return spread_join(df, fold_of_week, [*group, spec.time], "inner").select(*df.columns, "fold")
 
 
 def backtest_cutoffs(

@@ -18,7 +18,9 @@ from weekloom.operators.lookup import LOOKUP_ROWS, bounded, lookup_join
 from weekloom.operators.metrics import absolute_error, attach_mase, cluster_metrics, mase
 from weekloom.operators.results import union_all
 from weekloom.operators.sampling import sample_large_groups
+from weekloom.operators.scale import fold_medians
 from weekloom.operators.split import cv_folds, positional_split, week_share_split
+from weekloom.operators.target_stats import ordered_target_statistics
 from weekloom.session import in_parallel, stage
 from weekloom.settings import (
     BOOSTED_SPACE,
@@ -64,13 +66,18 @@ def search(
     threads: int = 2,
     mode: str = "index",
     spec: SeriesSpec = DEFAULT,
+    medians: Mapping[int, Mapping[str, float]] | None = None,
 ) -> tuple[dict, float]:
-    """Parameters with the least mean absolute error over the expanding folds (column ``fold``)."""
+    """Parameters with the least mean absolute error over the expanding folds (column ``fold``).
+
+    ``medians`` are those of each fold's training rows, by fold, where they are known already.
+    """
     numeric, categorical = model_columns(train, spec)
     errors: list[list[float]] = [[] for _ in candidates]
     for f in range(folds):
         past, ahead = train.filter(F.col("fold") < f), train.filter(F.col("fold") == f)
-        encoder, bins = fit_encoder(past, numeric, categorical, mode)
+        known = None if medians is None else medians.get(f, {})
+        encoder, bins = fit_encoder(past, numeric, categorical, mode, medians=known)
         keep = [spec.value, VECTOR]
         past_points = encoder.transform(past).select(*keep).persist()
         ahead_points = encoder.transform(ahead).select(*keep).persist()
@@ -94,11 +101,16 @@ def search(
 
 
 def fit_model(
-    train: DataFrame, family: str, params: Mapping, mode: str = "index", spec: SeriesSpec = DEFAULT
+    train: DataFrame,
+    family: str,
+    params: Mapping,
+    mode: str = "index",
+    spec: SeriesSpec = DEFAULT,
+    medians: Mapping[str, float] | None = None,
 ) -> PipelineModel:
     """Preprocessing and trees as one model."""
     numeric, categorical = model_columns(train, spec)
-    encoder, bins = fit_encoder(train, numeric, categorical, mode)
+    encoder, bins = fit_encoder(train, numeric, categorical, mode, medians=medians)
     points = encoder.transform(train).select(spec.value, VECTOR)
     return PipelineModel([*encoder.stages, estimator(family, params, spec.value, bins).fit(points)])
 
@@ -131,6 +143,24 @@ def label_sizes(df: DataFrame, spec: SeriesSpec = DEFAULT) -> dict[int, tuple[in
     return {r[spec.label]: (r["n"], r["train"]) for r in sorted(sizes.collect())}
 
 
+def cluster_medians(train: DataFrame, folds: int, spec: SeriesSpec = DEFAULT) -> dict[int, dict[int, dict[str, float]]]:
+    """Medians by label, fold and column, of the columns with missing values; fold ``folds`` stands for all training rows.
+
+    One count of missing values, and one aggregate and ordering for all clusters and folds. A column without a value before
+    a fold has no median there and is filled with 0.
+    """
+    numeric, _ = model_columns(train, spec)
+    missing = {c: F.col(c).cast("double") for c in numeric}
+    facts = train.agg(*[F.count_if(v.isNull() | F.isnan(v)).alias(c) for c, v in missing.items()]).first()
+    needed = [c for c in numeric if facts[c]]
+    out: dict[int, dict[int, dict[str, float]]] = {}
+    if needed:
+        # at most clusters * folds * columns numbers
+        for r in fold_medians(train, needed, folds, [spec.label]).collect():
+            out.setdefault(r[spec.label], {}).setdefault(r["fold"], {})[r["feature"]] = r["median"]
+    return out
+
+
 def train_clusters(
     table: DataFrame,
     family: str = "boosted",
@@ -142,7 +172,7 @@ def train_clusters(
     sample: bool = False,
     threads: int = 2,
     clusters_at_once: int = 4,
-    mode: str = "index",
+    mode: str = "target",
     models_path: str | None = None,
     boundary: str = "per_series",
     spec: SeriesSpec = DEFAULT,
@@ -152,17 +182,24 @@ def train_clusters(
     The table is split once for all clusters and stored by label, so that each cluster reads only its own files.
     A few clusters, and a few trials of each, are fitted at the same time to keep the executors busy. All rows are used unless
     ``sample`` asks for a sample of the large clusters.
+
+    ``mode="target"`` replaces the keys by their target statistics in time order, found once for all clusters and folds, so
+    any number of sites and items fits; "index" and "onehot" number the keys of each training part. The medians of all
+    folds and clusters are found together.
     """
     _, default_space, default_trials = FAMILIES[family]
     candidates = draw_params(space or default_space, trials or default_trials)
     if sample:
         table = sample_large_groups(table, spec=spec)
+    if mode == "target":
+        table = ordered_target_statistics(table, spec=spec)
     splitter = {"chronological": week_share_split, "positional": positional_split}[split]
     parts = splitter(table, ratio, spec).drop("pos", "group_rows")
     train = cv_folds(parts.filter("split = 'train'"), folds, split, spec)
     test = parts.filter("split = 'test'").withColumn("fold", F.lit(None).cast("int"))
     stored = stage(train.unionByName(test), partition_by=[spec.label])
     counts = label_sizes(stored, spec)
+    medians = cluster_medians(stored.filter("split = 'train'"), folds, spec)
 
     def train_one(label: int) -> tuple[tuple, PipelineModel | None, DataFrame | None]:
         n, n_train = counts[label]
@@ -172,8 +209,9 @@ def train_clusters(
         rows = stored.filter(F.col(spec.label) == label)
         try:
             train_rows = rows.filter("split = 'train'")
-            best, error = search(train_rows, family, candidates, folds, threads, mode, spec)
-            model = fit_model(train_rows, family, best, mode, spec)
+            known = medians.get(label, {})
+            best, error = search(train_rows, family, candidates, folds, threads, mode, spec, known)
+            model = fit_model(train_rows, family, best, mode, spec, known.get(folds, {}))
             if models_path:
                 model.write().overwrite().save(f"{models_path}/cluster={label}")
         except Exception as failure:  # one bad cluster must not end the others

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weekloom.functions.dates import monday
 from weekloom.operators.clean import in_period
-from weekloom.operators.lookup import lookup_join
+from weekloom.operators.lookup import spread_join
 from weekloom.settings import FLAGGED_PERIOD, MIN_WEEKS_GOLD
 from weekloom.spec import DEFAULT, SeriesSpec
 
@@ -116,5 +116,5 @@ def recent_rows(df: DataFrame, rows: int, spec: SeriesSpec = DEFAULT, group: lis
             F.coalesce(F.max(F.when(F.col("__seen") >= rows, F.col(spec.time))), F.min(spec.time)).alias("__cutoff")
         )
     )
-    kept = lookup_join(df, cutoffs, group, "inner")
+    kept = spread_join(df, cutoffs, group, "inner")
     return kept.filter(F.col(spec.time) >= F.col("__cutoff")).drop("__cutoff").select(*df.columns)

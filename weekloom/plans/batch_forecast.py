@@ -1,7 +1,9 @@
 """Forecast and backtest all series, in runs that can be stopped and continued.
 
-A run writes its own folders and its result rows last. Only runs with result rows count, so whatever a broken run
-left behind is neither read nor taken as done.
+A run writes its own folders, and a manifest row when all of them are complete: the number and the set of its series, and
+the rows of each table. Only runs with a manifest row count, so whatever a broken run left behind is neither read nor taken
+as done, and two writers of one folder do not disturb each other: each has its own run, and a series that both forecast
+counts with the later one. ``run_states`` compares the folders with the manifest.
 """
 
 from __future__ import annotations
@@ -56,11 +58,57 @@ def _folder(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+TABLES = ("forecasts", "backtests", "results")
+
+
+def _series_set(spec: SeriesSpec):
+    """A sum over the series that tells sets of them apart, whatever their order."""
+    return F.sum(F.xxhash64(*spec.keys).cast("decimal(38,0)")).cast("string")
+
+
+def manifest(spark: SparkSession, output: str) -> DataFrame | None:
+    """(run, series, series_set, forecasts, backtests, results, committed_at) of the finished runs, None without any."""
+    return _folder(spark, f"{output}/manifest")
+
+
+def run_states(spark: SparkSession, output: str, spec: SeriesSpec = DEFAULT) -> DataFrame | None:
+    """Each run that has any folder, with its state; None where nothing has been written.
+
+    ``complete``: the tables hold the rows and the series that its manifest row names; ``damaged``: they don't;
+    ``unfinished``: there is no manifest row, the run broke off or is still being written.
+    """
+    counted = None
+    for name in TABLES:
+        table = _folder(spark, f"{output}/{name}")
+        if table is None:
+            continue
+        facts = [F.count(F.lit(1)).alias(f"__{name}")]
+        if name == "results":
+            facts += [_series_set(spec).alias("__set")]
+        own = table.groupBy("run").agg(*facts)
+        counted = own if counted is None else counted.join(own, "run", "full")
+    if counted is None:
+        return None
+    for name in [*TABLES, "set"]:
+        if f"__{name}" not in counted.columns:
+            counted = counted.withColumn(f"__{name}", F.lit(None).cast("string" if name == "set" else "long"))
+    done = manifest(spark, output)
+    if done is None:
+        return counted.select("run", F.lit("unfinished").alias("state"))
+    same = F.col("__set").eqNullSafe(F.col("series_set"))
+    for name in TABLES:
+        same = same & (F.coalesce(f"__{name}", F.lit(0)) == F.col(name))
+    joined = counted.join(done, "run", "full")
+    state = F.when(F.col("committed_at").isNull(), "unfinished").when(same, "complete").otherwise("damaged")
+    return joined.select("run", state.alias("state"))
+
+
 def read_results(spark: SparkSession, output: str, spec: SeriesSpec = DEFAULT) -> BatchResult | None:
     """All finished runs; a series that was forecast again counts with its latest run."""
-    found = _folder(spark, f"{output}/results")
-    if found is None:
+    done, found = manifest(spark, output), _folder(spark, f"{output}/results")
+    if done is None or found is None:
         return None
+    found = found.join(done.select("run"), "run", "left_semi")
     latest = found.groupBy(*spec.keys).agg(F.max("run").alias("run"))
     results = found.join(latest, [*spec.keys, "run"], "left_semi")
     forecasts, backtests = (
@@ -99,5 +147,17 @@ def run_forecasts(
     scores = series_metrics(backtests, spec=spec).drop("data_points")
     table = fc.model_metadata(forecasts, spec).join(scores, spec.key_list, "left")
     table.withColumn("finished_at", F.current_timestamp()).write.mode("overwrite").parquet(paths["results"])
+    _commit(spark, output, run, spec)
     return read_results(spark, output, spec)
 
+
+
+def _commit(spark: SparkSession, output: str, run: str, spec: SeriesSpec) -> None:
+    """The manifest row of a run, from what its tables hold now; it is the last thing that a run writes."""
+    paths = {name: f"{output}/{name}/run={run}" for name in TABLES}
+    stored = {name: spark.read.parquet(path) for name, path in paths.items()}
+    rows = {name: table.count() for name, table in stored.items()}
+    facts = stored["results"].agg(F.count(F.lit(1)).alias("series"), _series_set(spec).alias("series_set"))
+    row = facts.withColumns({name: F.lit(n).cast("long") for name, n in rows.items()})
+    row = row.withColumn("committed_at", F.current_timestamp())
+    row.coalesce(1).write.mode("errorifexists").parquet(f"{output}/manifest/run={run}")
