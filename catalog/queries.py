@@ -727,7 +727,7 @@ SMALL_STACK = {"maxIter": 4, "maxDepth": 3}
 def _boosted(spark, folder):
     table = t.model_table(spark, folder)
     return t.once(
-        spark, folder, "boosted", lambda: trees.train_clusters(table, "boosted", SMALL_BOOSTED, trials=2, folds=2)
+        spark, folder, "boosted", lambda: trees.train_clusters(table, "boosted", SMALL_BOOSTED, trials=2, folds=2, mode="target")
     )
 
 
@@ -760,7 +760,7 @@ def gbt_holdout_rows(spark, folder):
 
 def _forest(spark, folder):
     table = t.model_table(spark, folder)
-    return t.once(spark, folder, "forest", lambda: trees.train_clusters(table, "forest", SMALL_FOREST, trials=2, folds=2))
+    return t.once(spark, folder, "forest", lambda: trees.train_clusters(table, "forest", SMALL_FOREST, trials=2, folds=2, mode="target"))
 
 
 @query

@@ -140,6 +140,16 @@ def test_target_statistics_see_only_earlier_weeks(spark):
     assert one.exceptAll(two).count() == 0 and target_stats.ordered_target_statistics(df.limit(0)).count() == 0
 
 
+def test_statistics_of_rows_apart_from_their_history(random_weekly):
+    start = F.col("week") >= F.lit(week(100))
+    history, rows = random_weekly.filter(~start), random_weekly.filter(start)
+    got = target_stats.statistics_for(rows, history).collect()
+    whole = random_weekly.withColumn("known", ~start).withColumn("weekly_volume", F.when(~start, F.col("weekly_volume")))
+    want = target_stats.ordered_target_statistics(whole).filter(start).collect()
+    plain = lambda r: (r.establecimiento, r.material, r.week, round(r.ts_establecimiento, 9), round(r.ts_material, 9))
+    assert sorted(map(plain, got)) == sorted(map(plain, want)) and {r.weekly_volume for r in got} - {None}
+
+
 def test_many_categories_need_no_dictionary(spark):
     many = spark.range(200_000).selectExpr("cast(id AS string) AS establecimiento", "cast(id % 7 AS string) AS material",
         "date_add(date'2020-01-06', cast(7 * (id % 50) AS int)) AS week", "cast(id % 11 AS double) AS weekly_volume", "0 AS has_promo",

@@ -6,7 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from weekloom.functions import additive
-from weekloom.operators import cluster, encode, features, forecast as fc, results, route, split, stack, trees
+from weekloom.operators import cluster, encode, features, forecast as fc, results, route, split, stack, target_stats, trees
 from weekloom.operators.scale import Scaler
 from weekloom.plans.batch_forecast import read_results, run_forecasts
 from weekloom.plans.grouping import group_series
@@ -99,6 +99,17 @@ def test_models_per_cluster(spark, table, tmp_path, family, space):
     assert again.exceptAll(out.predictions).count() == 0
 
 
+def test_models_without_a_list_of_categories(spark, table):
+    """Trained on target statistics: rows apart get theirs from the history, and the predictions are the same."""
+    out = trees.train_clusters(table, "forest", FOREST, trials=1, folds=2, mode="target")
+    assert set(out.metrics.toPandas()["status"]) == {"ok"}
+    test = split.week_share_split(table).filter("split = 'test'")
+    seen = target_stats.ordered_target_statistics(table).join(test.select("establecimiento", "material", "week"), ["establecimiento", "material", "week"])
+    again = trees.predict_clusters(seen, out.models)
+    assert again.exceptAll(out.predictions).count() == 0 and out.predictions.count() == test.count()
+    assert all("StringIndexer" not in str(m.stages) for m in out.models.values())
+
+
 def test_short_and_broken_clusters_do_not_end_the_others(weekly):
     series = {("s0", "m"): [(i, float(i % 5)) for i in range(80)], ("s1", "m"): [(i, 1.0) for i in range(13)]}
     df = features.row_features(weekly(series, lambda key: int(key[0][1])))

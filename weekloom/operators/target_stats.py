@@ -90,3 +90,27 @@ def ordered_target_statistics(
         value = (F.col("__s") + F.lit(prior_rows) * F.col("__prior")) / (F.col("__n") + F.lit(prior_rows))
         out = out.withColumn(f"{PREFIX}{c}", value).drop("__s", "__n")
     return out.select(*df.columns, *[f"{PREFIX}{c}" for c in columns])
+
+
+def statistics_for(
+    rows: DataFrame,
+    history: DataFrame,
+    columns: Sequence[str] | None = None,
+    group: Sequence[str] | None = None,
+    prior_rows: float = PRIOR_ROWS,
+    missing: str = MISSING,
+    spec: SeriesSpec = DEFAULT,
+) -> DataFrame:
+    """``rows`` with the target statistics that ``history``, a table of (keys, group, date, target), gives at their dates.
+
+    The targets of ``rows`` themselves are not looked at, so several weeks to predict see the same history.
+    """
+    columns = spec.key_list if columns is None else list(columns)
+    group = [spec.label] if group is None else list(group)
+    needed = list(dict.fromkeys([*columns, *group, spec.time, spec.value]))
+    row = F.struct(*[F.col(c).alias(c) for c in rows.columns])
+    kind = dict(history.dtypes)[spec.value]
+    asked = rows.select(*[F.lit(None).cast(kind).alias(c) if c == spec.value else F.col(c) for c in needed], row.alias("__row"))
+    told = history.select(*needed, F.lit(None).cast(asked.schema["__row"].dataType).alias("__row"))
+    found = ordered_target_statistics(told.unionByName(asked), columns, group, prior_rows, missing=missing, spec=spec)
+    return found.filter(F.col("__row").isNotNull()).select("__row.*", *[f"{PREFIX}{c}" for c in columns])

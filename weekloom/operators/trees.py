@@ -172,7 +172,7 @@ def train_clusters(
     sample: bool = False,
     threads: int = 2,
     clusters_at_once: int = 4,
-    mode: str = "target",
+    mode: str = "index",
     models_path: str | None = None,
     boundary: str = "per_series",
     spec: SeriesSpec = DEFAULT,
@@ -184,8 +184,8 @@ def train_clusters(
     ``sample`` asks for a sample of the large clusters.
 
     ``mode="target"`` replaces the keys by their target statistics in time order, found once for all clusters and folds, so
-    any number of sites and items fits; "index" and "onehot" number the keys of each training part. The medians of all
-    folds and clusters are found together.
+    any number of sites and items fits, while rows to predict need their statistics first; "index" and "onehot" number the
+    keys of each training part, whose list the model then holds. The medians of all folds and clusters are found together.
     """
     _, default_space, default_trials = FAMILIES[family]
     candidates = draw_params(space or default_space, trials or default_trials)
@@ -256,6 +256,10 @@ def load_models(spark: SparkSession, path: str, labels: Sequence[int]) -> dict[i
 
 
 def predict_clusters(rows: DataFrame, models: Mapping[int, PipelineModel], spec: SeriesSpec = DEFAULT) -> DataFrame:
+    """Each row predicted with the model of its cluster.
+
+    Models trained with ``mode="target"`` need the target statistics of the rows: ``target_stats.statistics_for`` adds them.
+    """
     return union_all(
         [as_predictions(m.transform(rows.filter(F.col(spec.label) == label)), spec) for label, m in models.items()]
     )

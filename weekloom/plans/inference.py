@@ -13,6 +13,7 @@ from weekloom.operators.cluster import attach_labels
 from weekloom.operators.features import next_week_features
 from weekloom.operators.results import union_all
 from weekloom.operators.route import predict_routed
+from weekloom.operators.target_stats import statistics_for
 from weekloom.session import stage
 from weekloom.settings import DEFAULT_ROUTE, LAGS, ROLLING_WINDOWS, ROUTES
 from weekloom.spec import DEFAULT, SeriesSpec
@@ -30,10 +31,16 @@ def predict_next_week(
     spec: SeriesSpec = DEFAULT,
     country: str = "ES",
     region: str | None = None,
+    statistics: bool = False,
 ) -> DataFrame:
-    """One row per series: predicted volume, model type and cluster. Features before the start of a series are 0."""
+    """One row per series: predicted volume, model type and cluster. Features before the start of a series are 0.
+
+    ``statistics`` adds the target statistics of the keys, which models trained with ``mode="target"`` need.
+    """
     labelled = attach_labels(weekly.drop(spec.label), labels, spec)
     rows = next_week_features(labelled, 1, promo, period, holidays, country, region, spec=spec)
+    if statistics:
+        rows = statistics_for(rows, labelled, spec=spec)
     return predict_routed(_filled(rows), models, routes, default, spec)
 
 
@@ -64,13 +71,15 @@ def roll_forward(
     routes: Mapping[int, str] = ROUTES,
     default: str = DEFAULT_ROUTE,
     spec: SeriesSpec = DEFAULT,
+    statistics: bool = False,
 ) -> DataFrame:
     """Predictions of several weeks, each week predicted from the weeks before it, predicted ones included.
 
     Either ``weeks`` weeks after the end of every series, or every week up to the date ``until`` (series that end later have
     none). Columns: keys, date, step (from 1), label, model_type, predicted_volume and status. ``promos`` has the planned
     promotions (keys, date, flag); weeks without one have none. A series whose cluster has no model gets rows without a
-    prediction; its lags see 0 there.
+    prediction; its lags see 0 there. ``statistics`` adds the target statistics of the keys at the end of the actual history,
+    which models trained with ``mode="target"`` need.
 
     All series take a step together, in one plan whose history is the rows that features can reach. A step writes its
     feature rows, which every model reads, and its predictions to the shared folder, so a lost executor repeats one
@@ -92,7 +101,8 @@ def roll_forward(
         if promos is not None:
             history = _next_promo(history, promos, spec)
         promo = F.col("__promo") if promos is not None else 0
-        rows = stage(_filled(next_week_features(history, 1, promo, period, holidays, country, region, spec=spec)))
+        rows = next_week_features(history, 1, promo, period, holidays, country, region, spec=spec)
+        rows = stage(_filled(statistics_for(rows, labelled, spec=spec) if statistics else rows))
         found = stage(predict_routed(rows, models, routes, default, spec).withColumn("step", F.lit(step)))
         done.append(found)
         if step < weeks:
@@ -104,6 +114,7 @@ def roll_forward(
             history = stage(_tail(history.select(*labelled.columns).unionByName(new), spec))
     if not done:
         rows = _filled(next_week_features(history, 1, 0, period, holidays, country, region, spec=spec))
+        rows = statistics_for(rows, labelled, spec=spec) if statistics else rows
         return predict_routed(rows, models, routes, default, spec).withColumn("step", F.lit(1)).limit(0)
     return union_all(done)
 
