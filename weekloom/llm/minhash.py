@@ -9,9 +9,10 @@
 3. The texts of all members of buckets are gathered once. Candidates are confirmed on full sets of shingles: each member's
    text is sent to the blocks of its centres.
 4. Confirmed edges give components. A bucket that still holds several components may hide links between members whose
-   centre they don't match. Only such buckets go on: their members' sets, hashed to 32 bits and sampled by hash where
-   they are large, meet in blocks of bounded size; every pair of blocks is one group, compared by matrix products. Pairs
-   of different components that may be similar enough come out, are confirmed like the others and join the links.
+   centre they don't match. Only such buckets go on, without their centre, which has met everyone, and one of several with
+   the same members. Its largest component is dealt into blocks, and so are all its other members; whole sets of
+   hashes meet block by block, largest against others and others against each other, so that members of the largest
+   component never meet. Decisions are exact there, and a group returns a forest of true links, never pairs.
 """
 
 from __future__ import annotations
@@ -32,8 +33,7 @@ BANDS, ROWS = 25, 5  # a pair at similarity 0.85 meets in no bucket with a chanc
 BINS = BANDS * ROWS
 BLOCKS = 64  # blocks that a centre's members are spread over
 BLOCK = 1024  # members of a block in the comparison of mixed buckets
-SMALL_SET = 512  # larger sets are sampled by hash in that comparison, to between a half of this and all
-MARGIN = 18  # per cent that a sampled estimate may lie below the similarity asked for: over 5 standard deviations
+BLOCK_HASHES = 1 << 21  # and hashes of their sets: about 16 MB
 COLUMNS = 4096
 CACHE = WordHashes()
 
@@ -126,59 +126,52 @@ def confirmed(texts: DataFrame, candidates: DataFrame, n: int, percent: int) ->
     return sent.select("centre", "node", "text").mapInArrow(_confirm(n, percent), "a long, b long").distinct()
 
 
-def _small_sets(n: int):
-    """Sets as ascending 32-bit hashes; a large one keeps the hashes that begin with ``level`` zero bits."""
+def _whole_sets(n: int):
+    """Sets as ascending 64-bit hashes."""
 
-    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                levels, sets = [], []
-                for text in binary(part.column("text")):
-                    found = shingle_set(text, n)
-                    level = 0 if len(found) <= SMALL_SET else int(np.ceil(np.log2(len(found) / SMALL_SET)))
-                    if level:
-                        found = found[found >> np.uint64(64 - level) == 0]
-                    levels.append(level)
-                    sets.append((found >> np.uint64(32)).astype(np.uint32).tobytes())
-                yield pa.record_batch(
-                    [part.column("node"), pa.array(levels, pa.int32()), pa.array(sets, pa.binary())], ["node", "level", "hashes"]
-                )
-
-    return small
-
-
-def _shared(sets: list[np.ndarray], levels: np.ndarray, left: np.ndarray, right: np.ndarray):
-    """For each level: the sizes of the sets at that level, and of the intersections of left with right ones."""
-    size = np.array([len(x) for x in sets])
-    owner = np.repeat(np.arange(len(sets)), size)
-    values, column = np.unique(np.concatenate(sets), return_inverse=True)
-    for level in np.unique(levels):
-        inside = values >> np.uint32(32 - level) == 0 if level else np.ones(len(values), bool)
-        sizes = np.bincount(owner[inside[column]], minlength=len(sets))
-        both = np.zeros((len(left), len(right)), np.float32)
-        common = inside & (np.bincount(column) > 1)
-        place = np.cumsum(common) - 1
-        use = common[column]
-        at, who = place[column[use]], owner[use]
+                sets = [shingle_set(text, n).tobytes() for text in binary(part.column("text"))]
+                yield pa.record_batch([part.column("node"), pa.array(sets, pa.binary())], ["node", "hashes"])
+
+    return whole
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set of ascending distinct values."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    mine, theirs = np.concatenate(left), np.concatenate(right)
+    common = np.intersect1d(mine, theirs)
+    sides = []
+    for sets, values in ((left, mine), (right, theirs)):
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.searchsorted(common, values)
+        use = common[np.minimum(at, len(common) - 1)] == values if len(common) else np.zeros(len(values), bool)
+        at, owner = at[use], owner[use]
         order = np.argsort(at, kind="stable")
-        at, who = at[order], who[order]
-        for start in range(0, int(common.sum()), COLUMNS):
+        sides.append((at[order], owner[order]))
+    for start in range(0, len(common), COLUMNS):
+        dense = []
+        for (at, owner), n in zip(sides, out.shape, strict=True):
             lo, hi = np.searchsorted(at, [start, start + COLUMNS])
-            dense = np.zeros((len(sets), COLUMNS), np.float32)
-            dense[who[lo:hi], at[lo:hi] - start] = 1
-            both += dense[left] @ dense[right].T
-        yield int(level), sizes, both
+            block = np.zeros((n, COLUMNS), np.float32)
+            block[owner[lo:hi], at[lo:hi] - start] = 1
+            dense.append(block)
+        out += dense[0] @ dense[1].T
+    return out
 
 
 def _compare(percent: int):
-    schema = pa.schema([("centre", pa.int64()), ("node", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by("node")
         nodes, parts = table.column("node").to_numpy(), table.column("component_id").to_numpy()
-        block, levels = table.column("block").to_numpy(), table.column("level").to_numpy()
-        sets = [np.frombuffer(x, np.uint32) for x in table.column("hashes").to_pylist()]
-        left, right = (np.nonzero(block == k.as_py())[0] for k in key[1:])
+        side = table.column("side").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+        size = np.array([len(x) for x in sets], np.int64)
+        left, right = (np.nonzero(side == k.as_py())[0] for k in key[1:])
         out, parent = [], {p: p for p in parts.tolist()}
 
         def root(p):
@@ -187,42 +180,75 @@ def _compare(percent: int):
                 p = parent[p]
             return p
 
-        for level, sizes, both in _shared(sets, levels, left, right):
-            union = sizes[left][:, None] + sizes[right][None, :] - both
-            close = 100 * both >= (percent - (MARGIN if level else 0)) * union
+        if len(left) and len(right):
+            both = _shared([sets[i] for i in left], [sets[i] for i in right]).astype(np.int64)
+            close = 100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)
             close &= parts[left][:, None] != parts[right][None, :]
-            close &= np.maximum(levels[left][:, None], levels[right][None, :]) == level
             for i, j in zip(*np.nonzero(close), strict=True):
-                x, y = int(nodes[left[i]]), int(nodes[right[j]])
                 a, b = root(int(parts[left[i]])), root(int(parts[right[j]]))
-                # Whole sets: a pair whose components are tied by an earlier pair of this group adds nothing.
-                if a != b or level:
-                    out.append((min(x, y), max(x, y)))
-                if not level:
+                if a != b:  # a pair whose components are tied by an earlier link of this group adds nothing
+                    out.append((int(nodes[left[i]]), int(nodes[right[j]])))
                     parent[a] = b
         return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], schema=schema)
 
     return compare
 
 
-def hidden_candidates(texts: DataFrame, buckets: DataFrame, labels: DataFrame, n: int, percent: int) -> DataFrame | None:
-    """Candidates (centre, node) between different components of one bucket (key, node), None if no bucket has several."""
-    named = buckets.join(labels, "node", "left").withColumn("component_id", F.coalesce("component_id", "node"))
-    mixed = named.groupBy("key").agg(
-        F.min("component_id").alias("lo"), F.max("component_id").alias("hi"), F.count("*").alias("members")
+def meetings(buckets: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """Rows (key, lo, hi, node, component_id, side) of the groups in which hidden links may be; None if there is none.
+
+    ``buckets`` has (key, centre, node, n_shingles), ``labels`` the component of every linked node. Sides from 0 are
+    blocks of the other members, negative ones of the bucket's largest component. Each group holds the two blocks lo
+    and hi: an others' block with itself, with each other one and with each block of the largest component.
+    """
+    named = buckets.where("node > centre").join(labels, "node", "left")
+    named = named.withColumn("component_id", F.coalesce("component_id", "node"))
+    shares = named.groupBy("key", "component_id").agg(
+        F.count("*").alias("members"),
+        F.sum("n_shingles").alias("hashes"),
+        F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same_a"),
+        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("same_b"),
+    )
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("hashes") / BLOCK_HASHES))
+    mixed = shares.groupBy("key").agg(
+        F.min("component_id").alias("first"),
+        F.max("component_id").alias("last"),
+        F.max(F.struct("members", "hashes", "component_id")).alias("main"),
+        F.sum("members").alias("members"),
+        F.sum("hashes").alias("hashes"),
+        F.sum("same_a").alias("same_a"),
+        F.bit_xor("same_b").alias("same_b"),
+    )
+    mixed = mixed.where("first < last").groupBy("members", "same_a", "same_b").agg(
+        F.min("key").alias("key"), F.first("hashes").alias("hashes"), F.first("main").alias("main")
     )
-    mixed = mixed.where("lo < hi").select("key", F.ceil(F.col("members") / BLOCK).alias("blocks"))
-    left = stage(named.join(mixed, "key").select("key", "node", "component_id", "blocks"))
+    mixed = mixed.select(
+        "key",
+        F.col("main.component_id").alias("main"),
+        F.greatest(F.ceil(F.col("main.members") / BLOCK), F.ceil(F.col("main.hashes") / BLOCK_HASHES)).alias("mains"),
+        (F.col("members") - F.col("main.members")).alias("members"),
+        (F.col("hashes") - F.col("main.hashes")).alias("hashes"),
+    ).select("key", "main", "mains", blocks.alias("others"))
+    left = stage(named.join(mixed, "key").select("key", "node", "component_id", "main", "mains", "others"))
     if left.isEmpty():
         return None
-    wanted = texts.join(left.select("node").distinct(), "node", "left_semi")
-    sets = wanted.mapInArrow(_small_sets(n), "node long, level int, hashes binary")
-    rows = left.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.join(sets, "node").select(
-        "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "component_id", "block", "level", "hashes"
+    apart = F.xxhash64("node", F.lit(2))
+    inside = F.col("component_id") == F.col("main")
+    left = left.withColumn("side", F.when(inside, -1 - F.pmod(apart, "mains")).otherwise(F.pmod(apart, "others")))
+    everyone = F.sequence(-F.col("mains"), F.col("others") - 1)
+    others = F.sequence(F.lit(0).cast("long"), F.col("others") - 1)
+    rows = left.withColumn("other", F.explode(F.when(inside, others).otherwise(everyone)))
+    return rows.select(
+        "key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "node", "component_id", "side"
     )
-    return rows.groupBy("key", "lo", "hi").applyInArrow(_compare(percent), "centre long, node long").distinct()
+
+
+def hidden_links(texts: DataFrame, met: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) that tie all components of a group of ``meetings`` which have similar members."""
+    wanted = texts.join(met.select("node").distinct(), "node", "left_semi")
+    sets = wanted.mapInArrow(_whole_sets(n), "node long, hashes binary")
+    rows = met.join(sets, "node").select("key", "lo", "hi", "node", "component_id", "side", "hashes")
+    return rows.groupBy("key", "lo", "hi").applyInArrow(_compare(percent), "a long, b long").distinct()
 
 
 def shared_ids(known: DataFrame, classes: DataFrame) -> DataFrame | None:
@@ -252,26 +278,28 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85) -> DataFrame
     schema = "doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>"
     sketches = stage(docs.mapInArrow(_sketch(n), schema))
     known = sketches.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
-    classes = known.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("bands").alias("bands"))
-    classes = classes.select("set_key", F.col("rep.doc_id").alias("rep"), F.col("rep.text_key").alias("text_key"), "bands")
+    classes = known.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles"))
+    classes = classes.select("set_key", F.col("rep.doc_id").alias("rep"), F.col("rep.text_key").alias("text_key"), "bands", "n_shingles")
     classes = stage(classes.withColumn("node", F.monotonically_increasing_id()))
 
-    all_buckets = classes.select(F.explode("bands").alias("key"), "node")
+    all_buckets = classes.select(F.explode("bands").alias("key"), "node", "n_shingles")
     shared = all_buckets.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last")
     buckets = stage(all_buckets.join(shared.select("key", "centre"), "key"))
     tried = stage(buckets.where("node > centre").select("centre", "node").distinct())
     # Sorted and merged whatever the size: the members are a share of the documents and grow with them.
     nodes = classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("rep").alias("doc_id"), "text_key")
-    texts = stage(docs.join(nodes.hint("merge"), ["doc_id", "text_key"]).select("node", "text"))
+    # Rows that repeat a representative's doc_id and text come once.
+    texts = docs.join(nodes.hint("merge"), ["doc_id", "text_key"]).groupBy("node").agg(F.min("text").alias("text"))
+    texts = stage(texts)
     links = stage(confirmed(texts, tried, n, percent))
     ties = shared_ids(known, classes)
     if ties is not None:
         links = links.unionAll(ties)
     labels = components(links)
 
-    hidden = hidden_candidates(texts, buckets.select("key", "node"), labels, n, percent)
-    if hidden is not None:
-        more = stage(confirmed(texts, stage(hidden.join(tried, ["centre", "node"], "left_anti")), n, percent))
+    met = meetings(buckets, labels)
+    if met is not None:
+        more = stage(hidden_links(texts, met, n, percent))
         if not more.isEmpty():
             labels = components(links.unionAll(more))
 
@@ -289,12 +317,16 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85) -> DataFrame
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of (doc_id, text, ...) that stay: of each component its smallest doc_id, once; all columns unchanged.
 
-    Rows without a doc_id stay. Of rows that share a doc_id one stays.
+    Rows without a doc_id stay. Of rows that share a doc_id one stays: that of the smallest text (null first) and, for equal
+    texts, of the smallest hash of its columns.
     """
     found = stage(near_duplicates(docs, n, percent).where("doc_id IS NOT NULL"))
     gone = found.where("NOT kept").select("doc_id").distinct()
     left = docs.join(gone.hint("merge"), "doc_id", "left_anti")  # grows with the documents: never broadcast
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():
         return left
-    named = left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    hashed = [F.col(f"`{f.name}`") for f in left.schema if "map<" not in f.dataType.simpleString()]
+    every = [F.col(f"`{c}`") for c in left.columns]
+    named = left.where("doc_id IS NOT NULL").groupBy("doc_id")
+    named = named.agg(F.min_by(F.struct(*every), F.struct("text", F.xxhash64(*hashed).alias("rest"))).alias("row")).select("row.*")
     return named.unionByName(left.where("doc_id IS NULL"))
