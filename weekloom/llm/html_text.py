@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,11 +31,13 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?"""
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[-_\s:/]+")
 LEGAL = re.compile(r"©|\(c\) ?\d{4}|copyright|all rights reserved|privacy policy|cookie|terms of (?:use|service)|subscribe|sign up|log ?in", re.I)
 
-DROPPED = frozenset("script style noscript template head title svg math iframe object embed select option button textarea canvas audio video map datalist".split())
-RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe"))  # their content is no markup
+RAW = frozenset(("script", "style", "textarea", "noscript", "iframe"))  # dropped; their content is no markup
+DROPPED = RAW | frozenset("title template svg select datalist canvas audio video embed".split())  # only up to their own end tag
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var img wbr".split()
+    "a abbr acronym b bdi bdo big button cite code data del dfn em font i ins kbd label map mark math object q rp rt ruby s samp small span strike strong "
+    "sub sup time tt u var img wbr annotation maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub "
+    "msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 OFF_TAGS = frozenset(("nav", "aside", "footer", "form", "menu", "dialog"))
 OFF_ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"))
@@ -46,21 +48,34 @@ OFF_WORDS = frozenset(
     "recommended recommendations trending widget widgets pagination pager skip search copyright legal alert warning outbrain taboola".split()
 )
 ON_WORDS = frozenset("article main content post entry story body text articlebody maincontent".split())
+# Words with plain meanings: beside another word that names no part of a page ("side-by-side") they say nothing.
+PLAIN = frozenset("ad ads alert header legal menu notice notices promoted recommended related reply replies respond response search share sharing side skip social trending warning".split())
+PARTS = frozenset(
+    "area articles bar block body box button buttons column container content div form group icon icons inner input item items label left line link links "
+    "list main message news outer panel posts rail right row section site stories story text title top unit wrap wrapper".split()
+)
 HEADS = frozenset(("header", "masthead"))
 LOOSE = frozenset(("has", "with", "no", "without"))
 
 
 @dataclass
 class Element:
+    """An open element; ``off``, ``on`` and ``head`` also hold what its containers say."""
+
     tag: str
-    off: bool
-    on: float
-    head: bool
+    parent: Element | None = None
+    depth: int = 0
+    off: bool = False
+    on: float = 0.0
+    head: bool = False
+
+    def inside(self, tag: str, off: bool, on: float, head: bool) -> Element:
+        return Element(tag, self, self.depth + 1, self.off or off, max(self.on, on), self.head or head)
 
 
 @dataclass
 class Block:
-    path: tuple[int, ...]
+    container: Element
     tag: str
     off: bool
     on: float
@@ -78,6 +93,8 @@ def _named(attributes: str) -> tuple[bool, bool, bool]:
             for one in value.split():
                 words = {w.lower() for w in CAMEL.split(one) if w}
                 against = words & OFF_WORDS
+                if against <= PLAIN and len(words) > 1 and words - OFF_WORDS - PARTS - ON_WORDS:
+                    against = set()
                 if against and not words & LOOSE:
                     if against <= HEADS:
                         head |= not words & ON_WORDS
@@ -95,67 +112,123 @@ def _named(attributes: str) -> tuple[bool, bool, bool]:
     return off, on, head
 
 
+@dataclass
+class Tag:
+    start: int
+    end: int
+    name: str  # empty: a comment or declaration
+    closing: bool
+    attributes: str
+    last: int = -1  # of an element to drop: the position of its end tag among the tags
+
+
+def tags(page: str) -> list[Tag]:
+    """All tags in page order without those in raw elements. Every part of the page is searched once."""
+    out: list[Tag] = []
+    endless: set[str] = set()  # no end tag of these follows any more
+    at = 0
+    while m := MARKUP.search(page, at):
+        at = m.end()
+        tag = Tag(m.start(), at, (m[2] or "").lower(), bool(m[1]), m[3] or "")
+        if not tag.closing and (tag.name in RAW or tag.name == "title") and tag.name not in endless:
+            end = re.compile(rf"</{tag.name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            if end:
+                at = tag.end = end.end()
+                tag.last = len(out)
+            else:
+                endless.add(tag.name)
+                if tag.name in RAW:
+                    tag.end = len(page)
+                    out.append(tag)
+                    break
+        out.append(tag)
+    return out
+
+
+def match_dropped(found: list[Tag]) -> None:
+    """Find the end tags of the elements to drop; one that its container's end closes has none."""
+    stack: list[int] = []
+    still: Counter[str] = Counter()
+    for k, tag in enumerate(found):
+        if not tag.name or tag.last >= 0 or tag.name in RAW or tag.name in VOID or tag.name in INLINE:
+            continue
+        if tag.closing:
+            if not still[tag.name]:
+                continue
+            while True:
+                opened = stack.pop()
+                still[found[opened].name] -= 1
+                if found[opened].name == tag.name:
+                    found[opened].last = k
+                    break
+        elif not tag.attributes.rstrip().endswith("/"):
+            if stack and found[stack[-1]].name == "p" and tag.name not in DROPPED:
+                still["p"] -= 1
+                stack.pop()
+            stack.append(k)
+            still[tag.name] += 1
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks in page order, with their containers; dropped elements leave nothing."""
     out: list[Block] = []
-    stack: list[tuple[int, Element]] = []
     now: Block | None = None
-    serial = links = at = 0
+    top = root = Element("")
+    still: Counter[str] = Counter()
+    links = at = skip = 0
 
     def add(raw: str) -> None:
         nonlocal now
         if now is None:
             if not raw or raw.isspace():
                 return
-            head = any(e.head for _, e in stack)
-            on = max((e.on for _, e in stack), default=0.0)
-            now = Block(tuple(i for i, _ in stack), stack[-1][1].tag if stack else "", any(e.off for _, e in stack) or (head and on < 3), on)
+            now = Block(top.parent or root, top.tag, top.off or (top.head and top.on < 3), top.on)
             out.append(now)
         now.pieces.append(raw)
         if links:
             now.linked += len(raw.strip())
 
-    for m in MARKUP.finditer(page):
-        if m.start() < at:
+    found = tags(page)
+    match_dropped(found)
+    for k, t in enumerate(found):
+        if k < skip:
             continue
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        if t.start > at:
+            add(page[at : t.start])
+        at = t.end
+        tag = t.name
+        if not tag:
             continue
-        tag, closing = m[2].lower(), bool(m[1])
         if tag in DROPPED:
-            if not closing and tag not in VOID and not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                if end:
-                    at = end.end()
-                elif tag in RAW:
-                    at = len(page)
+            if not t.closing and t.last > k:
+                at, skip = found[t.last].end, t.last + 1
             continue
         if tag == "br":
             if now is not None:
                 now.pieces.append(" ")
             continue
         if tag == "a":
-            links = max(0, links - 1) if closing else 1
+            links = max(0, links - 1) if t.closing else 1
         if tag in INLINE:
             continue
         now = None
         links = 0
-        if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][1].tag == tag:
-                    del stack[k:]
+        if t.closing:
+            while still[tag]:
+                closed, top = top.tag, top.parent
+                still[closed] -= 1
+                if closed == tag:
                     break
             continue
         if tag in VOID:
             continue
-        if stack and stack[-1][1].tag == "p" or stack and tag == stack[-1][1].tag and tag in ("li", "dt", "dd", "option", "tr", "td", "th"):
-            stack.pop()  # their end tags may be left out
-        off, on, head = _named(m[3]) if m[3] and tag not in ("html", "body") else (False, False, False)
+        if top.tag == "p" or tag == top.tag and tag in ("li", "dt", "dd", "option", "tr", "td", "th"):
+            still[top.tag] -= 1  # their end tags may be left out
+            top = top.parent
+        off, on, head = _named(t.attributes) if t.attributes and tag not in ("html", "body") else (False, False, False)
         weight = 3.0 if tag == "article" else 2.0 if tag == "main" else 2.0 if on else 0.0
-        serial += 1
-        stack.append((serial, Element(tag, off or tag in OFF_TAGS, weight, head or tag == "header")))
+        top = top.inside(tag, off or tag in OFF_TAGS, weight, head or tag == "header")
+        still[tag] += 1
     if at < len(page):
         add(page[at:])
     for b in out:
@@ -239,14 +312,18 @@ def minimum_cut(to_source: list[int], to_sink: list[int], edges: list[tuple[int,
 
 
 def proximity(a: Block, b: Block) -> float:
-    """Share of the two blocks' paths, without the block's own element, that they have in common."""
-    p, q = a.path[:-1], b.path[:-1]
-    same = 0
-    for x, y in zip(p, q, strict=False):
-        if x != y:
-            break
-        same += 1
-    return same / max(len(p), len(q), 1)
+    """Share of the paths of the two blocks' containers that they have in common.
+
+    Climbs only what lies between the two, so that all neighbours of a page take time in proportion to its elements.
+    """
+    p, q = a.container, b.container
+    longest = max(p.depth, q.depth, 1)
+    while p is not q:
+        if p.depth >= q.depth:
+            p = p.parent
+        else:
+            q = q.parent
+    return p.depth / longest
 
 
 def labelled(found: list[Block]) -> list[bool]:
@@ -256,10 +333,10 @@ def labelled(found: list[Block]) -> list[bool]:
     for i, b in enumerate(found):
         if i:
             edges.append((i - 1, i, int(SCALE * (0.2 + 0.6 * proximity(found[i - 1], b)))))
-        near = last.get(b.path[:-1])
+        near = last.get(id(b.container))
         if near is not None and near < i - 1:
             edges.append((near, i, int(SCALE * 0.3)))
-        last[b.path[:-1]] = i
+        last[id(b.container)] = i
     return minimum_cut([int(SCALE * c) for c, _ in pairs], [int(SCALE * b) for _, b in pairs], edges)
 
 
@@ -285,7 +362,9 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     text holds the content blocks in page order, joined by two newlines; character references are decoded, white space in
     a block is one space. Null or empty html, and pages without content, give an empty text. Broken or cut-off markup is
-    read as far as it goes; elements left open end with their container. Null ids and urls and repeated rows stay; extra
+    read as far as it goes; elements left open end with their container, and one to drop that has no end tag of its own there
+    drops nothing (but for script, style, textarea, noscript and iframe, which run to the end). Time and memory grow in
+    proportion to the page and its elements, the minimum cut aside. Null ids and urls and repeated rows stay; extra
     columns are ignored; an empty table gives no rows.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
