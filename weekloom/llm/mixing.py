@@ -25,6 +25,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UNITS = float(1 << 52)
 SENT_ROWS, SENT_BYTES = 50_000, 8 << 20  # a table with a row per source is broadcast up to this size
 SALTS = 64
+MADE = ("size", "source_size", "target", "copies", "taken")
+WORKING = ("key", "base", "rank", "wanted", "roots", "cut", "open", "filler", "of", "salt", "of_salt")  # names used on the way
 
 
 def n_words(text: str = "text") -> Column:
@@ -129,17 +131,17 @@ def mixed(docs: DataFrame) -> DataFrame:
     size counts the words of the text (null: 0); taken = copies * size is at most 3 times the size. The words taken of a
     source come to its target up to less than its smallest fitting document. A null source is a source of its own, last
     in order; empty texts weigh nothing and get the whole copies. Rows that repeat both doc_id and text draw the same
-    number and are taken together. Draws depend on doc_id and text alone, so reruns agree. Extra columns pass; input
-    columns with the names of the results are replaced. An empty table gives no rows.
+    number and are taken together. Draws depend on doc_id and text alone, so reruns agree. Extra columns pass,
+    whatever their names; only input columns with the names of the results are replaced. An empty table gives no rows.
     """
-    made = ["size", "source_size", "target", "copies", "taken"]
-    clash = [c for c in docs.columns if c.lower() in {*made, "key", "base", "rank", "wanted", "roots", "cut", "open", "filler", "of", "salt", "of_salt"}]
-    docs = docs.drop(*clash)
-    columns = docs.columns
+    columns = [c for c in docs.columns if c.lower() not in MADE]
+    # Columns with names used on the way are put aside under private ones.
+    private = {c: f"__own_{i}" if c.lower() in WORKING else c for i, c in enumerate(columns)}
+    docs = docs.select(*(F.col(f"`{c}`").alias(name) for c, name in private.items()))
     own = sized(docs)
     thin = stage(own.select("doc_id", "source", "size", "key"))
     rows = _ranked(own, plan(thin))
     extra = F.when(F.col("rank").isNull(), 0).when(_within() | (F.col("key") == F.col("filler")), 1).otherwise(0)
     copies = F.least(F.col("base") + F.coalesce(extra, F.lit(0)), F.lit(MOST)).cast("int")
     rows = rows.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
-    return rows.select(*columns, *made)
+    return rows.select(*(F.col(f"`{name}`").alias(c) for c, name in private.items()), *MADE)
