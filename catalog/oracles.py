@@ -597,7 +597,7 @@ ORACLES: dict[str, str] = {
           SELECT *, ROW_NUMBER() OVER ({BY} ORDER BY mae, weeks) AS i FROM ({_errors()})) WHERE i = 1"""),
     "assign_nearest_centroid": sql("SELECT * FROM labels"),
     "label_join": sql(
-        "SELECT * REPLACE (CASE WHEN cluster_label > 0 THEN cluster_label ELSE -1 END AS cluster_label) FROM clustered"
+        "SELECT gold.*, COALESCE(labels.cluster_label, -1) AS cluster_label FROM gold LEFT JOIN labels USING (establecimiento, material)"
     ),
     "label_distribution": sql(f"""
         SELECT cluster_label, row_count, {r('100 * CAST(row_count AS DOUBLE) / SUM(row_count) OVER ()')} AS pct

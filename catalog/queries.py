@@ -487,8 +487,7 @@ def assign_nearest_centroid(spark, folder):
 
 @query
 def label_join(spark, folder):
-    known = t.labels(spark, folder).filter("cluster_label > 0")
-    return cluster.attach_labels(t.gold(spark, folder), known)
+    return cluster.attach_labels(t.gold(spark, folder), t.labels(spark, folder))
 
 
 @query
