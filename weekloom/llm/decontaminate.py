@@ -6,12 +6,15 @@ so that every occurrence lies whole in one window of comparable size. Window and
 signature with a chance that is their similarity there; an item that agrees with a window in any bin is a candidate for the
 documents of that window, and is confirmed on the exact share of its shingles that the whole document has.
 
-Items are read in passes of bounded size, each sent to all tasks once; documents are not shuffled.
+Items are read in passes of bounded size. Only one pass is on the driver and in the tasks at a time: its hits are stored
+before the next one is read. Documents are not shuffled. Items of few shingles keep all of them, so no agreement can be lost
+to a bin that another shingle of the window won.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekloom.llm.words import WordHashes, binary, shingles, slices, split
+from weekloom.operators.results import union_all
 from weekloom.session import stage
 
 WORDS = 5
@@ -26,6 +30,7 @@ CONTAINED = 0.8
 PASS_BYTES = 16 << 20  # item text of one pass, expected; a larger benchmark takes several passes
 GROWTH = 1.5  # largest item of a size partition over its smallest
 BIN_BITS = 8
+EXACT = 8  # items of at most so many shingles are looked for by each of them
 FILTER_BITS = 22
 ROW = "__row"
 FOUND = "n_items long, item_ids array<long>, most double"
@@ -41,20 +46,35 @@ class Partition:
         for k, found in items:
             h = np.unique(found)
             first = np.ones(len(h), bool)
-            first[1:] = (h[1:] >> np.uint64(64 - BIN_BITS)) != (h[:-1] >> np.uint64(64 - BIN_BITS))
+            if longest > EXACT:
+                first[1:] = (h[1:] >> np.uint64(64 - BIN_BITS)) != (h[:-1] >> np.uint64(64 - BIN_BITS))
             values.append(h[first])
             owners.append(np.full(first.sum(), k))
         v, o = np.concatenate(values), np.concatenate(owners)
         order = np.argsort(v, kind="stable")
         self.values, self.owners = v[order], o[order]
-        self.filter = np.zeros(1 << FILTER_BITS, bool)
-        self.filter[self.values & np.uint64((1 << FILTER_BITS) - 1)] = True
+
+    @cached_property
+    def filter(self) -> np.ndarray:
+        """The low bits that values have; made where it is used, not sent."""
+        bits = np.zeros(1 << FILTER_BITS, bool)
+        bits[self.values & np.uint64((1 << FILTER_BITS) - 1)] = True
+        return bits
+
+    def __getstate__(self) -> dict:
+        return {name: value for name, value in self.__dict__.items() if name != "filter"}
+
+    def owning(self, own: np.ndarray, place: np.ndarray) -> set[tuple[int, int]]:
+        lo, hi = np.searchsorted(self.values, own), np.searchsorted(self.values, own, side="right")
+        return {(int(place[i]), int(self.owners[j])) for i in np.nonzero(hi > lo)[0] for j in range(lo[i], hi[i])}
 
     def candidates(self, h: np.ndarray, valid: np.ndarray) -> set[tuple[int, int]]:
         """(position, item) of agreeing signatures; the position is that of a shingle of the window."""
         maybe = np.nonzero(self.filter[h & np.uint64((1 << FILTER_BITS) - 1)] & valid)[0]
         if not len(maybe):
             return set()
+        if self.longest <= EXACT:
+            return self.owning(h[maybe], maybe)
         blocks = np.unique(maybe // self.longest)
         starts = np.unique(np.concatenate([blocks, blocks - 1])) * self.longest
         starts = starts[starts >= 0]
@@ -67,9 +87,7 @@ class Partition:
         least = np.ones(window.shape, bool)
         least[:, 1:] = (window[:, 1:] >> np.uint64(64 - BIN_BITS)) != (window[:, :-1] >> np.uint64(64 - BIN_BITS))
         least &= window != top
-        own, place = window[least], at[least]
-        lo, hi = np.searchsorted(self.values, own), np.searchsorted(self.values, own, side="right")
-        return {(int(place[i]), int(self.owners[j])) for i in np.nonzero(hi > lo)[0] for j in range(lo[i], hi[i])}
+        return self.owning(window[least], at[least])
 
 
 class Index:
@@ -131,16 +149,18 @@ def _search(index: Index):
     return search
 
 
-def indexes(benchmark: DataFrame, contained: float, pass_bytes: int) -> list[Index]:
-    """The items in passes; only one pass's items are in one index."""
+def indexes(benchmark: DataFrame, contained: float, pass_bytes: int) -> tuple[int, Iterator[Index]]:
+    """The number of passes and their items; a pass is read when it is asked for."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, -(-size // pass_bytes))
-    out = []
-    for k in range(passes):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k) if passes > 1 else items
-        out.append(Index([(r.item_id, None if r.text is None else r.text.encode()) for r in rows.collect()], contained))
-    return out
+
+    def read() -> Iterator[Index]:
+        for k in range(passes):
+            rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k) if passes > 1 else items
+            yield Index([(r.item_id, None if r.text is None else r.text.encode()) for r in rows.collect()], contained)
+
+    return passes, read()
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -148,15 +168,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return stage(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
 
-def _hits(rows: DataFrame, found: list[Index]) -> DataFrame:
-    """The items of all passes, for the rows that hold any, by key."""
+def _hits(rows: DataFrame, found: Iterator[Index]) -> DataFrame:
+    """The items of all passes, for the rows that hold any, by key; each pass is stored before the next one is read."""
     texts = rows.select(ROW, F.col("text").cast("string").alias("text"))
-    hits = None
+    stored = []
     for index in found:
-        one = stage(texts.mapInArrow(_search(index), f"{ROW} long, {FOUND}").where("n_items > 0"))
-        hits = one if hits is None else hits.unionAll(one)
+        stored.append(stage(texts.mapInArrow(_search(index), f"{ROW} long, {FOUND}").where("n_items > 0")))
     ids = F.array_sort(F.flatten(F.collect_list("item_ids")))
-    return hits.groupBy(ROW).agg(F.sum("n_items").alias("n_items"), ids.alias("item_ids"), F.max("most").alias("most"))
+    hits = union_all(stored).groupBy(ROW)
+    return hits.agg(F.sum("n_items").alias("n_items"), ids.alias("item_ids"), F.max("most").alias("most"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, contained: float = CONTAINED, pass_bytes: int = PASS_BYTES) -> DataFrame:
@@ -169,9 +189,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, contained: float = CONT
     of passes and also where rows share a doc_id or have none. Extra columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = indexes(benchmark, contained, pass_bytes)
-    if len(found) == 1:
-        done = docs.mapInArrow(_search(found[0]), f"doc_id long, {FOUND}")
+    passes, found = indexes(benchmark, contained, pass_bytes)
+    if passes == 1:
+        done = docs.mapInArrow(_search(next(found)), f"doc_id long, {FOUND}")
     else:
         rows = _keyed(docs)
         done = rows.select("doc_id", ROW).join(_hits(rows, found), ROW, "left").select(
@@ -194,6 +214,9 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, contained: float = CONTAINED,
 
         return keep
 
-    for index in indexes(benchmark, contained, pass_bytes):
-        docs = docs.mapInArrow(kept(index), docs.schema)
+    passes, found = indexes(benchmark, contained, pass_bytes)
+    if passes == 1:
+        return docs.mapInArrow(kept(next(found)), docs.schema)
+    for index in found:  # a pass judges what the ones before it kept
+        docs = stage(docs.mapInArrow(kept(index), docs.schema))
     return docs

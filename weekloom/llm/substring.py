@@ -5,7 +5,8 @@ also starts in a document with a smaller doc_id. Windows are judged on the input
 
 Plan, three shuffles and no pairs of documents:
 
-1. documents are dealt into batches by a hash of doc_id. A batch hashes all windows of its documents with a rolling
+1. documents are dealt into batches by a hash of doc_id and text, so that rows without a doc_id, or with one that repeats,
+   spread as well; only equal rows stay together. A batch hashes all windows of its documents with a rolling
    polynomial and sends each *distinct* hash once, with the smallest doc_id that has it here, to a bucket of the hash.
    So a window that a third of all documents share arrives once per batch, not once per document;
 2. a bucket counts each hash: if a smaller doc_id exists in another batch, the answer for (batch, hash) is yes. Answers
@@ -32,6 +33,7 @@ from weekloom.llm.words import WordHashes, binary, mix, slices
 
 WINDOW = 50
 BATCH_DOCS = 256
+BUCKET_DOCS = 16_384  # documents whose distinct windows a bucket of hashes holds, about, however many documents there are
 BASE = 0x5851F42D4C957F2D  # odd, so that it has an inverse modulo 2**64
 LAST = np.iinfo(np.int64).max
 
@@ -245,9 +247,10 @@ BATCH = "__batch"
 
 def _answered(docs: DataFrame, length: int, batch_docs: int):
     """The documents by batch, the answers by batch, and the number of buckets."""
-    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    batches = max(1, -(-docs.count() // batch_docs))
-    dealt = docs.withColumn(BATCH, F.pmod(F.xxhash64("doc_id"), F.lit(batches)))
+    n = docs.count()
+    buckets = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // BUCKET_DOCS))
+    batches = max(1, -(-n // batch_docs))
+    dealt = docs.withColumn(BATCH, F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)))
     sent = dealt.groupBy(BATCH).applyInArrow(_send(length, buckets), SENT)
     answers = sent.groupBy("bucket").applyInArrow(_judge, ANSWER)
     return dealt.groupBy(BATCH), answers.groupBy("batch"), buckets
