@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from catalog.tables import CENTRES, NUDGE
+from catalog.tables import CENTRES, NUDGE, RIDGE_PENALTY
 from weekloom.operators.clean import HISTORY_COLUMNS
 from weekloom.settings import LAGS, ROLLING_WINDOWS, SERIES_FEATURES
 from weekloom.sources import bronze
@@ -760,3 +760,51 @@ ORACLES: dict[str, str] = {
         FROM sizes GROUP BY largest
         UNION ALL SELECT 'unfinished', NULL, NULL, NULL""",
 }
+
+# Tables that come back as they were written, and what is read of them.
+ORACLES |= {
+    "cluster_folders": sql(f"SELECT {WEEKLY_COLUMNS}, cluster_label FROM clustered"),
+    "replaced_clusters": sql("""
+        SELECT * REPLACE (weekly_volume * CASE WHEN cluster_label IN (0, 2) THEN 2 ELSE 1 END AS weekly_volume)
+        FROM clustered"""),
+    "compressed_parquet": sql("""
+        SELECT establecimiento, COUNT(*) AS rows, SUM(volume_ap) AS volume FROM silver GROUP BY establecimiento"""),
+    "csv_in_two_parts": ORACLES["weekly_gold"],
+    "json_table": ORACLES["series_features"],
+    "named_table": sql("""
+        SELECT establecimiento, material, COUNT(*) AS weeks, SUM(weekly_volume) AS volume, MAX(week) AS last_week
+        FROM gold GROUP BY 1, 2"""),
+    "forecast_table": f"SELECT establecimiento, material, ds, yhat FROM ({ORACLES['naive_backtest']})",
+    "stack_rows": sql(f"""
+        SELECT c.establecimiento, c.material, c.week, cluster_label, cutoff_week,
+               CASE WHEN c.week <= cutoff_week THEN 'train' ELSE 'test' END AS split
+        FROM (SELECT * FROM (SELECT *, ROW_NUMBER() OVER ({IN_TIME}) AS i FROM clustered) WHERE i > 52) c
+        JOIN (
+          SELECT cluster_label, GREATEST(MAX(week) - 84, MIN(week)) AS cutoff_week
+          FROM (SELECT *, ROW_NUMBER() OVER ({IN_TIME}) AS i FROM clustered) WHERE i > 52 GROUP BY 1)
+        USING (cluster_label)"""),
+    "stack_series_status": sql("""
+        SELECT establecimiento, material, COUNT(*) AS weeks, GREATEST(COUNT(*) - 52, 0) AS usable_weeks,
+               CASE WHEN COUNT(*) > 52 THEN 'ok' ELSE 'short history' END AS status
+        FROM gold GROUP BY 1, 2"""),
+    "ridge_predictions": f"""{WITH},
+        x AS (
+          SELECT * FROM (
+            SELECT establecimiento, material, week, weekly_volume AS y,
+                   LAG(weekly_volume, 1) OVER ({IN_TIME}) AS a, LAG(weekly_volume, 2) OVER ({IN_TIME}) AS b
+            FROM gold) WHERE b IS NOT NULL),
+        s AS (
+          SELECT COUNT(*) * VAR_POP(a) + {RIDGE_PENALTY} AS aa, COUNT(*) * VAR_POP(b) + {RIDGE_PENALTY} AS bb,
+                 COUNT(*) * COVAR_POP(a, b) AS ab, COUNT(*) * COVAR_POP(a, y) AS ay, COUNT(*) * COVAR_POP(b, y) AS yb,
+                 AVG(a) AS ma, AVG(b) AS mb, AVG(y) AS my
+          FROM x),
+        c AS (
+          SELECT *, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS ca, (yb * aa - ay * ab) / (aa * bb - ab * ab) AS cb FROM s)
+        SELECT establecimiento, material, week, ROUND(my + ca * (a - ma) + cb * (b - mb) + {NUDGE}, 3) AS prediction
+        FROM x, c""",
+    "additive_model_metadata": sql("""
+        SELECT establecimiento, material, establecimiento || '_' || material AS series_id, 'ok' AS status,
+               CAST(COUNT(*) AS INTEGER) AS data_points, STRFTIME(MIN(week), '%Y-%m-%d') AS start_date,
+               STRFTIME(MAX(week), '%Y-%m-%d') AS end_date
+        FROM gold GROUP BY establecimiento, material"""),
+}

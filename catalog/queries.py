@@ -5,7 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.ml.feature import SQLTransformer
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,7 @@ from weekloom.plans.inference import predict_next_week, roll_forward
 from weekloom.session import shared_folder
 from weekloom.settings import SERIES_FEATURES, STACK_BASE_CLUSTER, STACK_BASE_GLOBAL
 from weekloom.sources import bronze
+from weekloom.sources import tables as stored
 from weekloom.spec import DEFAULT
 
 KEYS = list(DEFAULT.keys)
@@ -54,6 +56,10 @@ def query(func: Query) -> Query:
     return func
 
 
+def _new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/weekloom-{name}-{uuid.uuid4().hex}"
+
+
 # Layers and cleaning
 
 
@@ -708,7 +714,7 @@ def rolled_forward(spark, folder):
 def batch_manifest(spark, folder):
     """The largest series first, a run that breaks off, and a run that goes on with all others."""
     gold = t.gold(spark, folder)
-    output = f"{shared_folder(spark).rstrip('/')}/weekloom-batch-{uuid.uuid4().hex}"
+    output = _new_folder(spark, "batch")
     first = batch_forecast.run_forecasts(gold, output, top_n=20)
     first.forecasts.write.parquet(f"{output}/forecasts/run=broken")
     batch_forecast.run_forecasts(gold, output)
@@ -716,6 +722,96 @@ def batch_manifest(spark, folder):
     return states.select("state", "series", "forecasts", "results")
 
 
+# Tables written, added to, replaced in part, and read back
+
+
+@query
+def cluster_folders(spark, folder):
+    """The table by cluster, read one cluster at a time; -1 stands for series without a label."""
+    path = _new_folder(spark, "clusters")
+    stored.write_by_label(t.clustered(spark, folder), path)
+    return results.union_all([stored.read_label(spark, path, label) for label in range(-1, len(t.CENTRES))])
+
+
+@query
+def replaced_clusters(spark, folder):
+    """New rows for the clusters 0 and 2; the folders of the others stay."""
+    table, path = t.clustered(spark, folder), _new_folder(spark, "clusters")
+    stored.write_by_label(table, path)
+    new = table.filter("cluster_label IN (0, 2)").withColumn("weekly_volume", 2 * F.col("weekly_volume"))
+    stored.replace_labels(new, path)
+    return stored.read_parquet(spark, path, table.columns, table.schema)
+
+
+@query
+def compressed_parquet(spark, folder):
+    """By site and with another codec; two columns are read, with the types that were written."""
+    silver, path = t.silver(spark, folder), _new_folder(spark, "parquet")
+    stored.write_parquet(silver, path, "zstd", ["establecimiento"])
+    read = stored.read_parquet(spark, path, ["establecimiento", "volume_ap"], silver.schema)
+    return read.groupBy("establecimiento").agg(F.count(F.lit(1)).alias("rows"), F.sum("volume_ap").alias("volume"))
+
+
+@query
+def csv_in_two_parts(spark, folder):
+    gold, path = t.gold(spark, folder), _new_folder(spark, "csv")
+    early = F.col("week") < "1995-07-01"
+    stored.write_csv(gold.filter(early), path)
+    stored.write_csv(gold.filter(~early), path, "append")
+    return stored.read_csv(spark, path, gold.schema)
+
+
+@query
+def json_table(spark, folder):
+    table, path = t.series_features(spark, folder), _new_folder(spark, "json")
+    stored.write_json(table, path)
+    return stored.read_json(spark, path, table.schema)
+
+
+@query
+def named_table(spark, folder):
+    stored.register(t.gold(spark, folder), "weekloom_weekly")
+    return spark.sql(
+        "SELECT establecimiento, material, COUNT(*) AS weeks, SUM(weekly_volume) AS volume, MAX(week) AS last_week "
+        "FROM weekloom_weekly GROUP BY establecimiento, material"
+    )
+
+
+@query
+def forecast_table(spark, folder):
+    """Forecasts of all series as the sink stores them, read with the types of the keys."""
+    path = _new_folder(spark, "forecasts")
+    stored.write_forecasts(t.backtest(spark, folder), path)
+    return stored.read_parquet(spark, path, schema=t.backtest(spark, folder).select(*KEYS, "ds", "yhat").schema)
+
+
+# What a stack is fitted on, and a fitted model whose numbers SQL gives too
+
+
+@query
+def stack_rows(spark, folder):
+    return stack.prepare(t.model_table(spark, folder)).select(*KEYS, "week", "cluster_label", "cutoff_week", "split")
+
+
+@query
+def stack_series_status(spark, folder):
+    return stack.series_status(t.model_table(spark, folder))
+
+
+@query
+def ridge_predictions(spark, folder):
+    """The ridge of the meta-model on the volumes of the two weeks before, stored, loaded and applied to all rows."""
+    lags = ["volume_lag_1", "volume_lag_2"]
+    rows = features.lag_features(t.gold(spark, folder), [1, 2]).na.drop(subset=lags)
+    assembler = VectorAssembler(inputCols=lags, outputCol="vector")
+    points = assembler.transform(rows)
+    model = stack.ridge(points, t.RIDGE_PENALTY, "vector", "weekly_volume").fit(points)
+    path = _new_folder(spark, "ridge")
+    PipelineModel([assembler, model]).write().overwrite().save(path)
+    found = PipelineModel.load(path).transform(rows)
+    return found.select(*KEYS, "week", F.round(F.col("prediction") + float(t.NUDGE), 3).alias("prediction"))
+
+
 # Models: few and small trees, as these queries show that the jobs run, not how good the models can get
 
 SMALL_BOOSTED = {"maxIter": [3, 5], "maxDepth": [3, 4], "stepSize": [0.1, 0.2], "subsamplingRate": [0.8]}
@@ -855,6 +951,13 @@ def additive_forecast_rows(spark, folder):
     return _additive_forecast(spark, folder).select(*KEYS, "ds", "is_future", *_flags())
 
 
+@query
+def additive_model_metadata(spark, folder):
+    """One row per series: its name, status, points and dates as text."""
+    table = forecast.model_metadata(_additive_forecast(spark, folder))
+    return table.select(*KEYS, "series_id", "status", "data_points", "start_date", "end_date")
+
+
 @query
 def additive_backtest_rows(spark, folder):
     """Every series, cutoff and week; one row for a series without cutoffs."""

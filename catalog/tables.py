@@ -18,6 +18,9 @@ from weekloom.spec import DEFAULT
 # Reference points for the nearest-centroid checks, the same number in every scaled feature.
 CENTRES = [-0.8, -0.1, 0.4, 1.2]
 
+# Fixed value: large enough to move the coefficients of a ridge over all rows.
+RIDGE_PENALTY = 1e5
+
 _made: dict[tuple, object] = {}
 
 

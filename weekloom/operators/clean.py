@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weekloom.functions.numeric import is_bad
@@ -103,12 +103,28 @@ def fill_category(df: DataFrame, columns: Iterable[str], value: str = "Missing")
 HISTORY_COLUMNS = ("lag_", "roll_", "days_since_last_sale")
 
 
+def history_columns(df: DataFrame, parts: Iterable[str] = HISTORY_COLUMNS) -> list[str]:
+    """The columns built from the past."""
+    return [c for c in df.columns if any(p in c for p in parts)]
+
+
 def drop_incomplete(df: DataFrame, parts: Iterable[str] = HISTORY_COLUMNS) -> DataFrame:
     """Drop rows that lack a value in a column built from the past."""
-    columns = [c for c in df.columns if any(p in c for p in parts)]
+    columns = history_columns(df, parts)
     return df.na.drop(subset=columns) if columns else df
 
 
+def is_complete(df: DataFrame, parts: Iterable[str] = HISTORY_COLUMNS) -> Column:
+    """Whether ``drop_incomplete`` keeps a row: no column built from the past is null or NaN."""
+    types = dict(df.dtypes)
+    kept = F.lit(True)
+    for c in history_columns(df, parts):
+        kept = kept & F.col(c).isNotNull()
+        if types[c] in ("double", "float"):
+            kept = kept & ~F.isnan(c)
+    return kept
+
+
 def align_columns(df: DataFrame, expected: Iterable[str], fill=0) -> DataFrame:
     """Exactly the expected columns in that order; missing ones get the fill value."""
     have = set(df.columns)

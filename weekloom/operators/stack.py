@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weekloom.functions.numeric import clamp
-from weekloom.operators.clean import drop_incomplete, fill_category
+from weekloom.operators.clean import drop_incomplete, fill_category, is_complete
 from weekloom.operators.encode import VECTOR, fit_encoder
 from weekloom.operators.metrics import cluster_metrics
 from weekloom.operators.results import fill_out_of_fold, remaining_labels, union_all
@@ -51,6 +51,17 @@ def prepare(
     return chronological_split(fill_category(complete, categories), test_weeks, spec, group)
 
 
+def series_status(table: DataFrame, spec: SeriesSpec = DEFAULT) -> DataFrame:
+    """Every series of a feature table with its weeks, those that ``prepare`` can use, and a status.
+
+    A series without a usable week is in neither the training nor the test rows of a stack; here it has the status
+    ``short history``, so that a report can name it. One aggregate, partial before the shuffle.
+    """
+    used = F.count_if(is_complete(table)).alias("usable_weeks")
+    counts = table.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias("weeks"), used)
+    return counts.withColumn("status", F.when(F.col("usable_weeks") > 0, "ok").otherwise("short history"))
+
+
 def _inputs(df: DataFrame, spec: SeriesSpec) -> tuple[list[str], list[str]]:
     names = feature_columns(df, [spec.value, spec.time, spec.label, OOF, *NOT_FEATURES])
     categorical = [c for c in names if c in CATEGORICAL_FEATURES]
