@@ -116,13 +116,9 @@ def drop_incomplete(df: DataFrame, parts: Iterable[str] = HISTORY_COLUMNS) -> Da
 
 def is_complete(df: DataFrame, parts: Iterable[str] = HISTORY_COLUMNS) -> Column:
     """Whether ``drop_incomplete`` keeps a row: no column built from the past is null or NaN."""
-    types = dict(df.dtypes)
-    kept = F.lit(True)
-    for c in history_columns(df, parts):
-        kept = kept & F.col(c).isNotNull()
-        if types[c] in ("double", "float"):
-            kept = kept & ~F.isnan(c)
-    return kept
+    # Each column is named once: in a conjunction of tests the optimizer would copy its whole derivation for every test.
+    values = F.array(*[F.col(c).cast("double") for c in history_columns(df, parts)])
+    return F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x))
 
 
 def align_columns(df: DataFrame, expected: Iterable[str], fill=0) -> DataFrame:
