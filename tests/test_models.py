@@ -1,3 +1,5 @@
+import threading
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -173,6 +175,32 @@ def test_out_of_fold_rows(table):
     assert dropped.count() == train.filter("fold >= 0").count()
 
 
+def meeting(monkeypatch, module, name, parties):
+    """The function goes on only once that many calls of it run at the same time."""
+    door, real = threading.Barrier(parties), getattr(module, name)
+
+    def wait(*args, **kwargs):
+        door.wait(timeout=120)
+        return real(*args, **kwargs)
+
+    monkeypatch.setattr(module, name, wait)
+
+
+def test_base_models_of_a_stack_do_not_wait_for_each_other(table, monkeypatch):
+    rows = stage(stack.prepare(table, 6, []))
+    train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
+    base = {**stack.STACK_BASE_CLUSTER, "maxIter": 2, "maxDepth": 2}
+    folded = stage(split.cv_folds(train, 2, group=[]))
+    level_one = stack.out_of_fold(folded, 2, base, threads=1)
+    alone = stack.Stack(stack.fit_base(folded, base, F.col("fold") == 1), stack.fit_meta(level_one))
+    meeting(monkeypatch, stack, "fit_base", 3)
+    found = stack.fit_stack(train, 2, base)
+    order = ["establecimiento", "material", "week"]
+    want, got = (m.predict(test).toPandas().sort_values(order, ignore_index=True) for m in (alone, found))
+    assert len(got) == test.count() and got.drop(columns="stacking_predicted_volume").equals(want.drop(columns="stacking_predicted_volume"))
+    assert got["stacking_predicted_volume"].to_numpy() == pytest.approx(want["stacking_predicted_volume"].to_numpy())
+
+
 def test_routes(spark):
     df = spark.createDataFrame([(i,) for i in (-1, 0, 1, 2, 9)], "cluster_label int")
     got = [r["model_type"].split(" ", 1) for r in route.with_route(df).orderBy("cluster_label").collect()]
