@@ -201,6 +201,15 @@ def test_base_models_of_a_stack_do_not_wait_for_each_other(table, monkeypatch):
     assert got["stacking_predicted_volume"].to_numpy() == pytest.approx(want["stacking_predicted_volume"].to_numpy())
 
 
+def test_folds_of_a_search_do_not_wait_for_each_other(table, monkeypatch):
+    train = stage(split.cv_folds(table, 2, group=[]))
+    candidates = trees.draw_params(FOREST, 2)
+    alone = trees.search(train, "forest", candidates, 2, folds_at_once=1)
+    meeting(monkeypatch, trees, "fit_encoder", 2)
+    best, error = trees.search(train, "forest", candidates, 2)
+    assert best == alone[0] and error == pytest.approx(alone[1])
+
+
 def test_routes(spark):
     df = spark.createDataFrame([(i,) for i in (-1, 0, 1, 2, 9)], "cluster_label int")
     got = [r["model_type"].split(" ", 1) for r in route.with_route(df).orderBy("cluster_label").collect()]
